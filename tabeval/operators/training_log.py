@@ -42,14 +42,14 @@ def early_stopping(history: DataFrame, patience: int, phase: str = "val") -> Dat
         .withColumn("_row", F.row_number().over(by_epoch))
         .withColumn("_past", F.min("loss").over(past))
         .withColumn("_better", F.col("_past").isNull() | (F.col("loss") < F.col("_past")))
-        .withColumn("_last", F.max(F.when("_better", F.col("_row"))).over(upto))
+        .withColumn("_last", F.max(F.when(F.col("_better"), F.col("_row"))).over(upto))
         .withColumn("_stop", F.min(F.when(F.col("_row") - F.col("_last") >= patience, F.col("epoch"))).over(
             Window.partitionBy("model")))
     )
     kept = steps.filter(F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop")))
     return kept.groupBy("model").agg(
         F.max("_stop").alias("stop_epoch"),
-        F.max(F.when("_better", F.col("epoch"))).alias("best_epoch"),
+        F.max(F.when(F.col("_better"), F.col("epoch"))).alias("best_epoch"),
         F.min("loss").alias("best_val_loss"),
         F.count("*").alias("epochs_trained"),
     )

@@ -184,9 +184,14 @@ def _axis_positions() -> dict[str, tuple[int, int]]:
     return places
 
 
+def _literal(values: list) -> str:
+    kind = "::double[]" if isinstance(values[0], float) else ""
+    return f"({values}{kind})"
+
+
 def _runs_sql() -> str:
     axes = ",\n    ".join(
-        f"{str(SEARCH_SPACE[n])}[1 + (g // {stride}) % {size}] AS {'layers' if n == 'layer_sizes' else n}"
+        f"{_literal(SEARCH_SPACE[n])}[1 + (g // {stride}) % {size}] AS {'layers' if n == 'layer_sizes' else n}"
         for n, (stride, size) in _axis_positions().items()
     )
     measures = ", ".join(f"{u(seeded('o_orderkey', i + 1))} AS {m}" for i, m in enumerate(_MEASURES))
