@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tabeval.functions import json_array
 
-PIVOTS = 32
-BLOCK = 4096
+MOST_PIVOTS = 256
+BLOCK = 8192
 SLACK = 1e-9
 
 
@@ -30,7 +30,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
+    return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], axis=1))
 
 
 def _assign_cells(train: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -104,13 +104,22 @@ def _keep_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def _pivot_count(rows: int, block: int) -> int:
+    """One cell while the rows fit one block, then as many as the root of the number of blocks."""
+    return max(1, min(MOST_PIVOTS, int((rows / block) ** 0.5)))
+
+
 def nearest_neighbours(
     train: DataFrame, queries: DataFrame, k: int = 5, key: str = "row_id", vector: str = "x",
-    pivots: int = PIVOTS, block: int = BLOCK,
+    pivots: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
-    """``(query, neighbour, d2, rank)``: the k nearest training rows, equal distances by training key."""
+    """``(query, neighbour, d2, rank)``: the k nearest training rows, equal distances by training key.
+
+    The pivots and one count and radius per pivot are all the driver sees.
+    """
     t = train.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     q = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    pivots = pivots or _pivot_count(t.count(), block)
     chosen = [r["x"] for r in t.select("x").orderBy(F.xxhash64("id")).limit(pivots).collect()]
     if not chosen:
         return train.sparkSession.createDataFrame([], "query bigint, neighbour bigint, d2 double, rank bigint")
@@ -119,16 +128,20 @@ def nearest_neighbours(
     cells = _assign_cells(t, points)
     shape = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("r")).collect()}
     sizes = np.array([shape[c]["n"] if c in shape else 0 for c in range(len(chosen))])
-    radius = json_array([float(shape[c]["r"]) if c in shape else -1.0 for c in range(len(chosen))], "double")
 
     start = _first_visits(q, points, sizes, k)
     first = _search(cells, start.select("id", "x", F.explode("cells").alias("cell")), sizes, k, block)
     near = _keep_best(first, k)
-    # A query that found fewer than k rows has seen every row there is.
+    if len(chosen) == 1:
+        return near
+    # Used three times from here on; k rows per query are kept in the shared folder.
+    near = near.checkpoint()
     bound = near.groupBy(F.col("query").alias("id")).agg(
         F.sqrt(F.max("d2")).alias("bound"), F.count("*").alias("seen")
     )
+    # A query that found fewer than k rows has seen every row there is.
     limit = F.when(F.col("seen") < k, F.lit(float("inf"))).otherwise(F.col("bound") * (1 + SLACK) + SLACK)
+    radius = json_array([float(shape[c]["r"]) if c in shape else -1.0 for c in range(len(chosen))], "double")
     rest = (
         start.join(bound, "id")
         .select("id", "x", "cells", F.posexplode("far").alias("cell", "away"), limit.alias("limit"))

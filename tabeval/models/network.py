@@ -1,0 +1,258 @@
+"""Fully connected binary network trained data-parallel with mini-batches.
+
+One epoch is one Spark job: every partition starts from the current parameters, walks its rows in
+mini-batches with Adam, and returns its parameters; their row-weighted mean starts the next epoch
+(parameter averaging, as in Zinkevich et al. 2010 and McMahan et al. 2017). Rows never leave their
+partitions, and what travels is as large as the network. On one partition this is ordinary
+mini-batch training.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, TaskContext
+from pyspark.ml import Estimator
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tabeval.models.base import StateModel
+
+ROWS_PER_WORKER = 20_000
+
+# Adam's decay rates and guard, the leak of leaky_relu, the plateau rule, the log clamp.
+BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
+LEAK = 0.1
+PLATEAU_EPOCHS, PLATEAU_FACTOR, PLATEAU_GAIN = 10, 0.5, 1e-4
+LOG_FLOOR = -100.0
+
+ACTIVATIONS = {
+    "relu": (lambda z: np.maximum(z, 0.0), lambda z: (z > 0) * 1.0),
+    "tanh": (np.tanh, lambda z: 1.0 - np.tanh(z) ** 2),
+    "leaky_relu": (lambda z: np.where(z > 0, z, LEAK * z), lambda z: np.where(z > 0, 1.0, LEAK)),
+}
+
+
+def unpack(flat: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Views (weights, bias) per layer into one flat parameter vector."""
+    layers, at = [], 0
+    for a, b in zip(sizes, sizes[1:]):
+        layers.append((flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]))
+        at += a * b + b
+    return layers
+
+
+def initial(sizes: list[int], seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    parts = []
+    for a, b in zip(sizes, sizes[1:]):
+        parts.append(rng.uniform(-1, 1, a * b + b) / np.sqrt(a))
+    return np.concatenate(parts)
+
+
+def forward(flat, sizes, x, activation, dropout=0.0, rng=None):
+    """Scores and what the gradient needs; units are dropped only while training (``rng`` given)."""
+    act, _ = ACTIVATIONS[activation]
+    layers, inputs, sums, masks = unpack(flat, sizes), [x], [], []
+    for w, b in layers[:-1]:
+        z = inputs[-1] @ w + b
+        mask = (rng.random(z.shape) >= dropout) / (1.0 - dropout) if rng is not None and dropout > 0 else 1.0
+        sums.append(z)
+        masks.append(mask)
+        inputs.append(act(z) * mask)
+    w, b = layers[-1]
+    out = np.clip(inputs[-1] @ w + b, -500, 500)[:, 0]
+    return 1.0 / (1.0 + np.exp(-out)), inputs, sums, masks
+
+
+def gradient(flat, sizes, y, activation, p, inputs, sums, masks) -> np.ndarray:
+    """Gradient of the mean cross-entropy."""
+    slope = ACTIVATIONS[activation][1]
+    layers, parts = unpack(flat, sizes), []
+    delta = ((p - y) / len(y))[:, None]
+    for i in reversed(range(len(layers))):
+        parts.append(np.concatenate([(inputs[i].T @ delta).ravel(), delta.sum(axis=0)]))
+        if i:
+            delta = (delta @ layers[i][0].T) * masks[i - 1] * slope(sums[i - 1])
+    return np.concatenate(parts[::-1])
+
+
+def batch_loss(y, p) -> float:
+    with np.errstate(divide="ignore"):
+        terms = y * np.maximum(np.log(p), LOG_FLOOR) + (1 - y) * np.maximum(np.log(1 - p), LOG_FLOOR)
+    return float(-terms.mean())
+
+
+def _batches(pdf: pd.DataFrame, size: int, rng=None):
+    x, y = np.vstack(pdf["x"].to_numpy()), pdf["y"].to_numpy(dtype="float64")
+    order = rng.permutation(len(y)) if rng is not None else np.arange(len(y))
+    for i in range(0, len(y), size):
+        pick = order[i : i + size]
+        yield x[pick], y[pick]
+
+
+SUMS = "rows bigint, batches bigint, loss double, correct bigint"
+
+
+class Network(Estimator):
+    """``hidden`` layer sizes, activation, dropout, learning rate, L2 weight decay, batch size.
+
+    Rows whose ``part`` column is ``val`` steer the learning rate and the early stop; without that
+    column all rows train and the training loss steers. ``restore_best`` returns the parameters of
+    the best epoch instead of the last.
+    """
+
+    def __init__(
+        self, hidden=(100,), activation="relu", dropout=0.0, learning_rate=0.001, weight_decay=0.0, batch_size=32,
+        epochs=100, patience=15, restore_best=False, seed=42, features="features", label="label", part="split",
+        rows_per_worker=ROWS_PER_WORKER,
+    ):
+        super().__init__()
+        self.hidden, self.activation, self.dropout = [int(h) for h in hidden], activation, float(dropout)
+        self.learning_rate, self.weight_decay, self.batch_size = learning_rate, weight_decay, int(batch_size)
+        self.epochs, self.patience, self.restore_best, self.seed = epochs, patience, restore_best, seed
+        self.features, self.label, self.part, self.rows_per_worker = features, label, part, rows_per_worker
+        if activation not in ACTIVATIONS:
+            raise ValueError(f"unknown activation: {activation}")
+
+    def _train_epoch(self, rows, state, sizes, rate, epoch):
+        spark, batch, s = rows.sparkSession, self.batch_size, self
+        activation, dropout, decay, seed = s.activation, s.dropout, s.weight_decay, s.seed
+        shared = spark.sparkContext.broadcast(state)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            flat, m, v, step = (np.array(a, copy=True) for a in shared.value)
+            step = float(step)
+            rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+            n = batches = correct = 0
+            loss = 0.0
+            for pdf in frames:
+                for x, y in _batches(pdf, batch, rng):
+                    p, inputs, sums, masks = forward(flat, sizes, x, activation, dropout, rng)
+                    g = gradient(flat, sizes, y, activation, p, inputs, sums, masks) + decay * flat
+                    step += 1
+                    m = BETA1 * m + (1 - BETA1) * g
+                    v = BETA2 * v + (1 - BETA2) * g * g
+                    flat = flat - rate * (m / (1 - BETA1**step)) / (np.sqrt(v / (1 - BETA2**step)) + EPSILON)
+                    n, batches, loss = n + len(y), batches + 1, loss + batch_loss(y, p)
+                    correct += int(((p > 0.5) == (y > 0.5)).sum())
+            if n:
+                yield pd.DataFrame(
+                    {"rows": [n], "batches": [batches], "loss": [loss], "correct": [correct],
+                     "state": [np.concatenate([flat, m, v, [step]])]}
+                )
+
+        done = rows.mapInPandas(run, SUMS + ", state array<double>")
+        mean = Summarizer.metrics("mean").summary(array_to_vector("state"), F.col("rows").cast("double"))
+        out = done.agg(mean["mean"].alias("state"), *[F.sum(c).alias(c) for c in ("rows", "batches", "loss", "correct")])
+        row = out.first()
+        shared.destroy()
+        flat, m, v, step = np.split(row["state"].toArray(), [len(state[0]) * i for i in (1, 2, 3)])
+        return (flat, m, v, step[0]), row
+
+    def _measure(self, rows, flat, sizes):
+        batch, activation = self.batch_size, self.activation
+        shared = rows.sparkSession.sparkContext.broadcast(flat)
+
+        def run(frames):
+            n = batches = correct = 0
+            loss = 0.0
+            for pdf in frames:
+                for x, y in _batches(pdf, batch):
+                    p = forward(shared.value, sizes, x, activation)[0]
+                    n, batches, loss = n + len(y), batches + 1, loss + batch_loss(y, p)
+                    correct += int(((p > 0.5) == (y > 0.5)).sum())
+            yield pd.DataFrame({"rows": [n], "batches": [batches], "loss": [loss], "correct": [correct]})
+
+        row = rows.mapInPandas(run, SUMS).agg(*[F.sum(c).alias(c) for c in ("rows", "batches", "loss", "correct")]).first()
+        shared.destroy()
+        return row
+
+    def _fit(self, df: DataFrame) -> "NetworkModel":
+        marked = F.col(self.part) if self.part in df.columns else F.lit("train")
+        rows = df.select(
+            vector_to_array(self.features).alias("x"), F.col(self.label).cast("double").alias("y"), marked.alias("part")
+        )
+        counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        n = counts.get("train", 0)
+        if not n:
+            raise ValueError("no training rows")
+        workers = max(1, -(-n // self.rows_per_worker))
+        width = len(rows.select("x").first()["x"])
+
+        def spread(part):
+            # Hashing the row itself puts equal shares on every worker and the same rows after a retry.
+            return rows.filter(F.col("part") == part).repartition(workers, F.xxhash64("x", "y")).select("x", "y").persist(
+                StorageLevel.MEMORY_AND_DISK
+            )
+
+        train = spread("train")
+        val = spread("val") if counts.get("val") else None
+        sizes = [width, *self.hidden, 1]
+        flat = initial(sizes, self.seed)
+        state = (flat, np.zeros_like(flat), np.zeros_like(flat), 0.0)
+        history, rate = [], self.learning_rate
+        best, best_flat, waited = float("inf"), flat, 0
+        floor, stale = float("inf"), 0
+        try:
+            for epoch in range(1, self.epochs + 1):
+                state, done = self._train_epoch(train, state, sizes, rate, epoch)
+                steps = [("train", done)]
+                if val is not None:
+                    steps.append(("val", self._measure(val, state[0], sizes)))
+                for phase, r in steps:
+                    loss = r["loss"] / r["batches"]
+                    history.append((epoch, phase, loss, 100.0 * r["correct"] / r["rows"]))
+                loss = history[-1][2]
+                if loss < floor * (1 - PLATEAU_GAIN):
+                    floor, stale = loss, 0
+                else:
+                    stale += 1
+                    if stale > PLATEAU_EPOCHS:
+                        rate, stale = rate * PLATEAU_FACTOR, 0
+                if loss < best:
+                    best, best_flat, waited = loss, state[0], 0
+                else:
+                    waited += 1
+                    if waited >= self.patience:
+                        break
+        finally:
+            train.unpersist()
+            if val is not None:
+                val.unpersist()
+        chosen = best_flat if self.restore_best else state[0]
+        return NetworkModel(
+            features=self.features, sizes=sizes, activation=self.activation, parameters=[float(p) for p in chosen],
+            history=history, best_loss=best,
+        )
+
+
+class NetworkModel(StateModel):
+    @property
+    def epochs_trained(self) -> int:
+        return max(e for e, *_ in self.values["history"])
+
+    @property
+    def best_loss(self) -> float:
+        return self.values["best_loss"]
+
+    def history(self, spark, model: str) -> DataFrame:
+        """``(model, epoch, phase, loss, accuracy_pct)``, at most two rows per epoch."""
+        rows = [(model, *h) for h in self.values["history"]]
+        return spark.createDataFrame(rows, "model string, epoch int, phase string, loss double, accuracy_pct double")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        v = self.values
+        flat, sizes, activation = np.asarray(v["parameters"]), v["sizes"], v["activation"]
+
+        @F.pandas_udf("double")
+        def score(x: "pd.Series") -> "pd.Series":
+            return pd.Series(forward(flat, sizes, np.vstack(x.to_numpy()), activation)[0])
+
+        return df.withColumn("score", score(vector_to_array(v["features"]))).withColumn(
+            "prediction", (F.col("score") > 0.5).cast("double")
+        )

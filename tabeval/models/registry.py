@@ -66,8 +66,9 @@ def classic_models(rows: int, width: int) -> dict:
 
 def fit_all(models: dict, train: DataFrame, parallel: int = 4) -> dict:
     """Fit every model; a few at a time, each a series of Spark jobs over the same cached rows."""
+    same_session = inheritable_thread_target(train.sparkSession)
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        jobs = {name: pool.submit(inheritable_thread_target(m.fit), train) for name, m in models.items()}
+        jobs = {name: pool.submit(same_session(m.fit), train) for name, m in models.items()}
         return {name: job.result() for name, job in jobs.items()}
 
 

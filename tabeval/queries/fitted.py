@@ -1,2 +1,213 @@
-"""Fitted models over the vectors."""
-from tabeval.queries.registry import query  # noqa
+"""Models fitted on the vectors, their scores and their measures."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tabeval.models import registry
+from tabeval.models.adaboost import AdaBoost
+from tabeval.models.gaussian_nb import GaussianNB
+from tabeval.models.knn import KNearest, nearest_neighbours
+from tabeval.models.network import Network
+from tabeval.models.rff_svm import FourierSVC
+from tabeval.operators import metrics, prepare, results, training_log
+from tabeval.plans import evaluate as ev
+from tabeval.plans import search as searching
+from tabeval.queries import frames as fr
+from tabeval.queries.registry import fix, query, r
+from tabeval.session import scratch_path
+from tabeval.sources import readers, writers
+
+WIDTH = fr.WIDTH
+
+
+def _scaled(spark, d) -> DataFrame:
+    """Vectors standardised with the spread of the training rows."""
+    rows = fr.vectors(spark, d)
+    scaler = prepare.fit_vector_scaler(rows.filter("split = 'train'"), "x")
+    return scaler.transform(rows, "x").select("row_id", "label", "split", array_to_vector("x").alias("features"))
+
+
+def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = _scaled(spark, d)
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+
+
+def _scores(name, make):
+    """Fit on the training rows, return the scored test rows."""
+
+    def run(spark, d):
+        train, test = _parts(spark, d)
+        model = make(train).fit(train.persist())
+        train.unpersist()
+        return registry.predictions(model, test, name, fr.TRADITIONAL)
+
+    return run
+
+
+query("m1_logistic_regression")(_scores("Logistic Regression", lambda t: registry.logistic_regression(t.count())))
+query("m2_random_forest")(_scores("Random Forest", lambda t: registry.random_forest()))
+query("m3_gradient_boosting")(_scores("Gradient Boosting", lambda t: registry.gradient_boosting()))
+query("m4_kernel_svm")(_scores("SVM", lambda t: FourierSVC()))
+query("m7_decision_tree")(_scores("Decision Tree", lambda t: registry.decision_tree()))
+query("m8_adaboost")(_scores("AdaBoost", lambda t: AdaBoost()))
+query("m9_perceptron")(_scores("Neural Network", lambda t: registry.perceptron(WIDTH, [100])))
+
+_NEAR = f"""WITH {fr.VECTORS}, pairs AS (
+  SELECT q.row_id AS query, t.row_id AS neighbour, t.label,
+    list_sum([(q.x[i] - t.x[i]) * (q.x[i] - t.x[i]) for i in range(1, {WIDTH + 1})]) AS d2
+  FROM vectors q, vectors t WHERE q.split = 'test' AND t.split = 'train'),
+near AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY d2, neighbour))::bigint AS rank FROM pairs
+  QUALIFY rank <= 5) """
+
+
+@query("j6_nearest_neighbours", _NEAR + f"SELECT query, neighbour, {r('d2', 'd2')}, rank FROM near")
+def neighbours(spark, d):
+    rows = fr.vectors(spark, d)
+    return fix(nearest_neighbours(rows.filter("split = 'train'"), rows.filter("split = 'test'"), 5), "d2")
+
+
+@query(
+    "m5_nearest_neighbour_votes",
+    _NEAR + f"SELECT query AS row_id, {r('avg(label)', 'score')}, (avg(label) > 0.5)::int AS pred FROM near GROUP BY query",
+)
+def nearest_neighbour_votes(spark, d):
+    rows = fr.vectors(spark, d).withColumn("features", array_to_vector("x"))
+    model = KNearest(k=5).fit(rows.filter("split = 'train'"))
+    scored = registry.predictions(model, rows.filter("split = 'test'"), "K-Nearest Neighbors", fr.TRADITIONAL)
+    return fix(scored.select("row_id", "score", "pred"), "score")
+
+
+@query(
+    "m6_gaussian_naive_bayes",
+    f"""WITH {fr.VECTORS}, flat AS (SELECT row_id, label, split, unnest(range(0, {WIDTH})) AS i, unnest(x) AS v FROM vectors),
+    train AS (SELECT * FROM flat WHERE split = 'train'),
+    extra AS (SELECT 1e-9::double * max(s) AS e FROM (SELECT var_pop(v) AS s FROM train GROUP BY i)),
+    stats AS (SELECT label, i, avg(v) AS mu, var_pop(v) + (SELECT e FROM extra) AS s FROM train GROUP BY label, i),
+    priors AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM vectors WHERE split = 'train' GROUP BY label),
+    joint AS (SELECT f.row_id, s.label, any_value(p.lp)
+        - 0.5 * sum(ln(2 * pi() * s.s) + (f.v - s.mu) * (f.v - s.mu) / s.s) AS l
+      FROM flat f JOIN stats s USING (i) JOIN priors p ON p.label = s.label WHERE f.split = 'test' GROUP BY f.row_id, s.label),
+    gap AS (SELECT row_id, max(l) FILTER (label = 1) - max(l) FILTER (label = 0) AS g FROM joint GROUP BY row_id)
+    SELECT row_id, {r('1 / (1 + exp(-g))', 'score')}, (1 / (1 + exp(-g)) > 0.5)::int AS pred FROM gap""",
+)
+def gaussian_naive_bayes(spark, d):
+    rows = fr.vectors(spark, d).withColumn("features", array_to_vector("x"))
+    model = GaussianNB().fit(rows.filter("split = 'train'"))
+    scored = registry.predictions(model, rows.filter("split = 'test'"), "Naive Bayes", fr.TRADITIONAL)
+    return fix(scored.select("row_id", "score", "pred"), "score")
+
+
+@query("m10_configurable_perceptron")
+def configurable_perceptron(spark, d):
+    """The basic three-layer shape in Spark ML's network."""
+    return _scores("Basic MLP", lambda t: registry.perceptron(WIDTH, [256, 128, 64], max_iter=100))(spark, d)
+
+
+@query("m10_network")
+def network(spark, d):
+    """The same shape trained with mini-batches, dropout and early stopping."""
+    rows = ev.with_validation(_scaled(spark, d))
+    model = Network([256, 128, 64], dropout=0.3, patience=20, restore_best=True).fit(rows.filter("split <> 'test'"))
+    return registry.predictions(model, rows.filter("split = 'test'"), "Basic MLP", fr.NEURAL)
+
+
+def _quick_registry(rows, width):
+    return {
+        "Logistic Regression": registry.logistic_regression(rows),
+        "Naive Bayes": GaussianNB(),
+        "Decision Tree": registry.decision_tree(),
+        "Neural Network": registry.perceptron(width, [100]),
+    }
+
+
+def _quick_evaluation(vectors):
+    rows = vectors.filter("split = 'train'").count()
+    return ev.evaluate(vectors, _quick_registry(rows, WIDTH), fr.TRADITIONAL)
+
+
+@query("m11_fit_registry")
+def fit_registry(spark, d):
+    """A dictionary of named models fitted side by side on one cached table, one measured row each."""
+    return _quick_evaluation(_scaled(spark, d)).metrics
+
+
+@query("z1_score_registry")
+def score_registry(spark, d):
+    return _quick_evaluation(_scaled(spark, d)).preds
+
+
+@query("z3_label_rule")
+def label_rule(spark, d):
+    """Labels of the kernel machine come from its margin; how often that differs from score > 0.5."""
+    train, test = _parts(spark, d)
+    scored = FourierSVC().fit(train).transform(test)
+    return scored.select(
+        "row_id", "margin", "score", F.col("prediction").cast("int").alias("pred"),
+        (F.col("prediction") != (F.col("score") > 0.5).cast("double")).alias("differs"),
+    )
+
+
+@query("s3_load_model")
+def load_model(spark, d):
+    """A saved pipeline, loaded and applied, scores as before."""
+    from pyspark.ml import Pipeline
+
+    train, test = _parts(spark, d)
+    fitted = Pipeline(stages=[registry.logistic_regression(train.count())]).fit(train)
+    path = writers.model_path(scratch_path(spark, "models"), "Logistic Regression")
+    writers.save_model(fitted, path)
+    loaded = readers.load_model(path)
+    before = registry.predictions(fitted, test, "saved", "f").select("row_id", F.col("score").alias("before"))
+    after = registry.predictions(loaded, test, "loaded", "f").select("row_id", F.col("score").alias("after"))
+    return before.join(after, "row_id").withColumn("same", F.col("before") == F.col("after"))
+
+
+@query("k6_save_best_model")
+def save_best_model(spark, d):
+    """The model with the highest AUC is saved under its lower-case name and read back."""
+    from pyspark.ml import PipelineModel
+
+    vectors = _scaled(spark, d)
+    found = _quick_evaluation(vectors)
+    best = results.top_models(metrics.summary(found.metrics), 1).first()["Model"]
+    path = writers.model_path(scratch_path(spark, "models"), best)
+    writers.save_model(PipelineModel([found.fitted[best]]), path)
+    loaded = readers.load_model(path)
+    return registry.predictions(loaded, vectors.filter("split = 'test'"), best, fr.TRADITIONAL)
+
+
+# --- whole jobs ----------------------------------------------------------------------------------------
+
+
+@query("g1_classic_evaluation")
+def classic_evaluation(spark, d):
+    """All nine classifiers fitted, scored, measured and ranked."""
+    vectors = _scaled(spark, d)
+    models = registry.classic_models(vectors.filter("split = 'train'").count(), WIDTH)
+    found = ev.evaluate(vectors, models, fr.TRADITIONAL)
+    return ev.evaluation_tables(found, WIDTH, [f"f_{i}" for i in range(WIDTH)])["summary"]
+
+
+@query("g2_network_evaluation")
+def network_evaluation(spark, d):
+    """Networks with a validation split: measures beside best epoch and stop."""
+    vectors = ev.with_validation(_scaled(spark, d)).withColumn("part", F.col("split"))
+    networks = {
+        "Basic MLP": Network([256, 128, 64], dropout=0.3, patience=20, restore_best=True, part="part"),
+        "Small MLP": Network([64], activation="tanh", patience=20, restore_best=True, part="part"),
+    }
+    found = ev.evaluate_networks(vectors, networks, fr.NEURAL)
+    stops = training_log.early_stopping(found.tables["history"], 20).withColumnRenamed("model", "Model")
+    return metrics.summary(found.metrics).join(stops, "Model")
+
+
+@query("g3_search")
+def run_search(spark, d):
+    """Six configurations drawn from the whole search space, fitted and measured."""
+    vectors = ev.with_validation(_scaled(spark, d))
+    configurations = searching.choose_configurations(spark, limit=6)
+    runs, _ = searching.run_search(vectors, configurations, epochs=30)
+    return results.running_best(runs)
