@@ -76,6 +76,16 @@ def round_even(c, places: int = 4) -> Column:
     return F.bround(col(c), places)
 
 
+def fixed_text(c, places: int) -> Column:
+    """A number with fixed decimals; a value exactly half way goes to the even digit.
+
+    The formatter alone would take it up. Only short binary fractions can lie exactly half way.
+    """
+    c = col(c)
+    short = c * 1048576 == F.floor(c * 1048576)
+    return F.when(c.isNotNull(), F.format_string(f"%.{places}f", F.when(short, F.bround(c, places)).otherwise(c)))
+
+
 def file_stem(name) -> Column:
     """Checkpoint name of a model: lower case, blanks to underscores."""
     return F.replace(F.lower(col(name)), F.lit(" "), F.lit("_"))

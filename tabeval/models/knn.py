@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.functions import json_array
+from tabeval.session import settled
 
 MOST_PIVOTS = 256
 BLOCK = 8192
@@ -135,7 +136,7 @@ def nearest_neighbours(
     if len(chosen) == 1:
         return near
     # Used three times from here on; k rows per query are kept in the shared folder.
-    near = near.checkpoint()
+    near = settled(near)
     bound = near.groupBy(F.col("query").alias("id")).agg(
         F.sqrt(F.max("d2")).alias("bound"), F.count("*").alias("seen")
     )

@@ -65,7 +65,7 @@ def classification_metrics(preds: DataFrame, keys: list[str], ranges: int | None
     (ties count half). Ranges of the score are summed on their own; the positives of higher ranges
     enter per range afterwards. A key with one class has no AUC.
     """
-    cut = with_ranges(score_counts(preds, keys), ["score desc"], ranges)
+    cut = with_ranges(score_counts(preds, keys), ["score desc"], ranges, preds)
     inside = (
         Window.partitionBy(*keys, "_range")
         .orderBy(*key_names(cut))

@@ -75,15 +75,24 @@ def _range_number(names: list[str], schema: T.StructType, edges: list[tuple]) ->
     return F.aggregate(F.lit(steps), F.lit(0), step)
 
 
-def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
-    """Add the sort keys ``_k*`` and the range number ``_range``, which rises with the order."""
+def with_ranges(
+    df: DataFrame, order: list[str], ranges: int | None = None, sample_from: DataFrame | None = None
+) -> DataFrame:
+    """Add the sort keys ``_k*`` and the range number ``_range``, which rises with the order.
+
+    The edges are sampled from ``df``, or from ``sample_from`` where the ordering columns can be had
+    without the work behind ``df``.
+    """
     spark = df.sparkSession
     if ranges is None:
         ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     keyed = df.select("*", *sort_keys(df, order))
     names = key_names(keyed)
     schema = T.StructType([T.StructField(n, keyed.schema[n].dataType) for n in names])
-    return keyed.withColumn("_range", _range_number(names, schema, _edges(keyed, names, ranges)))
+    source = keyed
+    if sample_from is not None:
+        source = sample_from.select(*sort_keys(sample_from, order))
+    return keyed.withColumn("_range", _range_number(names, schema, _edges(source, names, ranges)))
 
 
 def running(

@@ -1,61 +1,94 @@
 """Exact quantiles per group with linear interpolation.
 
-``percentile`` keeps every distinct value of a group in one task. Here a sketch narrows each wanted
-rank to a thin slice, exact counts say which slice holds it, and only rows of that slice are
-shuffled and ordered. The sketch decides how thin the slice is, never the answer.
+``percentile`` keeps every distinct value of a group in one task. Here a sketch gives each wanted
+rank a narrow bracket; one more scan counts the values outside the brackets and keeps the distinct
+values inside, which is all that is shuffled. If a sketch was off and a rank falls outside its
+bracket, a further scan looks there: the sketch decides the cost, never the answer.
+
+The two or three small tables on the way (a few numbers per group, the values inside the brackets)
+are checkpointed, so that no scan is repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.operators.ordered import running
+from tabeval.session import settled
+
+ACCURACY = 2000
+
+
+def _slot(value: Column, cuts: list[Column]) -> Column:
+    """Place among the cuts, rising with the value: even between two cuts, odd exactly on one."""
+    below, upto = F.lit(0), F.lit(0)
+    for c in cuts:
+        below = below + (c < value).cast("int")
+        upto = upto + (c <= value).cast("int")
+    return below + upto
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: list[float], accuracy: int = 2000
+    df: DataFrame, keys: list[str], value: str, probabilities: list[float], accuracy: int = ACCURACY,
+    margin: float | None = None,
 ) -> DataFrame:
-    """Rows ``(keys, p, n, quantile)``; missing values are skipped, a group without values has no row."""
+    """Rows ``(keys, p, n, quantile)``; missing values are skipped, a group without values has no row.
+
+    ``accuracy`` is that of the sketch, ``margin`` the half width of a bracket as a share of the group.
+    """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / accuracy
-    cuts = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probabilities for s in (-1, 1)})
-    sketch = data.groupBy(*keys).agg(F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
+    margin = 2.0 / accuracy if margin is None else margin
+    probabilities = [float(p) for p in probabilities]
+    places = [min(max(p + s * margin, 0.0), 1.0) for p in probabilities for s in (-1, 1)]
+    sketch = settled(data.groupBy(*keys).agg(F.percentile_approx("_v", places, accuracy).alias("_cuts")))
     if keys:
-        sliced = data.join(sketch, keys)
+        cut = data.join(sketch, keys)
     else:
-        sliced = data.withColumn("_cuts", sketch.scalar())
-    sliced = sliced.select(
-        *keys, "_v", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("_v")).cast("int")).alias("_slice")
-    )
+        cut = data.withColumn("_cuts", sketch.scalar())
+    edges = [F.get("_cuts", F.lit(i)) for i in range(len(places))]
+    inside = F.lit(False)
+    for low, high in zip(edges[::2], edges[1::2]):
+        inside = inside | F.col("_v").between(low, high)
+    slotted = cut.select(*keys, "_v", _slot(F.col("_v"), edges).alias("_slot"), inside.alias("_inside"))
+    # Values outside the brackets are only counted; missing here stands for all of them in the slot.
+    kept = F.when(F.col("_inside"), F.col("_v"))
+    counts = settled(slotted.groupBy(*keys, "_slot", kept.alias("_value")).agg(F.count("*").alias("_m")))
 
-    by_slice = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
-    counts = counts.select(
-        "*",
-        F.coalesce(F.sum("_c").over(by_slice), F.lit(0)).alias("_first"),
-        F.sum("_c").over(Window.partitionBy(*keys)).alias("n"),
-    )
-    # Each probability needs the ranks on both sides of its position.
-    position = (F.col("n") - 1) * F.col("p")
-    wanted = (
-        counts.withColumn("p", F.explode(F.lit([float(p) for p in probabilities])))
+    placed = running(counts, keys, ["_slot", "_value"], {"_end": ("sum", "_m")}, totals=True)
+    position = (F.col("_end_total") - 1) * F.col("p")
+    wanted = settled(
+        placed.withColumn("p", F.explode(F.lit(probabilities)))
         .withColumn("_side", F.explode(F.lit([0, 1])))
         .withColumn("_rank", F.when(F.col("_side") == 0, F.floor(position)).otherwise(F.ceil(position)))
-        .filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_c")))
-        .select(*keys, "_slice", "p", "n", "_side", (F.col("_rank") - F.col("_first")).alias("_at"))
-    )
-    slices = wanted.select(*keys, "_slice").distinct()
-    values = sliced.join(slices, [*keys, "_slice"], "left_semi").groupBy(*keys, "_slice", "_v").agg(
-        F.count("*").alias("_m")
+        .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_m")))
+        .select(
+            *keys, "_slot", "_value", "p", "_side", F.col("_end_total").alias("n"),
+            (F.col("_rank") - (F.col("_end") - F.col("_m"))).alias("_at"),
+        )
     )
-    placed = running(values, [*keys, "_slice"], ["_v"], {"_end": ("sum", "_m")})
-    picked = placed.join(wanted, [*keys, "_slice"]).filter(
-        (F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_m"))
+    found = wanted.filter(F.col("_value").isNotNull())
+    missed = wanted.filter(F.col("_value").isNull())
+    if not missed.isEmpty():
+        found = found.unionByName(_look_again(slotted, keys, missed).select(*found.columns))
+
+    low = F.max(F.when(F.col("_side") == 0, F.col("_value")))
+    high = F.max(F.when(F.col("_side") == 1, F.col("_value")))
+    at = (F.col("n") - 1) * F.col("p")
+    return found.groupBy(*keys, "p").agg(
+        F.max("n").alias("n"), (low + (high - low) * F.max(at - F.floor(at))).alias("quantile")
     )
-    low = F.max(F.when(F.col("_side") == 0, F.col("_v")))
-    high = F.max(F.when(F.col("_side") == 1, F.col("_v")))
-    share = F.max(position - F.floor(position))
-    return picked.groupBy(*keys, "p").agg(
-        F.max("n").alias("n"), (low + (high - low) * share).alias("quantile")
+
+
+def _look_again(slotted: DataFrame, keys: list[str], missed: DataFrame) -> DataFrame:
+    """Order the values of the slots that hold a rank outside every bracket."""
+    slots = missed.select(*keys, "_slot").distinct()
+    values = settled(
+        slotted.filter(~F.col("_inside"))
+        .join(slots, [*keys, "_slot"], "left_semi")
+        .groupBy(*keys, "_slot", "_v")
+        .agg(F.count("*").alias("_m"))
     )
+    placed = running(values, [*keys, "_slot"], ["_v"], {"_end": ("sum", "_m")})
+    hit = (F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_m"))
+    return missed.drop("_value").join(placed, [*keys, "_slot"]).filter(hit).withColumn("_value", F.col("_v"))

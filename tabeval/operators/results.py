@@ -125,40 +125,58 @@ def overall_statistics(df: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def _pair_sums(columns: list[str]):
+    """Per partition the products of (value, square, presence) over all column pairs, one row."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        total = 0.0
+        for pdf in frames:
+            x = pdf[columns].to_numpy(dtype="float64", na_value=np.nan)
+            there = np.isfinite(x)
+            x = np.where(there, x, 0.0)
+            z = np.hstack([x, x * x, there])
+            total = total + z.T @ z
+        if not np.isscalar(total):
+            yield pd.DataFrame({"sums": [total.ravel()]})
+
+    return run
+
+
 def correlations(df: DataFrame, columns: list[str] = RUN_NUMERIC) -> DataFrame:
     """Pearson correlation of every pair over rows where both are present, ``(x, y, r)``; both directions.
 
-    All pairs come from sums of one scan. A constant column has no correlation. Values are shifted
-    by the column mean first, so the sums do not cancel.
+    One scan: each partition multiplies its rows into one small matrix, and the matrices are added.
+    A constant column has no correlation. Values are centred first, so that the sums do not cancel.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     means = df.agg(*[F.avg(present(c).cast("double")).alias(c) for c in columns])
     centred = df.select(
         *[(present(c).cast("double") - means.select(c).scalar()).alias(c) for c in columns]
     )
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a), F.col(b)
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        aggs.append(
-            F.struct(
-                F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"),
-                F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"),
-            ).alias(f"p{i}")
-        )
-    sums = centred.agg(*aggs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        for s, t in {(a, b), (b, a)}:
-            rows.append(F.struct(F.lit(s).alias("x"), F.lit(t).alias("y"), F.col(f"p{i}").alias("s")))
-    long = sums.select(F.inline(F.array(*rows)))
-    s = F.col("s")
-    cov = s["xy"] - s["x"] * s["y"] / s["n"]
-    var_x = s["xx"] - s["x"] * s["x"] / s["n"]
-    var_y = s["yy"] - s["y"] * s["y"] / s["n"]
-    r = F.when((s["n"] > 0) & (var_x > 0) & (var_y > 0), cov / F.sqrt(var_x * var_y))
-    return long.select("x", "y", r.alias("r"))
+    d = len(columns)
+    parts = centred.mapInPandas(_pair_sums(columns), "sums array<double>")
+    sums = parts.agg(vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("sums"))["sum"]).alias("s"))
+    cells = sums.select(F.explode(F.sequence(F.lit(0), F.lit(d * d - 1))).alias("c"), "s").select(
+        F.floor(F.col("c") / d).cast("int").alias("i"), (F.col("c") % d).alias("j"), "s"
+    )
+
+    def cell(row: Column, column: Column) -> Column:
+        return F.get("s", (row * (3 * d) + column).cast("int"))
+
+    i, j = F.col("i"), F.col("j")
+    n = cell(2 * d + i, 2 * d + j)
+    x, y = cell(i, 2 * d + j), cell(j, 2 * d + i)
+    var_x = cell(d + i, 2 * d + j) - x * F.try_divide(x, n)
+    var_y = cell(d + j, 2 * d + i) - y * F.try_divide(y, n)
+    cov = cell(i, j) - x * F.try_divide(y, n)
+    r = F.when((var_x > 0) & (var_y > 0), cov / F.sqrt(var_x * var_y))
+    names = F.lit(list(columns))
+    return cells.select(F.get(names, i).alias("x"), F.get(names, j).alias("y"), r.alias("r"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabeval.functions import present
+from tabeval.functions import fixed_text, present
 from tabeval.operators import results, training_log
 from tabeval.schema import RUNS
 from tabeval.sources import writers
@@ -21,8 +21,8 @@ AXIS_TITLES = [
     ("batch_size", "Batch Size Performance:"),
 ]
 INSIGHTS = [
-    ("learning_rate", "- Optimal learning rate range: ", "%.3f"),
-    ("dropout_rate", "- Best dropout rate: ", "%.1f"),
+    ("learning_rate", "- Optimal learning rate range: ", 3),
+    ("dropout_rate", "- Best dropout rate: ", 1),
     ("activation", "- Most effective activation: ", None),
     ("batch_size", "- Optimal batch size: ", None),
 ]
@@ -67,6 +67,11 @@ def plain_number(c):
     return F.regexp_replace(text, r"\.?0+$", "")
 
 
+def shown_spread(c):
+    """A deviation to four decimals; one value alone has none and shows as NaN."""
+    return F.coalesce(fixed_text(c, 4), F.lit("NaN"))
+
+
 def report_lines(runs: DataFrame) -> DataFrame:
     """The search report as ``(ord, line)``.
 
@@ -83,9 +88,9 @@ def report_lines(runs: DataFrame) -> DataFrame:
         total, 0,
         F.lit(RULE), F.lit("HYPERPARAMETER SEARCH ANALYSIS REPORT"), F.lit(RULE), F.lit("Search Overview:"),
         F.format_string("- Total configurations tested: %d", "n"),
-        F.format_string("- Best AUC score: %.4f", "max_auc"),
-        F.format_string("- Best accuracy: %.4f", "max_accuracy"),
-        F.format_string("- Average AUC: %.4f ± %.4f", "mean", "std"),
+        F.concat(F.lit("- Best AUC score: "), fixed_text("max_auc", 4)),
+        F.concat(F.lit("- Best accuracy: "), fixed_text("max_accuracy", 4)),
+        F.concat(F.lit("- Average AUC: "), fixed_text("mean", 4), F.lit(" ± "), shown_spread("std")),
         F.lit("Top 5 Configurations:"),
     )
     top = results.top_runs(runs, 5)
@@ -95,8 +100,8 @@ def report_lines(runs: DataFrame) -> DataFrame:
 
     details = [
         F.format_string("%d. Configuration %d:", "rank", "combination_id"),
-        item("AUC", F.format_string("%.4f", "auc")),
-        item("Accuracy", F.format_string("%.4f", "accuracy")),
+        item("AUC", fixed_text("auc", 4)),
+        item("Accuracy", fixed_text("accuracy", 4)),
         item("Layers", F.col("layer_sizes")),
         item("Learning Rate", plain_number("learning_rate")),
         item("Dropout", plain_number("dropout_rate")),
@@ -116,8 +121,9 @@ def report_lines(runs: DataFrame) -> DataFrame:
     number = F.coalesce(F.expr("try_cast(value AS double)"), F.lit(0.0))
     sections = results.rounded(stats).select(
         (place + 1 + number).alias("ord"),
-        F.format_string("%s  mean=%.4f  std=%s  count=%d", F.col("value"), F.col("mean"),
-                        F.coalesce(F.format_string("%.4f", F.col("std")), F.lit("NaN")), F.col("count")).alias("line"),
+        F.format_string(
+            "%s  mean=%s  std=%s  count=%d", "value", fixed_text("mean", 4), shown_spread("std"), "count"
+        ).alias("line"),
     )
     titles = _lines(total, 900, F.lit("Parameter Analysis:"), F.lit("------------------"))
     for i, (_, title) in enumerate(AXIS_TITLES):
@@ -130,7 +136,7 @@ def report_lines(runs: DataFrame) -> DataFrame:
     )
     best = results.best_axis_values(stats)
     for i, (axis, text, fmt) in enumerate(INSIGHTS):
-        shown = F.format_string(fmt, F.col("value").cast("double")) if fmt else F.col("value")
+        shown = fixed_text(F.col("value").cast("double"), fmt) if fmt is not None else F.col("value")
         insights = insights.unionByName(
             best.filter(F.col("axis") == axis).select(
                 F.lit(9002.0 + i).alias("ord"), F.concat(F.lit(text), shown).alias("line")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabeval.functions import fixed_text
 from tabeval.operators import results
 
 
@@ -41,7 +42,7 @@ def report_lines(combined: DataFrame, first: str, second: str) -> DataFrame:
         return df.select(F.inline(rows))
 
     def number(label, column):
-        return F.format_string(f"- {label}: %.4f", results.q(column))
+        return F.concat(F.lit(f"- {label}: "), fixed_text(results.q(column), 4))
 
     def count(label, column):
         return F.format_string(f"- {label}: %d", F.col(column))
@@ -59,11 +60,13 @@ def report_lines(combined: DataFrame, first: str, second: str) -> DataFrame:
     )
     top = t["top_five"].select(
         (F.lit(20.0) + F.col("rank")).alias("ord"),
-        F.format_string("%d. %s (%s) - AUC: %.4f", "rank", "Model", "Model_Type", "AUC").alias("line"),
+        F.format_string("%d. %s (%s) - AUC: %s", "rank", "Model", "Model_Type", fixed_text("AUC", 4)).alias("line"),
     )
     each = t["best_per_type"].select(
         F.when(F.col("Model_Type") == first, 30.0).otherwise(31.0).alias("ord"),
-        F.format_string("Best %s Model: %s AUC %.4f Accuracy %.4f", "Model_Type", "Model", "AUC", "Accuracy").alias("line"),
+        F.format_string(
+            "Best %s Model: %s AUC %s Accuracy %s", "Model_Type", "Model", fixed_text("AUC", 4), fixed_text("Accuracy", 4)
+        ).alias("line"),
     )
     averages = lines(
         t["verdict"], 40, F.lit("Average Performance Comparison:"), number(f"{first} Average AUC", "first_auc"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabeval.functions import decide
+from tabeval.functions import decide, fixed_text
 from tabeval.operators import curves, metrics
 from tabeval.queries import frames as fr
 from tabeval.queries.registry import fix, query, r
@@ -78,7 +78,7 @@ def _roc(drop):
         found = curves.roc_points(fr.preds(spark, d), ["model"], drop_intermediate=drop)
         return fix(found, "fpr", "tpr").withColumn(
             "threshold",
-            F.when(F.col("idx") == 0, F.col("threshold")).otherwise(F.round("threshold", 6) + F.lit(0.0)),
+            F.when(F.col("idx") == 0, F.col("threshold")).otherwise(F.round(F.col("threshold").cast("decimal(38,10)"), 6).cast("double")),
         )
 
     return run
@@ -152,6 +152,6 @@ def pair_truth_with_scores(spark, d):
 def curve_labels(spark, d):
     """Curve points with the legend text of their model: the summary side has one row per model."""
     points = curves.roc_points(fr.preds(spark, d), ["model"], drop_intermediate=False).filter("idx > 0")
-    label = F.format_string("%s (AUC = %.3f)", F.col("model"), F.col("auc")).alias("label")
+    label = F.concat("model", F.lit(" (AUC = "), fixed_text("auc", 3), F.lit(")")).alias("label")
     found = points.join(_metrics(spark, d).select("model", label), "model")
     return fix(found.select("model", "label", "idx", "fpr", "tpr"), "fpr", "tpr")

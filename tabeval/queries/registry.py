@@ -22,10 +22,13 @@ def query(name: str, sql: str | None = None):
 
 
 def fix(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    """Floating results to six places, as the SQL side does; minus zero becomes zero."""
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), places) + F.lit(0.0) for c in columns})
+    """Floating results to six places by way of a decimal, so that sums added up in another order
+    cannot fall on the other side of a half; the SQL side does the same."""
+    return df.withColumns(
+        {c: F.round(F.col(f"`{c}`").cast("decimal(38,10)"), places).cast("double") for c in columns}
+    )
 
 
 def r(expr: str, name: str | None = None) -> str:
-    text = f"round({expr}, 6) + 0.0"
+    text = f"round(({expr})::decimal(38,10), 6)::double"
     return f'{text} AS "{name}"' if name else text

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabeval.functions import file_stem
+from tabeval.functions import file_stem, fixed_text
 from tabeval.queries import frames as fr
 from tabeval.queries.registry import query
 
@@ -22,10 +22,10 @@ def number_formats(spark, d):
     )
     return rows.select(
         "l_suppkey",
-        F.format_string("%.4f", "a").alias("four"),
-        F.format_string("%.3f", "b").alias("three"),
-        F.format_string("%.1f", "c").alias("one"),
-        F.format_string("%.2f%%", F.col("t") * 100).alias("percent"),
+        fixed_text("a", 4).alias("four"),
+        fixed_text("b", 3).alias("three"),
+        fixed_text("c", 1).alias("one"),
+        F.concat(fixed_text(F.col("t") * 100, 2), F.lit("%")).alias("percent"),
         F.format_number("s", 0).alias("thousands"),
     )
 

@@ -247,9 +247,10 @@ def dropout_series(spark, d):
     return fix(rows.select("combination_id", "dropout_rate", "auc", "activation"), "auc")
 
 
-@query("w15_epoch_axis", R + "SELECT combination_id, unnest(range(1, epochs_trained + 1))::int AS epoch FROM runs")
+@query("w15_epoch_axis", R + _TOP + "SELECT combination_id, unnest(range(1, epochs_trained + 1))::int AS epoch FROM top WHERE rank <= 5")
 def epoch_axis(spark, d):
-    return training_log.epoch_axis(fr.runs(spark, d))
+    """The epochs of the five best runs."""
+    return training_log.epoch_axis(results.top_runs(fr.runs(spark, d), 5))
 
 
 @query("f4_list_text", R + "SELECT combination_id, layer_sizes, num_layers FROM runs")

@@ -143,7 +143,7 @@ def _report_sql():
           format('{:.4f}', round_even(std, 4)) || '  count=' || n FROM stats""",
         "SELECT '- Best performing layer configuration: ' || layer_sizes FROM top WHERE rank = 1",
     ]
-    shown = {"%.3f": "format('{:.3f}', value::double)", "%.1f": "format('{:.1f}', value::double)", None: "value"}
+    shown = {3: "format('{:.3f}', value::double)", 1: "format('{:.1f}', value::double)", None: "value"}
     for axis, text, fmt in analysis.INSIGHTS:
         rows.append(f"SELECT '{text}' || {shown[fmt]} FROM best WHERE axis = '{axis}'")
     long = " UNION ALL ".join(
@@ -188,12 +188,12 @@ def search_analysis(spark, d):
         return df.select(F.lit(part).alias("part"), name.alias("name"), value.alias("value"))
 
     overall = t["overall"].select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("name"), (F.round(n, 6) + F.lit(0.0)).alias("value")) for n in ("mean", "max")
+        F.struct(F.lit(n).alias("name"), F.round(F.col(n).cast("decimal(38,10)"), 6).cast("double").alias("value")) for n in ("mean", "max")
     ])))
     return (
         rows(t["axis_statistics"], "axis", F.concat_ws("=", "axis", "value"), F.col("mean"))
         .unionByName(rows(overall, "overall", F.col("name"), F.col("value")))
-        .unionByName(rows(t["top_five"], "top", F.col("combination_id").cast("string"), F.round("auc", 6) + F.lit(0.0)))
+        .unionByName(rows(t["top_five"], "top", F.col("combination_id").cast("string"), F.round(F.col("auc").cast("decimal(38,10)"), 6).cast("double")))
     )
 
 

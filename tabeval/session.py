@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tabeval") -> SparkSession:
@@ -23,17 +23,32 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tabev
     )
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting falls back to a folder of this machine; on a
     cluster executors would not see such a folder, so there the setting is required.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        base = context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tabeval-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tabeval-{uuid.uuid4().hex}/{name}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/tabeval-{uuid.uuid4().hex}/{name}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows computed once and kept in the shared folder: no later step repeats the work, and a
+    lost executor takes nothing with it. For small intermediate tables."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

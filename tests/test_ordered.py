@@ -82,15 +82,15 @@ def test_empty_input(spark):
 PROBABILITIES = [0.0, 0.25, 0.5, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("accuracy", [10, 2000])
-def test_quantiles_match_numpy(spark, accuracy):
+@pytest.mark.parametrize("accuracy,margin", [(10, None), (2000, None), (2000, 0.0)])
+def test_quantiles_match_numpy(spark, accuracy, margin):
     rng = np.random.default_rng(5)
     groups = {
         "spread": rng.normal(size=3001), "ties": rng.integers(0, 4, 500).astype(float), "one": np.array([2.5]),
         "two": np.array([1.0, 2.0]), "equal": np.full(77, 3.0),
     }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("spread", None), ("none", None)]
-    found = exact_quantiles(frame(spark, rows, "k string, v double"), ["k"], "v", PROBABILITIES, accuracy).collect()
+    found = exact_quantiles(frame(spark, rows, "k string, v double"), ["k"], "v", PROBABILITIES, accuracy, margin).collect()
     got = {(r["k"], r["p"]): r["quantile"] for r in found}
     assert len(got) == len(groups) * len(PROBABILITIES)
     for k, vs in groups.items():
