@@ -72,8 +72,10 @@ def fit_all(models: dict, train: DataFrame, parallel: int = 4) -> dict:
         return {name: job.result() for name, job in jobs.items()}
 
 
-def predictions(model, df: DataFrame, name: str, family: str, key: str = "row_id", label: str = "label") -> DataFrame:
-    """``(model, family, row_id, y, score, pred)``; the label is the model's own decision."""
+def predictions(
+    model, df: DataFrame, name: str, family: str, key: str = "row_id", label: str = "label", keep: tuple = ()
+) -> DataFrame:
+    """``(model, family, row_id, y, score, pred)`` and the kept columns; the label is the model's own decision."""
     scored = model.transform(df)
     if "score" not in scored.columns:
         scored = scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
@@ -84,6 +86,7 @@ def predictions(model, df: DataFrame, name: str, family: str, key: str = "row_id
         F.col(label).cast("int").alias("y"),
         "score",
         F.col("prediction").cast("int").alias("pred"),
+        *keep,
     )
 
 

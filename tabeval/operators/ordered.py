@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabeval.session import settled
+
 SAMPLE_PER_RANGE = 20
 MAX_RANGES = 10_000
 
@@ -52,8 +54,14 @@ def key_names(df: DataFrame) -> list[str]:
 
 
 def _edges(df: DataFrame, names: list[str], ranges: int) -> list[tuple]:
-    sample = df.select(*names).orderBy(F.rand(7)).limit(ranges * SAMPLE_PER_RANGE).collect()
-    rows = sorted(tuple(r) for r in sample)
+    """Keys at even steps of a sample whose size depends on the number of ranges, not of rows."""
+    if ranges < 2:
+        return []
+    keys = df.select(*names)
+    wanted = ranges * SAMPLE_PER_RANGE
+    n = keys.count()
+    sample = keys.sample(wanted / n, seed=7) if n > 2 * wanted else keys
+    rows = sorted(tuple(r) for r in sample.collect())
     picks = {rows[len(rows) * i // ranges] for i in range(1, ranges)} if rows else set()
     return sorted(picks)
 
@@ -72,7 +80,8 @@ def _range_number(names: list[str], schema: T.StructType, edges: list[tuple]) ->
         hit = (at + width <= n) & (F.get(literal, at + width - 1) < row)
         return F.when(hit, at + width).otherwise(at)
 
-    return F.aggregate(F.lit(steps), F.lit(0), step)
+    # Never missing, and said so: else joins on the range would filter on it a second time.
+    return F.coalesce(F.aggregate(F.lit(steps), F.lit(0), step), F.lit(0))
 
 
 def with_ranges(
@@ -103,13 +112,18 @@ def running(
     before: bool = False,
     totals: bool = False,
     ranges: int | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Running sum, max or min per key in the given order.
 
     ``values`` maps a new column to ``(function, input)``. With ``before`` the row itself is left
     out. With ``totals`` each sum also gets ``<name>_total`` over its whole key. ``order`` should
     end in a column that makes it total.
+
+    ``df`` is read for the edges, the range totals and the rows. That is cheap where it is a scan;
+    with ``settle`` a table with much work behind it is computed once and kept.
     """
+    df = settled(df) if settle else df
     cut = with_ranges(df, order, ranges)
     names = key_names(cut)
     inputs = {n: F.col(v) if isinstance(v, str) else v for n, (_, v) in values.items()}
@@ -131,7 +145,8 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     )
     local = cut.select("*", *[fn[n](inputs[n]).over(inside).alias(f"_l_{n}") for n in values])
-    joined = local.join(offsets, [*keys, "_range"])
+    # Without keys there is one offset per range, and the number of ranges is bounded.
+    joined = local.join(offsets if keys else F.broadcast(offsets), [*keys, "_range"])
 
     def merge(n):
         o, l = F.col(f"_o_{n}"), F.col(f"_l_{n}")
@@ -144,8 +159,9 @@ def running(
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "rank", start: int = 1, ranges: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], name: str = "rank", start: int = 1, ranges: int | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Consecutive numbers per key in the given order, like ``row_number`` but spread over tasks."""
-    counted = running(df, keys, order, {name: ("sum", F.lit(1))}, ranges=ranges)
+    counted = running(df, keys, order, {name: ("sum", F.lit(1))}, ranges=ranges, settle=settle)
     return counted.withColumn(name, (F.col(name) + (start - 1)).cast("bigint"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabeval.operators.joins import lookup
 from tabeval.operators.ordered import running
 from tabeval.session import settled
 
@@ -41,11 +42,8 @@ def exact_quantiles(
     margin = 2.0 / accuracy if margin is None else margin
     probabilities = [float(p) for p in probabilities]
     places = [min(max(p + s * margin, 0.0), 1.0) for p in probabilities for s in (-1, 1)]
-    sketch = settled(data.groupBy(*keys).agg(F.percentile_approx("_v", places, accuracy).alias("_cuts")))
-    if keys:
-        cut = data.join(sketch, keys)
-    else:
-        cut = data.withColumn("_cuts", sketch.scalar())
+    sketch = data.groupBy(*keys).agg(F.percentile_approx("_v", places, accuracy).alias("_cuts"))
+    cut = lookup(data, sketch, keys) if keys else data.withColumn("_cuts", settled(sketch).scalar())
     edges = [F.get("_cuts", F.lit(i)) for i in range(len(places))]
     inside = F.lit(False)
     for low, high in zip(edges[::2], edges[1::2]):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.functions import INF, present, round_even
+from tabeval.operators.joins import lookup
 from tabeval.operators.ordered import number_rows, running
 from tabeval.operators.quantiles import exact_quantiles
 from tabeval.schema import METRICS, RUN_AXES, RUN_NUMERIC
@@ -20,8 +21,11 @@ def q(name: str) -> Column:
 
 
 def rank_summary(summary: DataFrame, metric: str = "AUC", key: str = "Model") -> DataFrame:
-    """Every row with its rank by falling metric, missing last, equal values by name."""
-    return number_rows(summary, [], [f"{metric} desc", key], "rank")
+    """Every row with its rank by falling metric, missing last, equal values by name.
+
+    A summary has one row per model and many predictions behind it, so it is settled first.
+    """
+    return number_rows(summary, [], [f"{metric} desc", key], "rank", settle=True)
 
 
 def _falling(metric: str, key: str) -> list[Column]:
@@ -35,12 +39,15 @@ def top_models(summary: DataFrame, n: int, metric: str = "AUC", key: str = "Mode
 
 
 def best_per_group(summary: DataFrame, group: str, metric: str = "AUC", key: str = "Model") -> DataFrame:
-    """The best row of each group as one aggregation: no group is sorted or moved whole."""
-    value = F.coalesce(present(q(metric)), F.lit(-INF))
-    top = summary.groupBy(group).agg(F.max(value).alias("_best"))
-    candidates = summary.withColumn("_value", value).join(top, group).filter(F.col("_value") == F.col("_best"))
-    names = [c for c in summary.columns if c not in (group, key)]
-    picked = candidates.groupBy(group).agg(F.min_by(F.struct(key, *[q(c) for c in names]), key).alias("_row"))
+    """The best row of each group, missing last, equal values by name.
+
+    One aggregation with partial results on the map side: no group is sorted or moved whole.
+    """
+    value = present(q(metric))
+    place = F.struct(value.isNull(), F.coalesce(-value, F.lit(0.0)), F.col(key))
+    picked = summary.groupBy(group).agg(
+        F.min_by(F.struct(*[q(c) for c in summary.columns if c != group]), place).alias("_row")
+    )
     return picked.select(group, "_row.*").select(*[q(c) for c in summary.columns])
 
 
@@ -226,7 +233,7 @@ def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     rows, boxes = _fences(df, group, value)
     inside = (F.col("v") >= F.col("_low")) & (F.col("v") <= F.col("_high"))
     box = ["q1", "median", "q3", "n"]
-    stats = rows.join(boxes, group).groupBy(group).agg(
+    stats = lookup(rows, boxes, [group]).groupBy(group).agg(
         *[F.max(c).alias(c) for c in box],
         F.min(F.when(inside, F.col("v"))).alias("_lo"),
         F.max(F.when(inside, F.col("v"))).alias("_hi"),
@@ -243,7 +250,7 @@ def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def box_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
     rows, boxes = _fences(df, group, value)
-    return rows.join(boxes, group).filter("v < _low OR v > _high").select(group, F.col("v").alias(value))
+    return lookup(rows, boxes, [group]).filter("v < _low OR v > _high").select(group, F.col("v").alias(value))
 
 
 def running_best(runs: DataFrame, metric: str = "auc", key: str = "combination_id") -> DataFrame:

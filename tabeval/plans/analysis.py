@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.functions import fixed_text, present
 from tabeval.operators import results, training_log
 from tabeval.schema import RUNS
+from tabeval.session import settled
 from tabeval.sources import writers
 
 # The report's section titles per axis, its insight lines and their number formats.
@@ -56,9 +57,9 @@ def analyse_runs(runs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _lines(df: DataFrame, start: float, *texts) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(float(start + i)).alias("ord"), x.alias("line")) for i, x in enumerate(texts)])
-    return df.select(F.inline(rows))
+def _lines(df: DataFrame, lines: list[tuple[float, Column]], *keep) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(float(at)).alias("ord"), text.alias("line")) for at, text in lines])
+    return df.select(*keep, F.inline(rows))
 
 
 def plain_number(c):
@@ -75,8 +76,8 @@ def shown_spread(c):
 def report_lines(runs: DataFrame) -> DataFrame:
     """The search report as ``(ord, line)``.
 
-    All parts are small by now: one row of totals, five runs, one row per axis value. One grouped
-    pass over the runs feeds the axis sections, one top-5 the configurations.
+    Three passes over the runs: the totals, the five best, and one grouped pass for all axes, whose
+    result (one row per axis value) is settled because two sections use it.
     """
     total = runs.agg(
         F.count("*").alias("n"),
@@ -84,16 +85,17 @@ def report_lines(runs: DataFrame) -> DataFrame:
         F.avg(present("auc")).alias("mean"),
         F.stddev_samp(present("auc")).alias("std"),
     )
-    overview = _lines(
-        total, 0,
+    head = [
         F.lit(RULE), F.lit("HYPERPARAMETER SEARCH ANALYSIS REPORT"), F.lit(RULE), F.lit("Search Overview:"),
         F.format_string("- Total configurations tested: %d", "n"),
         F.concat(F.lit("- Best AUC score: "), fixed_text("max_auc", 4)),
         F.concat(F.lit("- Best accuracy: "), fixed_text("max_accuracy", 4)),
         F.concat(F.lit("- Average AUC: "), fixed_text("mean", 4), F.lit(" ± "), shown_spread("std")),
         F.lit("Top 5 Configurations:"),
-    )
-    top = results.top_runs(runs, 5)
+    ]
+    titles = [(900, F.lit("Parameter Analysis:")), (901, F.lit("------------------")), (9000, F.lit("Key Insights:"))]
+    titles += [(1000 * (i + 1), F.lit(title)) for i, (_, title) in enumerate(AXIS_TITLES)]
+    fixed = _lines(total, list(enumerate(head)) + titles)
 
     def item(label, text):
         return F.concat(F.lit(f"   - {label}: "), text)
@@ -110,13 +112,15 @@ def report_lines(runs: DataFrame) -> DataFrame:
         item("Weight Decay", plain_number("weight_decay")),
         item("Parameters", F.format_number("total_params", 0)),
     ]
-    configurations = top.select(
-        "rank", F.posexplode(F.array(*details)).alias("_i", "line")
-    ).select((100.0 + F.col("rank") * 20 + F.col("_i")).alias("ord"), "line")
+    best_layers = F.concat(F.lit("- Best performing layer configuration: "), "layer_sizes")
+    configurations = (
+        _lines(results.top_runs(runs, 5), [*enumerate(details), (-1, best_layers)], "rank")
+        .filter((F.col("ord") >= 0) | (F.col("rank") == 1))
+        .select(F.when(F.col("ord") < 0, 9001.0).otherwise(100 + F.col("rank") * 20 + F.col("ord")).alias("ord"), "line")
+    )
 
-    stats = results.axis_statistics(runs)
-    order = F.create_map(*[F.lit(x) for i, (a, _) in enumerate(AXIS_TITLES) for x in (a, 1000.0 * (i + 1))])
-    place = F.element_at(order, F.col("axis"))
+    stats = settled(results.axis_statistics(runs))
+    place = _by_axis({a: 1000.0 * (i + 1) for i, (a, _) in enumerate(AXIS_TITLES)})
     # Values of an axis in their own order: numbers by size, words by spelling.
     number = F.coalesce(F.expr("try_cast(value AS double)"), F.lit(0.0))
     sections = results.rounded(stats).select(
@@ -125,24 +129,23 @@ def report_lines(runs: DataFrame) -> DataFrame:
             "%s  mean=%s  std=%s  count=%d", "value", fixed_text("mean", 4), shown_spread("std"), "count"
         ).alias("line"),
     )
-    titles = _lines(total, 900, F.lit("Parameter Analysis:"), F.lit("------------------"))
-    for i, (_, title) in enumerate(AXIS_TITLES):
-        titles = titles.unionByName(_lines(total, 1000.0 * (i + 1), F.lit(title)))
-
-    insights = _lines(total, 9000, F.lit("Key Insights:")).unionByName(
-        _lines(
-            results.top_runs(runs, 1), 9001, F.concat(F.lit("- Best performing layer configuration: "), "layer_sizes")
+    shown = F.col("value")
+    for axis, _, places in INSIGHTS:
+        if places is not None:
+            shown = F.when(F.col("axis") == axis, fixed_text(F.expr("try_cast(value AS double)"), places)).otherwise(shown)
+    insights = (
+        results.best_axis_values(stats)
+        .filter(F.col("axis").isin([a for a, _, _ in INSIGHTS]))
+        .select(
+            _by_axis({a: 9002.0 + i for i, (a, _, _) in enumerate(INSIGHTS)}).alias("ord"),
+            F.concat(_by_axis({a: text for a, text, _ in INSIGHTS}), shown).alias("line"),
         )
     )
-    best = results.best_axis_values(stats)
-    for i, (axis, text, fmt) in enumerate(INSIGHTS):
-        shown = fixed_text(F.col("value").cast("double"), fmt) if fmt is not None else F.col("value")
-        insights = insights.unionByName(
-            best.filter(F.col("axis") == axis).select(
-                F.lit(9002.0 + i).alias("ord"), F.concat(F.lit(text), shown).alias("line")
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), [overview, configurations, titles, sections, insights])
+    return reduce(lambda a, b: a.unionByName(b), [fixed, configurations, sections, insights])
+
+
+def _by_axis(values: dict) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("axis"))
 
 
 def save_analysis(runs: DataFrame, folder: str) -> None:

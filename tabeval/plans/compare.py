@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabeval.functions import fixed_text
 from tabeval.operators import results
+from tabeval.session import settled
 
 
 def union_summaries(summaries: dict[str, DataFrame]) -> DataFrame:
@@ -18,7 +19,8 @@ def union_summaries(summaries: dict[str, DataFrame]) -> DataFrame:
 
 
 def compare(combined: DataFrame, first: str, second: str) -> dict[str, DataFrame]:
-    """Every table of the comparison report, each a lazy plan over the combined summary."""
+    """Every table of the comparison report, each a lazy plan over the combined summary, which is settled once."""
+    combined = settled(combined)
     return {
         "ranked": results.rank_summary(combined),
         "counts": results.model_counts(combined, [first, second]),

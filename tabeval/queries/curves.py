@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabeval.functions import decide, fixed_text
 from tabeval.operators import curves, metrics
+from tabeval.operators.joins import lookup
 from tabeval.queries import frames as fr
 from tabeval.queries.registry import fix, query, r
 
@@ -153,5 +154,5 @@ def curve_labels(spark, d):
     """Curve points with the legend text of their model: the summary side has one row per model."""
     points = curves.roc_points(fr.preds(spark, d), ["model"], drop_intermediate=False).filter("idx > 0")
     label = F.concat("model", F.lit(" (AUC = "), fixed_text("auc", 3), F.lit(")")).alias("label")
-    found = points.join(_metrics(spark, d).select("model", label), "model")
+    found = lookup(points, _metrics(spark, d).select("model", label), ["model"])
     return fix(found.select("model", "label", "idx", "fpr", "tpr"), "fpr", "tpr")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabeval.functions import json_array, present, standardise, unit_hash
 from tabeval.operators import prepare, split
+from tabeval.operators.joins import lookup
 from tabeval.queries import frames as fr
 from tabeval.queries.registry import fix, query, r
 
@@ -249,7 +250,7 @@ def statistics_by_column(spark, d):
     """Long form of the fill: each feature name finds its statistic, one row per feature."""
     rows = fr.features(spark, d)
     medians = prepare.feature_medians(rows.filter("split = 'train'"), COLS).select("feature", "median")
-    long = prepare.long_features(rows, ["row_id"], COLS).join(medians, "feature")
+    long = lookup(prepare.long_features(rows, ["row_id"], COLS), medians, ["feature"])
     return fix(long.select("row_id", "feature", F.coalesce("value", "median").alias("value")), "value")
 
 
