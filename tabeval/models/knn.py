@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,7 +169,9 @@ class KNearest(Estimator):
         return KNearestModel(self, df.select(self.key, self.features, self.label))
 
 
-class KNearestModel(Model):
+class KNearestModel(Model, MLWritable):
+    """The training rows and the settings; saved as a parquet table beside the stage's metadata."""
+
     def __init__(self, settings: KNearest, train: DataFrame):
         super().__init__()
         self.settings, self.train = settings, train
@@ -183,3 +186,32 @@ class KNearestModel(Model):
         labels = self.train.select(F.col(s.key).alias("neighbour"), F.col(s.label).cast("double").alias("_vote"))
         votes = near.join(labels, "neighbour").groupBy(F.col("query").alias(s.key)).agg(F.avg("_vote").alias("score"))
         return df.join(votes, s.key).withColumn("prediction", (F.col("score") > 0.5).cast("double"))
+
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader()
+
+    @classmethod
+    def load(cls, path: str) -> "KNearestModel":
+        return cls.read().load(path)
+
+
+class _Writer(MLWriter):
+    def __init__(self, model: KNearestModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        s = self.model.settings
+        kept = {"k": s.k, "key": s.key, "features": s.features, "label": s.label}
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"settings": kept})
+        self.model.train.write.parquet(f"{path}/rows")
+
+
+class _Reader(MLReader):
+    def load(self, path: str) -> KNearestModel:
+        kept = DefaultParamsReader.loadMetadata(path, self.sparkSession)["settings"]
+        return KNearestModel(KNearest(**kept), self.sparkSession.read.parquet(f"{path}/rows"))

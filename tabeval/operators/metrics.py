@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.functions import log_loss, ratio
-from tabeval.operators.ordered import key_names, with_ranges
+from tabeval.operators.ordered import find_ranges
 
 
 def confusion_counts(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,15 +47,26 @@ def confusion_matrix(preds: DataFrame, keys: list[str]) -> DataFrame:
     return counts.select(*keys, F.inline(rows))
 
 
-def score_counts(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per distinct score and key; equal scores collapse before anything is shuffled."""
+def ranged_scores(preds: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """One row per key and distinct score with ``pos``, ``neg``, ``tp``, ``fp`` and the score's ``_range``.
+
+    Ranges rise as scores fall. Where scores repeat, equal ones collapse before anything is
+    shuffled. Where nearly all differ, collapsing first would shuffle every row once more for
+    nothing; the rows then go straight to their range, and the windows after it need no exchange.
+    """
     hit = F.col("pred") == 1
-    return preds.groupBy(*keys, "score").agg(
+    counts = [
         F.count_if(F.col("y") == 1).alias("pos"),
         F.count_if(F.col("y") == 0).alias("neg"),
         F.count_if(hit & (F.col("y") == 1)).alias("tp"),
         F.count_if(hit & (F.col("y") == 0)).alias("fp"),
-    )
+    ]
+    found = find_ranges(preds, ["score desc"], ranges, keys)
+    if found.mostly_distinct():
+        placed = found.number(preds.select(*keys, "score", "y", "pred")).repartition(*keys, "_range")
+        return placed.groupBy(*keys, "_range", "score").agg(*counts)
+    collapsed = found.number(preds.groupBy(*keys, "score").agg(*counts))
+    return collapsed.select(*keys, "_range", "score", "pos", "neg", "tp", "fp")
 
 
 def classification_metrics(preds: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
@@ -65,15 +76,15 @@ def classification_metrics(preds: DataFrame, keys: list[str], ranges: int | None
     (ties count half). Ranges of the score are summed on their own; the positives of higher ranges
     enter per range afterwards. A key with one class has no AUC.
     """
-    cut = with_ranges(score_counts(preds, keys), ["score desc"], ranges, preds)
     inside = (
         Window.partitionBy(*keys, "_range")
-        .orderBy(*key_names(cut))
+        .orderBy(F.desc_nulls_last("score"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     above = F.sum("pos").over(inside) - F.col("pos") / 2
     parts = (
-        cut.withColumn("_area", F.col("neg") * above)
+        ranged_scores(preds, keys, ranges)
+        .withColumn("_area", F.col("neg") * above)
         .groupBy(*keys, "_range")
         .agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp", "_area")])
     )

@@ -11,7 +11,9 @@ only how work is spread; every row is used and results do not depend on them.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +21,19 @@ from pyspark.sql import types as T
 from tabeval.session import settled
 
 SAMPLE_PER_RANGE = 20
-MAX_RANGES = 10_000
+SMALLEST_SAMPLE = 10_000
+RANGES_PER_PARTITION = 8  # more ranges than tasks: even shares, short windows
+MAX_RANGES = 20_000
 
 _FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def _flagged(df: DataFrame, name: str) -> bool:
+    """Whether a column can be missing and so gets a flag in front of its sort key."""
+    field = df.schema[name]
+    return field.nullable or isinstance(field.dataType, (T.DoubleType, T.FloatType))
+
+
 def sort_keys(df: DataFrame, order: list[str]) -> list[Column]:
     """Columns whose ascending order is the wanted one, missing values last.
 
@@ -34,14 +44,13 @@ def sort_keys(df: DataFrame, order: list[str]) -> list[Column]:
         name, _, direction = item.partition(" ")
         field = df.schema[name]
         value = F.col(name)
-        floating = isinstance(field.dataType, (T.DoubleType, T.FloatType))
-        if floating:
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             value = F.when(~F.isnan(value), value)
         if direction == "desc":
             if not isinstance(field.dataType, T.NumericType):
                 raise ValueError(f"descending order needs a number: {name}")
             value = -value
-        if field.nullable or floating:
+        if _flagged(df, name):
             keys.append(F.isnull(value).cast("int"))
             filler = F.lit("") if isinstance(field.dataType, T.StringType) else F.lit(0).cast(field.dataType)
             value = F.coalesce(value, filler)
@@ -53,23 +62,8 @@ def key_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_k")]
 
 
-def _edges(df: DataFrame, names: list[str], ranges: int) -> list[tuple]:
-    """Keys at even steps of a sample whose size depends on the number of ranges, not of rows."""
-    if ranges < 2:
-        return []
-    keys = df.select(*names)
-    wanted = ranges * SAMPLE_PER_RANGE
-    n = keys.count()
-    sample = keys.sample(wanted / n, seed=7) if n > 2 * wanted else keys
-    rows = sorted(tuple(r) for r in sample.collect())
-    picks = {rows[len(rows) * i // ranges] for i in range(1, ranges)} if rows else set()
-    return sorted(picks)
-
-
-def _range_number(names: list[str], schema: T.StructType, edges: list[tuple]) -> Column:
+def _struct_number(names: list[str], schema: T.StructType, edges: list[tuple]) -> Column:
     """How many edges lie below the row's key, by binary search over one literal array."""
-    if not edges:
-        return F.lit(0)
     n = len(edges)
     text = json.dumps([dict(zip(names, e)) for e in edges])
     literal = F.from_json(F.lit(text), T.ArrayType(schema))
@@ -80,28 +74,89 @@ def _range_number(names: list[str], schema: T.StructType, edges: list[tuple]) ->
         hit = (at + width <= n) & (F.get(literal, at + width - 1) < row)
         return F.when(hit, at + width).otherwise(at)
 
-    # Never missing, and said so: else joins on the range would filter on it a second time.
-    return F.coalesce(F.aggregate(F.lit(steps), F.lit(0), step), F.lit(0))
-
-
-def with_ranges(
-    df: DataFrame, order: list[str], ranges: int | None = None, sample_from: DataFrame | None = None
-) -> DataFrame:
-    """Add the sort keys ``_k*`` and the range number ``_range``, which rises with the order.
-
-    The edges are sampled from ``df``, or from ``sample_from`` where the ordering columns can be had
-    without the work behind ``df``.
+    return F.aggregate(F.lit(steps), F.lit(0), step)
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Edges that cut an order into ranges, and what their sample told about the rows."""
+
+    order: list[str]
+    edges: list[tuple]
+    rows: int
+    sampled: int
+    repeated: int
+
+    def mostly_distinct(self) -> bool:
+        """Whether equal keys are so rare that collapsing them first would not pay.
+
+        From the repeats among the sampled rows: k draws from c equally likely keys repeat about
+        k*k/2c times, and collapsing pays from two rows per key on.
+        """
+        return self.repeated == 0 or self.rows < self.sampled**2 / self.repeated
+
+    def number(self, df: DataFrame) -> DataFrame:
+        """Add the sort keys ``_k*`` and the range number ``_range``, which rises with the order."""
+        keyed = df.select("*", *sort_keys(df, self.order))
+        if not self.edges:
+            return keyed.withColumn("_range", F.lit(0))
+        names = key_names(keyed)
+        lead = self._leading(keyed, names)
+        if lead is not None:
+            flag, value = lead
+            at = names.index(value)
+            splits = [float("-inf"), *[float(e[at]) for e in self.edges], float("inf")]
+            ranged = Bucketizer(splits=splits, inputCol="_lead", outputCol="_cell", handleInvalid="keep").transform(
+                keyed.withColumn("_lead", F.col(value).cast("double"))
+            )
+            cell = F.col("_cell").cast("int")
+            if flag:
+                cell = F.when(F.col(flag) == 1, len(self.edges) + 1).otherwise(cell)
+            # Never missing, and said so: else joins on the range would filter on it a second time.
+            return ranged.withColumn("_range", F.coalesce(cell, F.lit(0))).drop("_lead", "_cell")
+        schema = T.StructType([T.StructField(n, keyed.schema[n].dataType) for n in names])
+        return keyed.withColumn("_range", F.coalesce(_struct_number(names, schema, self.edges), F.lit(0)))
+
+    def _leading(self, keyed: DataFrame, names: list[str]) -> tuple[str | None, str] | None:
+        """The first ordering column, if it is a number and tells all edges apart by itself.
+
+        Then a compiled search over it is enough. Heavy equal values or many missing ones make
+        edges that agree in it, and the following columns must cut them.
+        """
+        first = self.order[0].partition(" ")[0]
+        if not isinstance(keyed.schema[first].dataType, T.NumericType):
+            return None
+        flag = "_k0" if _flagged(keyed, first) else None
+        value = "_k1" if flag else "_k0"
+        at = names.index(value)
+        picks = [float(e[at]) for e in self.edges]
+        if len(set(picks)) < len(picks) or (flag and any(e[0] for e in self.edges)):
+            return None
+        return flag, value
+
+
+def find_ranges(
+    df: DataFrame, order: list[str], ranges: int | None = None, keys: list[str] = ()
+) -> Ranges:
+    """Edges at even steps of a sample whose size depends on the number of ranges, not of rows.
+
+    Repeats in the sample are counted over ``keys`` and the order together.
     """
     spark = df.sparkSession
     if ranges is None:
-        ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    keyed = df.select("*", *sort_keys(df, order))
-    names = key_names(keyed)
-    schema = T.StructType([T.StructField(n, keyed.schema[n].dataType) for n in names])
-    source = keyed
-    if sample_from is not None:
-        source = sample_from.select(*sort_keys(sample_from, order))
-    return keyed.withColumn("_range", _range_number(names, schema, _edges(source, names, ranges)))
+        ranges = min(RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    found = df.select(*keys, *sort_keys(df, order))
+    wanted = max(ranges * SAMPLE_PER_RANGE, SMALLEST_SAMPLE)
+    n = found.count()
+    sample = [tuple(r) for r in (found.sample(wanted / n, seed=7) if n > 2 * wanted else found).collect()]
+    rows = sorted(r[len(keys):] for r in sample)
+    picks = {rows[len(rows) * i // ranges] for i in range(1, ranges)} if rows else set()
+    return Ranges(order, sorted(picks), n, len(sample), len(sample) - len(set(sample)))
+
+
+def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """The rows with their sort keys and range numbers."""
+    return find_ranges(df, order, ranges).number(df)
 
 
 def running(

@@ -155,16 +155,14 @@ def _pair_sums(columns: list[str]):
 def correlations(df: DataFrame, columns: list[str] = RUN_NUMERIC) -> DataFrame:
     """Pearson correlation of every pair over rows where both are present, ``(x, y, r)``; both directions.
 
-    One scan: each partition multiplies its rows into one small matrix, and the matrices are added.
-    A constant column has no correlation. Values are centred first, so that the sums do not cancel.
+    After a scan for the means, each partition multiplies its centred rows into one small matrix and
+    the matrices are added; centred sums do not cancel. A constant column has no correlation.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    means = df.agg(*[F.avg(present(c).cast("double")).alias(c) for c in columns])
-    centred = df.select(
-        *[(present(c).cast("double") - means.select(c).scalar()).alias(c) for c in columns]
-    )
+    means = df.agg(*[F.avg(present(c).cast("double")).alias(c) for c in columns]).first()
+    centred = df.select(*[(present(c).cast("double") - F.lit(means[c] or 0.0)).alias(c) for c in columns])
     d = len(columns)
     parts = centred.mapInPandas(_pair_sums(columns), "sums array<double>")
     sums = parts.agg(vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("sums"))["sum"]).alias("s"))

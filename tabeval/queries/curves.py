@@ -106,10 +106,10 @@ def precision_recall_points(spark, d):
     SELECT model, {r('''avg(-(y * CASE WHEN score > 0 THEN greatest(ln(CASE WHEN score > 0 THEN score END), -100)
         ELSE -100 END + (1 - y) * CASE WHEN score < 1
         THEN greatest(ln(CASE WHEN score < 1 THEN 1 - score END), -100) ELSE -100 END))''', 'log_loss')}
-    FROM preds WHERE score <= 1 GROUP BY model""",
+    FROM preds GROUP BY model""",
 )
 def log_loss(spark, d):
-    return fix(metrics.mean_log_loss(fr.preds(spark, d).filter("score <= 1"), ["model"]), "log_loss")
+    return fix(metrics.mean_log_loss(fr.preds(spark, d), ["model"]), "log_loss")
 
 
 _ROW = ", ".join(r(c, c) for c in ("accuracy", "precision", "recall", "f1", "auc"))

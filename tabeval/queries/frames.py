@@ -98,7 +98,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 PREDS = f"""preds AS (
   SELECT model, family, event_id AS row_id, (event_type = 'purchase')::int AS y, score, (score > 0.5)::int AS pred
   FROM (
-    SELECT *, 'm1' AS model, 'A' AS family, floor(value / 5) / 100 AS score FROM events
+    SELECT *, 'm1' AS model, 'A' AS family, least(floor(value / 5) / 100, 1.0::double) AS score FROM events
     UNION ALL SELECT *, 'm2', 'A', hour(ts) / 24.0::double FROM events
     UNION ALL SELECT *, 'm3', 'B', {u('event_id')} FROM events
     UNION ALL SELECT *, 'm4', 'B', 0.5::double FROM events))"""
@@ -109,7 +109,7 @@ def preds(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(F.lit(model).alias("model"), F.lit(family).alias("family"), score.alias("score"))
 
     scores = F.array(
-        scored("m1", "A", F.floor(F.col("value") / 5) / F.lit(100.0)),
+        scored("m1", "A", F.least(F.floor(F.col("value") / 5) / F.lit(100.0), F.lit(1.0))),
         scored("m2", "A", F.hour("ts") / F.lit(24.0)),
         scored("m3", "B", unit_hash("event_id")),
         scored("m4", "B", F.lit(0.5)),

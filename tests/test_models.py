@@ -75,6 +75,17 @@ def test_votes(spark):
         assert got[i] == pytest.approx(y[near].mean())
 
 
+def test_every_own_model_saves_and_loads(spark):
+    x, y = ring(120)
+    df = table(spark, x, y)
+    models = [KNearest(k=3), GaussianNB(), AdaBoost(rounds=3), Network([4], epochs=2)]
+    for fitted in [m.fit(df) for m in models]:
+        path = scratch_path(spark, "model")
+        PipelineModel([fitted]).write().overwrite().save(path)
+        again = PipelineModel.load(path).transform(df).select("row_id", F.col("score").alias("s"))
+        assert fitted.transform(df).join(again, "row_id").filter("score = s").count() == 120, fitted
+
+
 def test_naive_bayes_agrees_with_spark(spark):
     x, y = ring()
     df = table(spark, x, y)
