@@ -74,7 +74,8 @@ def classification_metrics(preds: DataFrame, keys: list[str], ranges: int | None
 
     The area adds, for each distinct score, the negatives there times the positives above it
     (ties count half). Ranges of the score are summed on their own; the positives of higher ranges
-    enter per range afterwards. A key with one class has no AUC.
+    enter per range afterwards. A key with one class has no AUC. ``preds`` is read for the edges and
+    for the counts, so costly scores should be stored first, as the evaluation job does.
     """
     inside = (
         Window.partitionBy(*keys, "_range")

@@ -116,13 +116,13 @@ def rounded(stats: DataFrame) -> DataFrame:
 
 
 def best_axis_values(stats: DataFrame) -> DataFrame:
-    """Per axis the value with the highest mean; the smallest value wins ties.
-
-    ``stats`` holds one row per axis value, so it is as small as the search space.
-    """
-    number = F.expr("try_cast(value AS double)")
-    order = Window.partitionBy("axis").orderBy(F.desc_nulls_last("mean"), number.asc(), F.asc("value"))
-    return stats.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """Per axis the value with the highest mean; the smallest value wins ties, numbers by size."""
+    mean = F.col("mean")
+    place = F.struct(
+        mean.isNull(), F.coalesce(-mean, F.lit(0.0)), F.coalesce(F.expr("try_cast(value AS double)"), F.lit(0.0)), "value"
+    )
+    rest = [c for c in stats.columns if c != "axis"]
+    return stats.groupBy("axis").agg(F.min_by(F.struct(*rest), place).alias("_row")).select("axis", "_row.*")
 
 
 def overall_statistics(df: DataFrame, metric: str) -> DataFrame:

@@ -37,24 +37,24 @@ def runs_or_empty(runs: DataFrame | None, spark=None) -> DataFrame:
     return runs
 
 
-def analyse_runs(runs: DataFrame) -> dict[str, DataFrame]:
-    """Every table behind the search report, each a lazy plan over the runs."""
-    stats = results.axis_statistics(runs)
-    return {
-        "overall": results.overall_statistics(runs, "auc"),
-        "overall_accuracy": results.overall_statistics(runs, "accuracy"),
-        "axis_statistics": results.rounded(stats),
-        "best_axis_values": results.best_axis_values(stats),
-        "top_five": results.top_runs(runs, 5),
-        "top_ten": results.top_runs(runs, 10),
-        "correlation": results.correlations(runs),
-        "auc_histogram": results.histogram(runs, "auc"),
-        "accuracy_histogram": results.histogram(runs, "accuracy"),
-        "box_by_layers": results.box_statistics(runs, "num_layers", "auc"),
-        "box_by_batch_size": results.box_statistics(runs, "batch_size", "auc"),
-        "running_best": results.running_best(runs),
-        "epoch_axis": training_log.epoch_axis(results.top_runs(runs, 5)),
+def analyse_runs(runs: DataFrame, tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables behind the search report and its charts, all or the named ones."""
+    every = {
+        "overall": lambda: results.overall_statistics(runs, "auc"),
+        "overall_accuracy": lambda: results.overall_statistics(runs, "accuracy"),
+        "axis_statistics": lambda: results.rounded(results.axis_statistics(runs)),
+        "best_axis_values": lambda: results.best_axis_values(results.axis_statistics(runs)),
+        "top_five": lambda: results.top_runs(runs, 5),
+        "top_ten": lambda: results.top_runs(runs, 10),
+        "correlation": lambda: results.correlations(runs),
+        "auc_histogram": lambda: results.histogram(runs, "auc"),
+        "accuracy_histogram": lambda: results.histogram(runs, "accuracy"),
+        "box_by_layers": lambda: results.box_statistics(runs, "num_layers", "auc"),
+        "box_by_batch_size": lambda: results.box_statistics(runs, "batch_size", "auc"),
+        "running_best": lambda: results.running_best(runs),
+        "epoch_axis": lambda: training_log.epoch_axis(results.top_runs(runs, 5)),
     }
+    return {name: make() for name, make in every.items() if tables is None or name in tables}
 
 
 def _lines(df: DataFrame, lines: list[tuple[float, Column]], *keep) -> DataFrame:

@@ -182,7 +182,7 @@ def text_report(spark, d):
       (SELECT * FROM runs WHERE auc IS NOT NULL ORDER BY auc DESC, combination_id LIMIT 5)""",
 )
 def search_analysis(spark, d):
-    t = analysis.analyse_runs(fr.runs(spark, d))
+    t = analysis.analyse_runs(fr.runs(spark, d), ["axis_statistics", "overall", "top_five"])
 
     def rows(df, part, name, value):
         return df.select(F.lit(part).alias("part"), name.alias("name"), value.alias("value"))
