@@ -35,13 +35,17 @@ def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], axis=1))
 
 
+def _id_type(df: DataFrame) -> str:
+    return df.schema["id"].dataType.simpleString()
+
+
 def _assign_cells(train: DataFrame, pivots: np.ndarray) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             d = _pivot_distances(_matrix(pdf["x"]), pivots)
             yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), dist=d.min(axis=1))
 
-    return train.mapInPandas(assign, "id bigint, x array<double>, cell int, dist double")
+    return train.mapInPandas(assign, f"id {_id_type(train)}, x array<double>, cell int, dist double")
 
 
 def _first_visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int) -> DataFrame:
@@ -57,7 +61,7 @@ def _first_visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k:
                 cells=[o[: n + 1].astype("int32") for o, n in zip(order, last)], far=list(d)
             )
 
-    return queries.mapInPandas(visit, "id bigint, x array<double>, cells array<int>, far array<double>")
+    return queries.mapInPandas(visit, f"id {_id_type(queries)}, x array<double>, cells array<int>, far array<double>")
 
 
 def _block_pair(k: int):
@@ -72,7 +76,7 @@ def _block_pair(k: int):
                 near = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1])
             else:
                 near = np.arange(len(d2))
-            near = near[np.lexsort((ids[near], d2[near]))][:k]
+            near = sorted(near, key=lambda i: (d2[i], ids[i]))[:k]
             out.append(pd.DataFrame({"query": query, "neighbour": ids[near], "d2": d2[near]}))
         return pd.concat(out, ignore_index=True)
 
@@ -97,7 +101,7 @@ def _search(train_cells: DataFrame, visits: DataFrame, sizes: np.ndarray, k: int
     return (
         t.groupBy(*keys)
         .cogroup(v.groupBy(*keys))
-        .applyInPandas(_block_pair(k), "query bigint, neighbour bigint, d2 double")
+        .applyInPandas(_block_pair(k), f"query {_id_type(visits)}, neighbour {_id_type(train_cells)}, d2 double")
     )
 
 
@@ -119,15 +123,17 @@ def nearest_neighbours(
 
     The pivots and one count and radius per pivot are all the driver sees.
     """
-    t = train.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    q = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    t = train.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    q = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     n = t.count()
     pivots = pivots or _pivot_count(n, block)
     # Any rows serve as pivots; a thin sample keeps the top-n from each partition small.
     thin = t.sample(20 * pivots / n, seed=7) if n > 1000 * pivots else t
     chosen = [r["x"] for r in thin.select("x", "id").orderBy(F.xxhash64("id")).limit(pivots).collect()]
     if not chosen:
-        return train.sparkSession.createDataFrame([], "query bigint, neighbour bigint, d2 double, rank bigint")
+        return train.sparkSession.createDataFrame(
+            [], f"query {_id_type(q)}, neighbour {_id_type(t)}, d2 double, rank bigint"
+        )
     points = np.asarray(chosen, dtype="float64")
 
     cells = _assign_cells(t, points)

@@ -49,14 +49,14 @@ def perceptron(width: int, hidden: list[int], max_iter: int = 1000, **options):
     return MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=max_iter, seed=SEED, **options)
 
 
-def classic_models(rows: int, width: int) -> dict:
-    """The nine classifiers under their report names."""
+def classic_models(rows: int, width: int, key: str = "row_id") -> dict:
+    """The nine classifiers under their report names; ``key`` names the row key neighbours are told by."""
     return {
         "Logistic Regression": logistic_regression(rows),
         "Random Forest": random_forest(),
         "Gradient Boosting": gradient_boosting(),
         "SVM": FourierSVC(seed=SEED),
-        "K-Nearest Neighbors": KNearest(k=5),
+        "K-Nearest Neighbors": KNearest(k=5, key=key),
         "Naive Bayes": GaussianNB(),
         "Decision Tree": decision_tree(),
         "AdaBoost": AdaBoost(seed=SEED),

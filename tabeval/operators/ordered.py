@@ -11,6 +11,7 @@ only how work is spread; every row is used and results do not depend on them.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -25,6 +26,8 @@ SMALLEST_SAMPLE = 10_000
 RANGES_PER_PARTITION = 8  # more ranges than tasks: even shares, short windows
 MAX_RANGES = 20_000
 
+ORDERED_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType)
+
 _FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -44,6 +47,8 @@ def sort_keys(df: DataFrame, order: list[str]) -> list[Column]:
         name, _, direction = item.partition(" ")
         field = df.schema[name]
         value = F.col(name)
+        if not isinstance(field.dataType, ORDERED_TYPES):
+            raise ValueError(f"cannot order by {name}: neither a number nor text")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             value = F.when(~F.isnan(value), value)
         if direction == "desc":
@@ -130,7 +135,9 @@ class Ranges:
         value = "_k1" if flag else "_k0"
         at = names.index(value)
         picks = [float(e[at]) for e in self.edges]
-        if len(set(picks)) < len(picks) or (flag and any(e[0] for e in self.edges)):
+        if len(set(picks)) < len(picks) or any(math.isinf(p) for p in picks):
+            return None
+        if flag and any(e[0] for e in self.edges):
             return None
         return flag, value
 

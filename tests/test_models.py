@@ -65,6 +65,27 @@ def test_fewer_rows_than_neighbours(spark):
     assert none.count() == 0
 
 
+def test_neighbours_of_named_rows(spark):
+    rows = [("c", [1.0]), ("a", [1.0]), ("b", [0.0])]
+    df = spark.createDataFrame(rows, "Name string, x array<double>")
+    got = nearest_neighbours(df, df.filter("Name = 'b'"), 2, key="Name").orderBy("rank").collect()
+    assert [(r["query"], r["neighbour"]) for r in got] == [("b", "b"), ("b", "a")]
+
+
+def test_evaluation_by_name(spark):
+    """The whole job with a text key, as in descriptor files."""
+    rows = [(f"n{i}", i % 2, "test" if i % 5 == 0 else "train", float(i % 7), float("nan") if i % 11 == 0 else float(i % 2) + i % 3)
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "Name string, label int, split string, a double, b double")
+    df = ev.with_validation(df, "Name")
+    assert {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}["val"] == 32
+    vectors, fitted = ev.prepared_vectors(df, ["a", "b"])
+    models = {"K-Nearest Neighbors": KNearest(key="Name"), "Logistic Regression": registry.logistic_regression(128)}
+    found = ev.evaluate(vectors, models, "T", key="Name")
+    assert {r["model"]: r["n"] for r in found.metrics.collect()} == {m: 40 for m in models}
+    assert found.preds.columns == ["model", "family", "Name", "y", "score", "pred"]
+
+
 def test_votes(spark):
     x, y = ring(200)
     df = table(spark, x, y)

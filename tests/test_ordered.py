@@ -70,9 +70,26 @@ def test_text_order_with_odd_characters(spark):
     assert got == sorted(names, key=lambda n: n.encode())
 
 
-def test_descending_text_is_refused(spark):
+def test_infinite_values_have_their_place(spark):
+    values = [float("inf"), 1.0, float("-inf"), None, float("inf"), 0.0, -2.5] * 30
+    df = frame(spark, list(enumerate(values)), "id int, v double")
+    got = sorted((r["rank"], r["id"]) for r in number_rows(df, [], ["v desc", "id"], ranges=12).collect())
+    want = sorted(range(len(values)), key=lambda i: (values[i] is None, -(values[i] or 0.0), i))
+    assert got == [(n + 1, i) for n, i in enumerate(want)]
+
+
+def test_unfit_orders_are_refused(spark):
     with pytest.raises(ValueError):
         number_rows(frame(spark, [("a",)], "m string"), [], ["m desc"])
+    with pytest.raises(ValueError):
+        number_rows(frame(spark, [([1],)], "m array<int>"), [], ["m"])
+
+
+def test_heavy_equal_values_are_cut_by_the_next_column(spark):
+    n = 3000
+    df = frame(spark, [(i, 0.5 if i % 3 else float(i)) for i in range(n)], "id int, v double")
+    sizes = [r["count"] for r in with_ranges(df, ["v", "id"], 20).groupBy("_range").count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 10
 
 
 def test_empty_input(spark):
