@@ -79,6 +79,12 @@ def _grow(n: int) -> None:
         _INVERSES = np.cumprod(steps, dtype=np.uint64)
 
 
+def inverses(n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the inverse of the base."""
+    _grow(n)
+    return _INVERSES[:n]
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Running sums of byte times power of an odd base, modulo 2^64; entry i covers the first i bytes."""
     _grow(len(data) + 1)

@@ -59,3 +59,171 @@ def exact_dedup(spark, d):
     from tabeval.llm import exact
 
     return exact.duplicate_groups(table(spark, d, "documents"))
+
+
+@query(
+    "op3_suffix_array_dedup",
+    """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+    w AS (SELECT doc_id, p, md5(x[p:p+199]) AS h FROM (SELECT doc_id, x, unnest(range(1, octet_length(x) - 198)) AS p FROM b)),
+    rep AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+    hit AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM rep)),
+    step AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, true) AS fresh FROM hit),
+    numbered AS (SELECT doc_id, p, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM step),
+    span AS (SELECT doc_id, i, min(p) AS s, max(p) + 199 AS e FROM numbered GROUP BY doc_id, i),
+    piece AS (SELECT doc_id, i, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM span),
+    cut AS (SELECT doc_id, count(*) AS n, sum(e - s + 1) AS removed, max(e) AS last,
+      list({'a': before + 1, 'b': s - 1} ORDER BY i) AS parts FROM piece GROUP BY doc_id),
+    kept AS (SELECT b.doc_id, b.x, c.n, c.removed, list_reduce(list_concat(
+        [x[k.a:k.b] for k in coalesce(c.parts, [])], [x[coalesce(c.last, 0) + 1:octet_length(x)]]),
+        lambda u, v: u || v) AS k FROM b LEFT JOIN cut c ON b.doc_id = c.doc_id)
+    SELECT doc_id, octet_length(x)::bigint AS n_bytes, coalesce(removed, 0)::bigint AS n_removed,
+      coalesce(n, 0)::bigint AS n_spans, sha256(k) AS kept_sha256 FROM kept""",
+)
+def suffix_array_dedup(spark, d):
+    from tabeval.llm import suffix
+
+    found = suffix.remove_repeats(table(spark, d, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+SHARDS = 40
+
+#: Remainders of the byte values by the reflected polynomial 0xEDB88320.
+_CRC_TABLE = """[list_reduce(list_concat([b::bigint], range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) for b in range(256)]"""
+
+
+@query(
+    "op10_jump_sharding",
+    f"""WITH RECURSIVE walk AS (
+      SELECT DISTINCT doc_id, n, 0::bigint AS k FROM documents, (VALUES ({SHARDS}), ({SHARDS + 1})) t(n)
+      UNION ALL SELECT doc_id, n, floor((k + 1)::double * 4294967296.0::double
+        / (('0x' || substr(md5(doc_id::varchar || ':' || k::varchar), 1, 8))::bigint::double + 1))::bigint FROM walk WHERE k < n),
+    place AS (SELECT doc_id, max(k) FILTER (n = {SHARDS} AND k < n) AS shard,
+      max(k) FILTER (n = {SHARDS + 1} AND k < n) AS grown FROM walk GROUP BY doc_id),
+    crc AS (SELECT {_CRC_TABLE} AS t),
+    sized AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+      xor(4294967295, list_reduce(list_concat([4294967295::bigint],
+        [('0x' || substr(h, 2 * i - 1, 2))::bigint for i in range(1, length(h) // 2 + 1)]),
+        lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]))) AS crc
+      FROM (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents), crc)
+    SELECT doc_id, size::bigint AS size, crc::bigint AS text_crc32, 'key' AS law, shard::int AS shard,
+      (row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, size) - 1)::bigint AS slot, grown::int AS grown_shard
+    FROM sized JOIN place USING (doc_id)""",
+)
+def jump_sharding(spark, d):
+    from tabeval.llm import sharding
+
+    return sharding.assign(table(spark, d, "documents"), SHARDS)
+
+
+def _fingerprint_sql() -> str:
+    def hashes(w: str) -> str:
+        return f"""CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < 5 THEN [substr(md5(array_to_string({w}, ' ')), 1, 10)]
+          ELSE [substr(md5(array_to_string({w}[i:i+4], ' ')), 1, 10) for i in range(1, len({w}) - 3)] END"""
+
+    def words(t: str) -> str:
+        return f"list_filter(regexp_split_to_array({t}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+    def near(a: str, b: str) -> str:
+        union = f"list_sort(list_distinct(list_concat({a}, {b})))[1:64]"
+        return f"""CASE WHEN len({union}) = 0 THEN 1.0::double
+          ELSE len(list_intersect({union}, list_intersect({a}, {b})))::double / len({union}) END"""
+
+    return f"""WITH rows AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+        coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS u
+      FROM documents),
+    edited AS (SELECT *, substr(t, 1, n - n // 4) || substr(u, 1, n // 4) AS e FROM rows),
+    split AS (SELECT *, {words('t')} AS tw, {words('u')} AS uw, {words('e')} AS ew FROM edited),
+    s AS (SELECT *, list_sort(list_distinct({hashes('tw')}))[1:64] AS ts, list_sort(list_distinct({hashes('uw')}))[1:64] AS us,
+      list_sort(list_distinct({hashes('ew')}))[1:64] AS es FROM split)
+    SELECT doc_id, n::bigint AS n_chars, sha256(e) AS edited_sha256, array_to_string(ts, '') AS fingerprint,
+      array_to_string(es, '') AS edited_fingerprint, {near('ts', 'es')} AS near_edited, {near('ts', 'us')} AS near_next FROM s"""
+
+
+@query("op7_bottom_k_fingerprints", _fingerprint_sql())
+def bottom_k_fingerprints(spark, d):
+    from tabeval.llm import sketch
+    from tabeval.llm.common import text_of
+
+    docs = table(spark, d, "documents").select("doc_id", text_of("text").alias("text"))
+    rows = sketch.with_next(docs, ["doc_id"], ["text"], {"sketch": sketch.sketch})
+    n = F.length("text")
+    moved = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - moved), F.substring("next.text", F.lit(1), moved))
+    rows = rows.select("doc_id", "text", "sketch", F.col("next.sketch").alias("other"), edited.alias("edited"))
+    rows = rows.withColumn("edited_sketch", sketch.sketch(F.col("edited")))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sketch", "").alias("fingerprint"), F.array_join("edited_sketch", "").alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.resemblance(F.col("sketch"), F.col("other")).alias("near_next"),
+    )
+
+
+def _secrets_sql() -> str:
+    """Matches and the pieces between them add up to positions; the patterns are written out again here."""
+    kinds = [
+        ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]+", 0, 16),
+        ("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
+        ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+        ("google", "AIza[0-9A-Za-z_-]{35}", 0, 1),
+        ("stripe", "sk_live_[0-9A-Za-z]{16,}", 0, 1),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}", 0, 1),
+    ]
+    parts = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS no, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS c,
+          regexp_split_to_array(t, '{p}') AS b, {least} AS least FROM texts WHERE regexp_matches(t, '{p}')"""
+        for k, (kind, p, g, least) in enumerate(kinds)
+    )
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), parts AS ({parts}),
+    flat AS (SELECT doc_id, no, kind, least, unnest(m) AS m, unnest(c) AS c, unnest(b[1:len(m)]) AS b, unnest(range(1, len(m) + 1)) AS i FROM parts),
+    placed AS (SELECT *, sum(length(b) + length(m)) OVER (PARTITION BY doc_id, no ORDER BY i) AS e FROM flat),
+    good AS (SELECT doc_id, no, kind, e - length(m) AS s, e FROM placed WHERE length(c) >= least),
+    told AS (SELECT doc_id, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS k, count(*) FILTER (no = 2) AS h,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans FROM good GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(a, 0)::bigint AS n_assign, coalesce(k, 0)::bigint AS n_access, coalesce(h, 0)::bigint AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts t LEFT JOIN told o ON t.doc_id = o.doc_id"""
+
+
+@query("op2_secret_scan", _secrets_sql())
+def secret_scan(spark, d):
+    from tabeval.llm import secrets
+
+    return secrets.digest(secrets.scan(table(spark, d, "documents")))
+
+
+@query("op1_sentencepiece")
+def sentencepiece(spark, d):
+    from tabeval.llm import pieces
+
+    return pieces.encode(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_source_mixing")
+def source_mixing(spark, d):
+    from tabeval.llm import mixing
+
+    return mixing.taken(table(spark, d, "documents"))
+
+
+@query("op8_html_extraction")
+def html_extraction(spark, d):
+    from tabeval.llm import html
+
+    return html.extract(table(spark, d, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op9_toxicity")
+def toxicity(spark, d):
+    from tabeval.llm import toxicity as tx
+
+    docs = table(spark, d, "documents")
+    return tx.scores(docs, tx.fit(docs, table(spark, d, "labels")))
