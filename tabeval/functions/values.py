@@ -28,8 +28,12 @@ def unit_hash(c) -> Column:
 
 
 def decide(score, threshold: float = 0.5) -> Column:
-    """Label 1 only strictly above the threshold."""
-    return (col(score) > F.lit(threshold)).cast("int")
+    """Label 1 only strictly above the threshold. A missing score (NULL or NaN) is not above it: label 0.
+
+    Spark sorts NaN above all numbers, so it is taken out before the comparison.
+    """
+    score = col(score)
+    return F.coalesce(F.when(~F.isnan(score), score > F.lit(threshold)), F.lit(False)).cast("int")
 
 
 def ratio(num, den) -> Column:
@@ -86,6 +90,23 @@ def fixed_text(c, places: int) -> Column:
     return F.when(c.isNotNull(), F.format_string(f"%.{places}f", F.when(short, F.bround(c, places)).otherwise(c)))
 
 
+def float_text(c) -> Column:
+    """A double the way a script prints it: 0.0, 0.5, 1e-05, 1e+16; decimals from 1e-4 up to below 1e16."""
+    text = col(c).cast("double").cast("string")
+    parts = F.split(text, "E")
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    power = F.try_element_at(parts, F.lit(2)).cast("int")
+    mantissa = F.regexp_replace(F.get(parts, F.lit(0)), r"^-|\.0$", "")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+    rest = F.substring(digits, power + 2, F.length(digits))
+    large = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+    written = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    plain = F.when(power.between(-4, -1), small).when(power.between(0, 15), large).otherwise(written)
+    return F.when(power.isNull(), text).otherwise(F.concat(sign, plain))
+
+
 def file_stem(name) -> Column:
     """Checkpoint name of a model: lower case, blanks to underscores."""
     return F.replace(F.lower(col(name)), F.lit(" "), F.lit("_"))

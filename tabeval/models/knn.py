@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from tabeval.functions import json_array
 from tabeval.session import settled
 
-MOST_PIVOTS = 256
-BLOCK = 8192
+PIVOTS = 1
+BLOCK = 4096
+QUERIES_AT_A_TIME = 256
 SLACK = 1e-9
 
 
@@ -68,16 +70,25 @@ def _block_pair(k: int):
     def best(train: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if train.empty or queries.empty:
             return pd.DataFrame({"query": [], "neighbour": [], "d2": []})
+        train = train.sort_values("id", ignore_index=True)  # equal distances go by id
         t, ids = _matrix(train["x"]), train["id"].to_numpy()
+        size = (t * t).sum(axis=1)
         out = []
-        for query, x in zip(queries["id"].to_numpy(), queries["x"]):
-            d2 = ((t - x) ** 2).sum(axis=1)
-            if len(d2) > k:
-                near = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1])
-            else:
-                near = np.arange(len(d2))
-            near = sorted(near, key=lambda i: (d2[i], ids[i]))[:k]
-            out.append(pd.DataFrame({"query": query, "neighbour": ids[near], "d2": d2[near]}))
+        for first in range(0, len(queries), QUERIES_AT_A_TIME):
+            part = queries.iloc[first : first + QUERIES_AT_A_TIME]
+            q = _matrix(part["x"])
+            # One product gives all distances nearly; what may be among the k best is measured again.
+            rough = size - 2 * (q @ t.T) + (q * q).sum(axis=1)[:, None]
+            last = min(k, len(t)) - 1
+            bound = np.partition(rough, last, axis=1)[:, last]
+            slack = SLACK * (1 + size.max() + (q * q).sum(axis=1))
+            row, col = np.nonzero(rough <= (bound + slack)[:, None])
+            d2 = ((t[col] - q[row]) ** 2).sum(axis=1)
+            order = np.lexsort((col, d2, row))
+            row, col, d2 = row[order], col[order], d2[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place < k
+            out.append(pd.DataFrame({"query": part["id"].to_numpy()[row[best]], "neighbour": ids[col[best]], "d2": d2[best]}))
         return pd.concat(out, ignore_index=True)
 
     return best
@@ -110,23 +121,41 @@ def _keep_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def _pivot_count(rows: int, block: int) -> int:
-    """One cell while the rows fit one block, then as many as the root of the number of blocks."""
-    return max(1, min(MOST_PIVOTS, int((rows / block) ** 0.5)))
+def hashed_neighbours(
+    train: DataFrame, queries: DataFrame, k: int = 5, key: str = "row_id", vector: str = "x", bucket: float = 2.0,
+    tables: int = 8, seed: int = 42,
+) -> DataFrame:
+    """``(query, neighbour, d2, rank)`` among rows that share a bucket of a random projection.
+
+    Approximate, for many rows in many dimensions, where pivots prune nothing and an exact search
+    compares all pairs: the work follows the buckets. Wider buckets and more tables find more.
+    """
+    def ready(rows):
+        return rows.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+
+    model = BucketedRandomProjectionLSH(
+        inputCol="v", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
+    ).fit(ready(train))
+    pairs = model.approxSimilarityJoin(ready(queries), ready(train), float("inf"), "distance")
+    found = pairs.select(
+        F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("neighbour"), (F.col("distance") ** 2).alias("d2")
+    )
+    return _keep_best(found, k)
 
 
 def nearest_neighbours(
     train: DataFrame, queries: DataFrame, k: int = 5, key: str = "row_id", vector: str = "x",
-    pivots: int | None = None, block: int = BLOCK,
+    pivots: int = PIVOTS, block: int = BLOCK,
 ) -> DataFrame:
     """``(query, neighbour, d2, rank)``: the k nearest training rows, equal distances by training key.
 
-    The pivots and one count and radius per pivot are all the driver sees.
+    Exact. More pivots prune more blocks where the rows have few dimensions; a pivot is a row on the
+    driver, beside one count and radius, and all that it sees. See ``hashed_neighbours`` for many
+    rows in many dimensions.
     """
     t = train.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     q = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     n = t.count()
-    pivots = pivots or _pivot_count(n, block)
     # Any rows serve as pivots; a thin sample keeps the top-n from each partition small.
     thin = t.sample(20 * pivots / n, seed=7) if n > 1000 * pivots else t
     chosen = [r["x"] for r in thin.select("x", "id").orderBy(F.xxhash64("id")).limit(pivots).collect()]
@@ -136,11 +165,13 @@ def nearest_neighbours(
         )
     points = np.asarray(chosen, dtype="float64")
 
-    cells = _assign_cells(t, points)
+    cells = settled(_assign_cells(t, points))
     shape = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("r")).collect()}
     sizes = np.array([shape[c]["n"] if c in shape else 0 for c in range(len(chosen))])
 
     start = _first_visits(q, points, sizes, k)
+    if len(chosen) > 1:
+        start = settled(start)
     first = _search(cells, start.select("id", "x", F.explode("cells").alias("cell")), sizes, k, block)
     near = _keep_best(first, k)
     if len(chosen) == 1:
@@ -165,14 +196,19 @@ def nearest_neighbours(
 
 
 class KNearest(Estimator):
-    """k-nearest-neighbour votes; fitting only remembers the training rows."""
+    """k-nearest-neighbour votes; fitting settles the training rows, so that scoring does not prepare
+    them again. ``method`` is ``exact`` or ``lsh``; ``options`` go to the search."""
 
-    def __init__(self, k: int = 5, key: str = "row_id", features: str = "features", label: str = "label"):
+    def __init__(
+        self, k: int = 5, key: str = "row_id", features: str = "features", label: str = "label", method: str = "exact", **options
+    ):
         super().__init__()
-        self.k, self.key, self.features, self.label = k, key, features, label
+        if method not in ("exact", "lsh"):
+            raise ValueError("method is exact or lsh")
+        self.k, self.key, self.features, self.label, self.method, self.options = k, key, features, label, method, options
 
     def _fit(self, df: DataFrame) -> "KNearestModel":
-        return KNearestModel(self, df.select(self.key, self.features, self.label))
+        return KNearestModel(self, settled(df.select(self.key, self.features, self.label)))
 
 
 class KNearestModel(Model, MLWritable):
@@ -188,7 +224,8 @@ class KNearestModel(Model, MLWritable):
         def arrays(rows):
             return rows.select(s.key, vector_to_array(s.features).alias("x"))
 
-        near = nearest_neighbours(arrays(self.train), arrays(df), s.k, s.key)
+        search = hashed_neighbours if s.method == "lsh" else nearest_neighbours
+        near = search(arrays(self.train), arrays(df), s.k, s.key, **s.options)
         labels = self.train.select(F.col(s.key).alias("neighbour"), F.col(s.label).cast("double").alias("_vote"))
         votes = near.join(labels, "neighbour").groupBy(F.col("query").alias(s.key)).agg(F.avg("_vote").alias("score"))
         return df.join(votes, s.key).withColumn("prediction", (F.col("score") > 0.5).cast("double"))
@@ -212,7 +249,7 @@ class _Writer(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         s = self.model.settings
-        kept = {"k": s.k, "key": s.key, "features": s.features, "label": s.label}
+        kept = {"k": s.k, "key": s.key, "features": s.features, "label": s.label, "method": s.method, **s.options}
         DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"settings": kept})
         self.model.train.write.parquet(f"{path}/rows")
 

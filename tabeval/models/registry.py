@@ -24,6 +24,7 @@ from tabeval.models.rff_svm import FourierSVC
 
 SEED = 42
 DEEPEST = 30  # the deepest tree Spark grows
+BINS = 128  # places where a tree may split a feature; exact trees may split between any two values
 
 
 def logistic_regression(rows: int, c: float = 1.0):
@@ -31,17 +32,17 @@ def logistic_regression(rows: int, c: float = 1.0):
     return LogisticRegression(maxIter=1000, regParam=1.0 / (c * rows), standardization=False)
 
 
-def random_forest(trees: int = 100):
-    return RandomForestClassifier(numTrees=trees, maxDepth=DEEPEST, featureSubsetStrategy="sqrt", seed=SEED)
+def random_forest(trees: int = 100, bins: int = BINS):
+    return RandomForestClassifier(numTrees=trees, maxDepth=DEEPEST, maxBins=bins, featureSubsetStrategy="sqrt", seed=SEED)
 
 
-def gradient_boosting(rounds: int = 100, validation: str | None = None):
-    model = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED)
+def gradient_boosting(rounds: int = 100, validation: str | None = None, bins: int = BINS):
+    model = GBTClassifier(maxIter=rounds, maxDepth=3, maxBins=bins, stepSize=0.1, seed=SEED)
     return model.setValidationIndicatorCol(validation) if validation else model
 
 
-def decision_tree():
-    return DecisionTreeClassifier(maxDepth=DEEPEST, seed=SEED)
+def decision_tree(bins: int = BINS):
+    return DecisionTreeClassifier(maxDepth=DEEPEST, maxBins=bins, seed=SEED)
 
 
 def perceptron(width: int, hidden: list[int], max_iter: int = 1000, **options):

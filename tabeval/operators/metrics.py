@@ -10,14 +10,19 @@ from tabeval.operators.ordered import find_ranges
 
 
 def confusion_counts(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """tp, fp, fn, tn and n per key in one aggregation."""
+    """tp, fp, fn, tn and n per key in one aggregation.
 
-    def cell(y, p):
-        return F.count_if((F.col("y") == y) & (F.col("pred") == p))
-
-    return preds.groupBy(*keys).agg(
-        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"),
-        F.count("*").alias("n"),
+    Whatever is not predicted 1, a missing prediction too, counts as predicted 0: the cells of the
+    labels are what their totals leave. Rows without a label are in no cell and not in n.
+    """
+    hit, y = F.col("pred") == 1, F.col("y")
+    counts = preds.groupBy(*keys).agg(
+        F.count_if(hit & (y == 1)).alias("tp"), F.count_if(hit & (y == 0)).alias("fp"),
+        F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"),
+    )
+    return counts.select(
+        *keys, "tp", "fp", (F.col("_pos") - F.col("tp")).alias("fn"), (F.col("_neg") - F.col("fp")).alias("tn"),
+        (F.col("_pos") + F.col("_neg")).alias("n"),
     )
 
 

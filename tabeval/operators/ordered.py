@@ -24,7 +24,7 @@ from tabeval.session import settled
 SAMPLE_PER_RANGE = 20
 SMALLEST_SAMPLE = 10_000
 RANGES_PER_PARTITION = 8  # more ranges than tasks: even shares, short windows
-MAX_RANGES = 20_000
+MOST_RANGES = 20_000  # by default, since the edges are one literal; ``most`` or ``ranges`` go beyond
 
 ORDERED_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType)
 
@@ -143,7 +143,7 @@ class Ranges:
 
 
 def find_ranges(
-    df: DataFrame, order: list[str], ranges: int | None = None, keys: list[str] = ()
+    df: DataFrame, order: list[str], ranges: int | None = None, keys: list[str] = (), most: int = MOST_RANGES
 ) -> Ranges:
     """Edges at even steps of a sample whose size depends on the number of ranges, not of rows.
 
@@ -151,7 +151,7 @@ def find_ranges(
     """
     spark = df.sparkSession
     if ranges is None:
-        ranges = min(RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+        ranges = min(RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), most)
     found = df.select(*keys, *sort_keys(df, order))
     wanted = max(ranges * SAMPLE_PER_RANGE, SMALLEST_SAMPLE)
     n = found.count()
@@ -166,6 +166,17 @@ def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> D
     return find_ranges(df, order, ranges).number(df)
 
 
+def whole_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Keys that a join on equality keeps: as they are, or as one struct ``_whole`` if any can be missing.
+
+    A struct is never missing itself and its missing fields equal one another, in grouping, windows
+    and joins alike, so one exchange serves them all.
+    """
+    if not any(df.schema[k].nullable for k in keys):
+        return df, list(keys)
+    return df.withColumn("_whole", F.struct(*[F.col(f"`{k}`") for k in keys])), ["_whole"]
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -186,6 +197,8 @@ def running(
     with ``settle`` a table with much work behind it is computed once and kept.
     """
     df = settled(df) if settle else df
+    kept = df.columns
+    df, keys = whole_key(df, keys)
     cut = with_ranges(df, order, ranges)
     names = key_names(cut)
     inputs = {n: F.col(v) if isinstance(v, str) else v for n, (_, v) in values.items()}
@@ -217,7 +230,7 @@ def running(
         return F.greatest(o, l) if values[n][0] == "max" else F.least(o, l)
 
     extra = [f"{n}_total" for n in values] if totals else []
-    return joined.select(*df.columns, *[merge(n).alias(n) for n in values], *extra)
+    return joined.select(*[F.col(f"`{c}`") for c in kept], *[merge(n).alias(n) for n in values], *extra)
 
 
 def number_rows(

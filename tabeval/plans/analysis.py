@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabeval.functions import fixed_text, present
+from tabeval.functions import fixed_text, float_text, present
 from tabeval.operators import results, training_log
 from tabeval.schema import RUNS
 from tabeval.session import settled
@@ -62,12 +62,6 @@ def _lines(df: DataFrame, lines: list[tuple[float, Column]], *keep) -> DataFrame
     return df.select(*keep, F.inline(rows))
 
 
-def plain_number(c):
-    """A double without exponent and trailing zeros: 0.0001, 0.5, 0."""
-    text = F.col(c).cast("decimal(20,10)").cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
-
-
 def shown_spread(c):
     """A deviation to four decimals; one value alone has none and shows as NaN."""
     return F.coalesce(fixed_text(c, 4), F.lit("NaN"))
@@ -105,11 +99,11 @@ def report_lines(runs: DataFrame) -> DataFrame:
         item("AUC", fixed_text("auc", 4)),
         item("Accuracy", fixed_text("accuracy", 4)),
         item("Layers", F.col("layer_sizes")),
-        item("Learning Rate", plain_number("learning_rate")),
-        item("Dropout", plain_number("dropout_rate")),
+        item("Learning Rate", float_text("learning_rate")),
+        item("Dropout", float_text("dropout_rate")),
         item("Batch Size", F.col("batch_size").cast("string")),
         item("Activation", F.col("activation")),
-        item("Weight Decay", plain_number("weight_decay")),
+        item("Weight Decay", float_text("weight_decay")),
         item("Parameters", F.format_number("total_params", 0)),
     ]
     best_layers = F.concat(F.lit("- Best performing layer configuration: "), "layer_sizes")
@@ -148,9 +142,9 @@ def _by_axis(values: dict) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("axis"))
 
 
-def save_analysis(runs: DataFrame, folder: str) -> None:
+def save_analysis(runs: DataFrame, folder: str, single_file: bool = False) -> None:
     """Results as CSV, the summary as JSON, the report as text."""
     kept = [c for c in runs.columns if c not in ("layers",)]
-    writers.write_csv(runs.select(*kept), f"{folder}/hyperparameter_search_results.csv", ["combination_id"])
+    writers.write_csv(runs.select(*kept), f"{folder}/hyperparameter_search_results.csv", ["combination_id"], single_file)
     writers.write_json(writers.search_summary(runs.select(*kept)), f"{folder}/search_summary.json")
     writers.write_report(report_lines(runs), f"{folder}/analysis_report.txt")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tabeval.functions import fixed_text
 from tabeval.operators import results
+from tabeval.schema import METRICS
 from tabeval.session import settled
+from tabeval.sources import readers, writers
 
 
 def union_summaries(summaries: dict[str, DataFrame]) -> DataFrame:
@@ -70,8 +72,38 @@ def report_lines(combined: DataFrame, first: str, second: str) -> DataFrame:
             "Best %s Model: %s AUC %s Accuracy %s", "Model_Type", "Model", fixed_text("AUC", 4), fixed_text("Accuracy", 4)
         ).alias("line"),
     )
+    # One line per family and measure: mean, deviation and largest value.
+    stems = [(c, c.lower().replace("-", "_")) for c in METRICS]
+    shown = [
+        F.struct(
+            F.lit(i).alias("at"),
+            F.concat(
+                F.col("Model_Type"), F.lit(f" {name}: mean="), fixed_text(f"{stem}_mean", 4), F.lit(" std="),
+                F.coalesce(fixed_text(f"{stem}_std", 4), F.lit("NaN")), F.lit(" max="), fixed_text(f"{stem}_max", 4),
+            ).alias("line"),
+        )
+        for i, (name, stem) in enumerate(stems)
+    ]
+    family = F.when(F.col("Model_Type") == first, 26.0).otherwise(28.0)
+    spread = t["type_statistics"].select(family.alias("base"), F.inline(F.array(*shown))).select(
+        (F.col("base") + F.col("at") / 10).alias("ord"), "line"
+    )
+    titles = lines(t["counts"], 19.5, F.lit("Top 5 Models by AUC Score:")).unionByName(
+        lines(t["counts"], 25.5, F.lit("Model Type Performance Summary:"))
+    )
     averages = lines(
         t["verdict"], 40, F.lit("Average Performance Comparison:"), number(f"{first} Average AUC", "first_auc"),
         number(f"{second} Average AUC", "second_auc"), F.concat(F.lit("- "), "verdict"),
     )
-    return overview.unionByName(best).unionByName(top).unionByName(each).unionByName(averages)
+    return reduce(lambda a, b: a.unionByName(b), [overview, best, titles, top, spread, each, averages])
+
+
+def compare_files(spark, paths: dict[str, str], folder: str) -> dict[str, DataFrame]:
+    """The whole job: one summary file per family read, compared, and the combined table and the report
+    written to ``folder``. The keys of ``paths`` are the two families."""
+    first, second = paths
+    combined = settled(union_summaries({t: readers.read_summary(spark, p) for t, p in paths.items()}))
+    writers.write_csv(results.rank_summary(combined).drop("rank"), f"{folder}/comprehensive_results_summary.csv",
+                      [F.desc_nulls_last("AUC"), F.asc("Model")])
+    writers.write_report(report_lines(combined, first, second), f"{folder}/comparison_report.txt")
+    return compare(combined, first, second)

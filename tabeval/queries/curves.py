@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabeval.functions import decide, fixed_text
+from tabeval.functions import decide, fixed_text, present
 from tabeval.operators import curves, metrics
 from tabeval.operators.joins import lookup
 from tabeval.queries import frames as fr
@@ -25,10 +25,7 @@ def threshold_label(spark, d):
 
 @query("e1_accuracy", METRICS_SQL + f"SELECT model, {r('accuracy', 'accuracy')} FROM metrics")
 def accuracy(spark, d):
-    found = fr.preds(spark, d).groupBy("model").agg(
-        F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy")
-    )
-    return fix(found, "accuracy")
+    return fix(metrics.label_metrics(fr.preds(spark, d), ["model"]).select("model", "accuracy"), "accuracy")
 
 
 def _label_metric(name):
@@ -156,3 +153,66 @@ def curve_labels(spark, d):
     label = F.concat("model", F.lit(" (AUC = "), fixed_text("auc", 3), F.lit(")")).alias("label")
     found = lookup(points, _metrics(spark, d).select("model", label), ["model"])
     return fix(found.select("model", "label", "idx", "fpr", "tpr"), "fpr", "tpr")
+
+
+# --- missing scores, labels and models -------------------------------------------------------------------
+
+# m1 without every seventh score, m2 with NaN in its place, and rows of no model.
+HOLES = f"""WITH {fr.PREDS}, holes AS (SELECT CASE WHEN row_id % 5 <> 0 THEN model END AS model, row_id, y,
+    CASE WHEN row_id % 7 = 0 THEN CASE WHEN model = 'm2' THEN 'NaN'::double END ELSE score END AS score FROM preds
+    WHERE model IN ('m1', 'm2')), decided AS (SELECT *, coalesce(score > 0.5 AND NOT isnan(score), false)::int AS pred FROM holes),
+    cells AS (SELECT model, sum((y = 1 AND pred = 1)::int) AS tp, sum((y = 0 AND pred = 1)::int) AS fp, sum((y = 1 AND pred = 0)::int) AS fn,
+      sum((y = 0 AND pred = 0)::int) AS tn, count(*) AS n FROM decided GROUP BY model)"""
+
+
+def _holes(spark, d):
+    row = F.col("row_id")
+    rows = fr.preds(spark, d).filter(F.col("model").isin("m1", "m2"))
+    gone = F.when(F.col("model") == "m2", F.lit(float("nan")))
+    rows = rows.withColumn("score", F.when(row % 7 == 0, gone).otherwise(F.col("score")))
+    rows = rows.withColumn("model", F.when(row % 5 != 0, F.col("model")))
+    return rows.select("model", "row_id", "y", "score", decide("score").alias("pred"))
+
+
+@query("p11_missing_scores", HOLES + " SELECT model, row_id, pred FROM decided")
+def missing_scores(spark, d):
+    return _holes(spark, d).select("model", "row_id", "pred")
+
+
+@query(
+    "e6_missing_scores",
+    HOLES + """ SELECT model, unnest([0, 0, 1, 1]) AS actual, unnest([0, 1, 0, 1]) AS predicted, unnest([tn, fp, fn, tp])::bigint AS n
+      FROM cells""",
+)
+def missing_confusion(spark, d):
+    """The cells of a model add up to its rows."""
+    return metrics.confusion_matrix(_holes(spark, d), ["model"])
+
+
+@query(
+    "e11_missing_scores",
+    HOLES + f""" SELECT model, n::bigint AS n, {r('(tp + tn) / n', 'accuracy')}, {r('coalesce(tp / nullif(tp + fp, 0), 0)', 'precision')},
+      {r('coalesce(tp / nullif(tp + fn, 0), 0)', 'recall')}, true AS agree FROM cells""",
+)
+def missing_metrics(spark, d):
+    """The metrics with the area and those without it take missing scores alike."""
+    rows = _holes(spark, d)
+    plain = metrics.label_metrics(rows, ["model"]).alias("p")
+    full = metrics.classification_metrics(rows, ["model"]).alias("f")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("accuracy", "precision", "recall", "f1")]
+    both = full.join(plain, F.col("f.model").eqNullSafe(F.col("p.model")))
+    agree = same[0] & same[1] & same[2] & same[3]
+    return fix(both.select("f.model", "n", "f.accuracy", "f.precision", "f.recall", agree.alias("agree")), "accuracy", "precision", "recall")
+
+
+@query(
+    "e7_missing_models",
+    HOLES + """, scored AS (SELECT model, CASE WHEN NOT isnan(score) THEN score END AS s, y FROM holes)
+    SELECT model, s AS threshold, sum(y)::bigint AS positives, count(*)::bigint AS n FROM scored GROUP BY ALL""",
+)
+def missing_models(spark, d):
+    """Rows without a model have a curve of their own; missing scores stand last in each."""
+    from tabeval.operators.curves import cumulative_by_score
+
+    points = cumulative_by_score(_holes(spark, d).withColumn("score", present("score")), ["model"])
+    return points.select("model", F.col("score").alias("threshold"), F.col("d_tp").alias("positives"), (F.col("d_tp") + F.col("d_fp")).alias("n"))

@@ -269,6 +269,33 @@ def stratified_split(spark, d):
     return split.stratified_split(train, "row_id")
 
 
+_UNKNOWN = "CASE WHEN row_id % 10 <> 3 THEN label END"
+
+
+@query(
+    "x1_missing_labels",
+    f"""WITH {fr.FEATURES}, marked AS (SELECT row_id, {_UNKNOWN} AS label FROM features), ranked AS (SELECT row_id, label,
+      row_number() OVER (PARTITION BY label ORDER BY {fr.h(fr.seeded('row_id'))}, row_id) AS place,
+      count(*) OVER (PARTITION BY label) AS n FROM marked)
+    SELECT row_id, label, CASE WHEN place <= ceil(0.2::double * n) THEN 'val' ELSE 'train' END AS part FROM ranked""",
+)
+def split_missing_labels(spark, d):
+    """Rows without a label form a stratum of their own."""
+    rows = fr.features(spark, d).select("row_id", F.when(F.col("row_id") % 10 != 3, F.col("label")).alias("label"))
+    return split.stratified_split(rows, "row_id")
+
+
+@query(
+    "x4_missing_keys",
+    f"""WITH {fr.FEATURES}, marked AS (SELECT row_id, {_UNKNOWN} AS label FROM features)
+    SELECT row_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {fr.h(fr.seeded('row_id'))}, row_id) - 1) // 32)::bigint
+      AS batch FROM marked""",
+)
+def batch_missing_keys(spark, d):
+    rows = fr.features(spark, d).select("row_id", F.when(F.col("row_id") % 10 != 3, F.col("label")).alias("label"))
+    return split.shuffled_batches(rows, ["label"], "row_id", 32)
+
+
 @query(
     "x1_hash_split",
     f"""WITH {fr.FEATURES} SELECT row_id, label, CASE WHEN {fr.u(fr.seeded('row_id'))} < 0.2 THEN 'val' ELSE 'train'

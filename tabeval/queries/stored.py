@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tabeval.functions import present
@@ -9,9 +11,9 @@ from tabeval.operators import results
 from tabeval.plans import analysis, compare
 from tabeval.queries import frames as fr
 from tabeval.queries.compare import FALLING, S, _METRICS, _show
-from tabeval.queries.registry import fix, query, r
-from tabeval.queries.search import R
-from tabeval.schema import METRICS
+from tabeval.queries.registry import ORACLES, fix, query, r
+from tabeval.queries.search import R, _hist_sql
+from tabeval.schema import METRICS, RUN_AXES, RUNS
 from tabeval.session import scratch_path
 from tabeval.sources import readers, writers
 
@@ -52,13 +54,23 @@ def scan_summaries(spark, d):
 
 @query(
     "k1_write_summary",
-    S + f"""SELECT "Model", {_METRICS} FROM summary WHERE "Model_Type" = '{fr.TRADITIONAL}'""",
+    S + f"""SELECT "Model", "Model_Type", {_METRICS} FROM summary""",
 )
 def write_summary(spark, d):
-    path = scratch_path(spark, "model_performance_summary.csv")
-    named = fr.summary(spark, d).filter(F.col("Model_Type") == fr.TRADITIONAL).drop("Model_Type")
-    writers.write_csv(named.withColumn("AUC", present("AUC")), path, [F.desc_nulls_last("AUC"), F.asc("Model")])
-    return _show(readers.read_summary(spark, path))
+    """A summary file for each family, read back."""
+    paths = _summary_files(spark, d)
+    parts = [readers.read_summary(spark, p, t) for t, p in paths.items()]
+    return _show(parts[0].unionByName(parts[1])).select("Model", "Model_Type", *METRICS)
+
+
+def _summary_files(spark, d):
+    rows = fr.summary(spark, d).withColumn("AUC", present("AUC"))
+    paths = {}
+    for family, name in ((fr.TRADITIONAL, "model_performance_summary.csv"), (fr.NEURAL, "performance_summary.csv")):
+        paths[family] = scratch_path(spark, name)
+        named = rows.filter(F.col("Model_Type") == family).drop("Model_Type")
+        writers.write_csv(named, paths[family], [F.desc_nulls_last("AUC"), F.asc("Model")])
+    return paths
 
 
 @query(
@@ -74,10 +86,7 @@ def write_combined(spark, d):
     return _show(back)
 
 
-RUN_COLUMNS = [
-    "combination_id", "layer_sizes", "num_layers", "total_params", "learning_rate", "dropout_rate", "batch_size",
-    "activation", "weight_decay", "epochs_trained", "best_val_loss", "accuracy", "precision", "recall", "f1_score", "auc",
-]
+RUN_COLUMNS = [f.name for f in RUNS if f.name != "error"]
 _REAL = ["best_val_loss", "accuracy", "precision", "recall", "f1_score", "auc"]
 _RUN_SELECT = ", ".join(r(c, c) if c in _REAL else c for c in RUN_COLUMNS)
 
@@ -118,34 +127,31 @@ def search_summary(spark, d):
     return fix(back.select("total_combinations_tested", "best_auc", *picked), "best_auc")
 
 
-def _trim(c):
-    return f"regexp_replace({c}::decimal(20,10)::varchar, '\\.?0+$', '')"
-
-
 def _report_sql():
-    from tabeval.schema import RUN_AXES
-
+    """The lines written out as the report must have them."""
+    four = "format('{{:.4f}}', {})".format
     rows = [
-        f"SELECT '{analysis.RULE}' AS line FROM range(2)",
-        "SELECT unnest(['HYPERPARAMETER SEARCH ANALYSIS REPORT', 'Search Overview:', 'Top 5 Configurations:', "
-        "'Parameter Analysis:', '------------------', 'Key Insights:'])",
-        "SELECT unnest([" + ", ".join(f"'{t}'" for _, t in analysis.AXIS_TITLES) + "])",
+        f"SELECT '{'=' * 80}' AS line FROM range(2)",
+        """SELECT unnest(['HYPERPARAMETER SEARCH ANALYSIS REPORT', 'Search Overview:', 'Top 5 Configurations:', 'Parameter Analysis:',
+          '------------------', 'Number of Layers:', 'Learning Rate Performance:', 'Dropout Rate Performance:',
+          'Activation Function Performance:', 'Batch Size Performance:', 'Key Insights:'])""",
         "SELECT '- Total configurations tested: ' || count(*) FROM runs",
-        "SELECT '- Best AUC score: ' || format('{:.4f}', max(auc)) FROM runs",
-        "SELECT '- Best accuracy: ' || format('{:.4f}', max(accuracy)) FROM runs",
-        "SELECT '- Average AUC: ' || format('{:.4f}', avg(auc)) || ' ± ' || format('{:.4f}', stddev_samp(auc)) FROM runs",
-        f"""SELECT unnest([rank || '. Configuration ' || combination_id || ':', '   - AUC: ' || format('{{:.4f}}', auc),
-          '   - Accuracy: ' || format('{{:.4f}}', accuracy), '   - Layers: ' || layer_sizes,
-          '   - Learning Rate: ' || {_trim('learning_rate')}, '   - Dropout: ' || {_trim('dropout_rate')},
+        f"SELECT '- Best AUC score: ' || {four('max(auc)')} FROM runs",
+        f"SELECT '- Best accuracy: ' || {four('max(accuracy)')} FROM runs",
+        f"SELECT '- Average AUC: ' || {four('avg(auc)')} || ' ± ' || {four('stddev_samp(auc)')} FROM runs",
+        f"""SELECT unnest([rank || '. Configuration ' || combination_id || ':', '   - AUC: ' || {four('auc')},
+          '   - Accuracy: ' || {four('accuracy')}, '   - Layers: ' || layer_sizes,
+          '   - Learning Rate: ' || learning_rate::double::varchar, '   - Dropout: ' || dropout_rate::double::varchar,
           '   - Batch Size: ' || batch_size, '   - Activation: ' || activation,
-          '   - Weight Decay: ' || {_trim('weight_decay')}, '   - Parameters: ' || format('{{:,}}', total_params)]) FROM top""",
-        """SELECT value || '  mean=' || format('{:.4f}', round_even(mean, 4)) || '  std=' ||
-          format('{:.4f}', round_even(std, 4)) || '  count=' || n FROM stats""",
+          '   - Weight Decay: ' || weight_decay::double::varchar, '   - Parameters: ' || format('{{:,}}', total_params)]) FROM top""",
+        f"""SELECT value || '  mean=' || {four('round_even(mean, 4)')} || '  std=' || {four('round_even(std, 4)')} || '  count=' || n
+          FROM stats""",
         "SELECT '- Best performing layer configuration: ' || layer_sizes FROM top WHERE rank = 1",
+        "SELECT '- Optimal learning rate range: ' || format('{:.3f}', value::double) FROM best WHERE axis = 'learning_rate'",
+        "SELECT '- Best dropout rate: ' || format('{:.1f}', value::double) FROM best WHERE axis = 'dropout_rate'",
+        "SELECT '- Most effective activation: ' || value FROM best WHERE axis = 'activation'",
+        "SELECT '- Optimal batch size: ' || value FROM best WHERE axis = 'batch_size'",
     ]
-    shown = {3: "format('{:.3f}', value::double)", 1: "format('{:.1f}', value::double)", None: "value"}
-    for axis, text, fmt in analysis.INSIGHTS:
-        rows.append(f"SELECT '{text}' || {shown[fmt]} FROM best WHERE axis = '{axis}'")
     long = " UNION ALL ".join(
         f"SELECT '{a}' AS axis, {a}::varchar AS value, {'NULL' if a == 'activation' else a}::double AS num, auc FROM runs"
         for a in RUN_AXES
@@ -171,36 +177,63 @@ def text_report(spark, d):
 # --- whole jobs ------------------------------------------------------------------------------------
 
 
-@query(
-    "g4_search_analysis",
-    R + f""", long AS ({' UNION ALL '.join(f"SELECT '{a}' AS axis, {a}::varchar AS value, auc FROM runs"
-                                           for a in ('num_layers', 'learning_rate', 'dropout_rate', 'activation', 'batch_size'))})
-    SELECT 'axis' AS part, axis || '=' || value AS name, round_even(avg(auc), 4) AS value FROM long GROUP BY axis, value
-    UNION ALL SELECT 'overall', 'mean', {r('avg(auc)')} FROM runs
-    UNION ALL SELECT 'overall', 'max', {r('max(auc)')} FROM runs
-    UNION ALL SELECT 'top', combination_id::varchar, {r('auc')} FROM
-      (SELECT * FROM runs WHERE auc IS NOT NULL ORDER BY auc DESC, combination_id LIMIT 5)""",
-)
-def search_analysis(spark, d):
-    t = analysis.analyse_runs(fr.runs(spark, d), ["axis_statistics", "overall", "top_five"])
+# Table of the analysis, the query with its SQL, the column that is summed.
+_TABLES = [
+    ("overall", "a4_overall_statistics", "mean", ""), ("overall_accuracy", "a12_reference_lines", "mean", "WHERE metric = 'accuracy'"),
+    ("axis_statistics", "a2_axis_statistics", "mean", ""), ("best_axis_values", "a3_best_axis_values", "mean", ""),
+    ("top_five", "w5_top_runs", "auc", "WHERE rank <= 5"), ("top_ten", "w5_top_runs", "auc", ""),
+    ("correlation", "a9_correlation", "r", ""), ("auc_histogram", "a10_auc_histogram", "low", ""),
+    ("box_by_layers", "a11_box_by_layers", "median", ""), ("box_by_batch_size", "a11_box_by_batch_size", "median", ""),
+    ("running_best", "w7_running_best", "best_before", ""), ("epoch_axis", "w15_epoch_axis", "epoch", ""),
+]
 
-    def rows(df, part, name, value):
-        return df.select(F.lit(part).alias("part"), name.alias("name"), value.alias("value"))
 
-    overall = t["overall"].select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.round(F.col(n).cast("decimal(38,10)"), 6).cast("double").alias("value")) for n in ("mean", "max")
-    ])))
-    return (
-        rows(t["axis_statistics"], "axis", F.concat_ws("=", "axis", "value"), F.col("mean"))
-        .unionByName(rows(overall, "overall", F.col("name"), F.col("value")))
-        .unionByName(rows(t["top_five"], "top", F.col("combination_id").cast("string"), F.round(F.col("auc").cast("decimal(38,10)"), 6).cast("double")))
-    )
+def _analysis_sql():
+    def told(part, source, column, where=""):
+        return f"""SELECT '{part}' AS part, count(*)::bigint AS rows, round(sum({column})::decimal(38,10), 4)::double AS total
+          FROM ({source}) {where}"""
+
+    accuracy = R + ", runs2 AS (SELECT accuracy AS auc FROM runs)" + _hist_sql("runs2", "auc")
+    rows = [told(part, ORACLES[name], column, where) for part, name, column, where in _TABLES]
+    rows.append(told("accuracy_histogram", accuracy, "low"))
+    rows.append(told("results.csv", ORACLES["k3_write_runs_csv"], "auc"))
+    rows.append(told("summary.json", ORACLES["k4_search_summary"], "best_auc"))
+    rows.append(f"SELECT 'report.txt', count(*)::bigint, sum(length(line))::double FROM ({_report_sql()})")
+    return " UNION ALL ".join(rows)
+
+
+@query("g4_search_analysis", _analysis_sql())
+def search_analysis(spark, d):
+    """All tables of the analysis and its three files, read back: rows and the sum of a measure of each."""
+    runs = fr.runs(spark, d)
+    tables = analysis.analyse_runs(runs)
+    measures = {part: column for part, _, column, _ in _TABLES} | {"accuracy_histogram": "low"}
+    folder = scratch_path(spark, "analysis")
+    analysis.save_analysis(runs, folder)
+    saved = runs.drop("layers")
+    tables["results.csv"] = spark.read.schema(saved.schema).option("header", True).csv(f"{folder}/hyperparameter_search_results.csv")
+    tables["summary.json"] = spark.read.json(f"{folder}/search_summary.json")
+    measures |= {"results.csv": "auc", "summary.json": "best_auc"}
+
+    def total(name, df):
+        column = measures[name]
+        exact = F.sum(F.round(F.col(column).cast("decimal(38,10)"), 6))
+        return df.agg(F.lit(name).alias("part"), F.count("*").alias("rows"), F.round(exact, 4).cast("double").alias("total"))
+
+    found = [total(n, df) for n, df in tables.items()]
+    lines = spark.read.text(f"{folder}/analysis_report.txt")
+    found.append(lines.agg(F.lit("report.txt").alias("part"), F.count("*").alias("rows"), F.sum(F.length("value")).cast("double").alias("total")))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def _compare_sql():
     traditional, neural = fr.TRADITIONAL, fr.NEURAL
     rows = [
-        "SELECT unnest(['Dataset Overview:', 'Best Overall Model:', 'Average Performance Comparison:']) AS line",
+        "SELECT unnest(['Dataset Overview:', 'Best Overall Model:', 'Top 5 Models by AUC Score:', 'Model Type Performance Summary:', "
+        "'Average Performance Comparison:']) AS line",
+        *[f"""SELECT "Model_Type" || ' {m}: mean=' || format('{{:.4f}}', round_even(avg("{m}"), 4)) || ' std=' ||
+          format('{{:.4f}}', round_even(stddev_samp("{m}"), 4)) || ' max=' || format('{{:.4f}}', round_even(max("{m}"), 4))
+          FROM summary GROUP BY "Model_Type" """ for m in METRICS],
         "SELECT '- Total models evaluated: ' || count(*) FROM summary",
         *[f"SELECT '- {t} models: ' || count(*) FROM summary WHERE \"Model_Type\" = '{t}'" for t in (traditional, neural)],
         """SELECT unnest(['- Model: ' || "Model" || ' (' || "Model_Type" || ')', '- AUC Score: ' || format('{:.4f}', "AUC"),
@@ -223,7 +256,19 @@ def _compare_sql():
 
 @query("g5_family_comparison", _compare_sql())
 def family_comparison(spark, d):
-    """Summaries of both families, ranked, compared and reported."""
-    rows = fr.summary(spark, d).withColumn("AUC", present("AUC"))
-    parts = {t: rows.filter(F.col("Model_Type") == t).drop("Model_Type") for t in (fr.TRADITIONAL, fr.NEURAL)}
-    return compare.report_lines(compare.union_summaries(parts), fr.TRADITIONAL, fr.NEURAL).select("line")
+    """Summary files of both families, ranked, compared and reported; the report as it was written."""
+    folder = scratch_path(spark, "comparison")
+    compare.compare_files(spark, _summary_files(spark, d), folder)
+    return spark.read.text(f"{folder}/comparison_report.txt").select(F.col("value").alias("line"))
+
+
+@query(
+    "g5_combined_file",
+    S + f'SELECT "Model", {_METRICS}, "Model_Type" FROM summary',
+)
+def combined_file(spark, d):
+    folder = scratch_path(spark, "comparison")
+    compare.compare_files(spark, _summary_files(spark, d), folder)
+    back = spark.read.option("header", True).csv(f"{folder}/comprehensive_results_summary.csv")
+    numbers = [readers.parse_number(F.col(f"`{m}`")).alias(m) for m in METRICS]
+    return _show(back.select("Model", *numbers, "Model_Type"))

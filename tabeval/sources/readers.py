@@ -20,10 +20,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Decimal numbers with an optional exponent, and infinity in its usual spellings. A cast alone would
+# also take Java's type suffixes, as in 3D.
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)$"
+
+
 def parse_number(text: Column) -> Column:
-    """A cell as double: missing tokens become NULL, inf in any spelling becomes infinity."""
+    """A cell as double: missing tokens and anything that is no number become NULL."""
     text = F.trim(text)
-    return F.when(~text.isin(MISSING_TOKENS), text).try_cast("double")
+    return F.when(~text.isin(MISSING_TOKENS) & text.rlike(NUMBER), text).try_cast("double")
+
+
+def _cells(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("nullValue", "").csv(path)
+
+
+def find_features(tables: list[DataFrame], id_column: str = "Name") -> list[str]:
+    """Columns whose present cells are numbers in every table that has them; one aggregation each."""
+    columns: dict[str, bool] = {}
+    for raw in tables:
+        rest = [c for c in raw.columns if c != id_column]
+        cell = {c: F.trim(F.col(f"`{c}`")) for c in rest}
+        odd = raw.agg(*[F.count_if(~cell[c].isin(MISSING_TOKENS) & ~cell[c].rlike(NUMBER)).alias(c) for c in rest]).first()
+        for c in rest:
+            columns[c] = columns.get(c, True) and not odd[c]
+    return [c for c, good in columns.items() if good]
 
 
 def read_features(spark: SparkSession, path: str, features: list[str] | None = None, id_column="Name") -> DataFrame:
@@ -33,14 +54,9 @@ def read_features(spark: SparkSession, path: str, features: list[str] | None = N
     list the columns whose present cells all parse are features; one aggregation finds them, and
     the other columns stay text.
     """
-    raw = spark.read.option("header", True).option("nullValue", "").csv(path)
+    raw = _cells(spark, path)
     if features is None:
-        rest = [c for c in raw.columns if c != id_column]
-        cell = {c: F.trim(F.col(f"`{c}`")) for c in rest}
-        bad = raw.agg(
-            *[F.count_if(~cell[c].isin(MISSING_TOKENS) & cell[c].try_cast("double").isNull()).alias(c) for c in rest]
-        ).first()
-        features = [c for c in rest if not bad[c]]
+        features = find_features([raw], id_column)
     wanted = set(features)
     return raw.select(
         *[parse_number(F.col(f"`{c}`")).alias(c) if c in wanted else F.col(f"`{c}`") for c in raw.columns]
@@ -50,8 +66,11 @@ def read_features(spark: SparkSession, path: str, features: list[str] | None = N
 def read_labelled(spark: SparkSession, paths: dict[str, str], features: list[str] | None = None) -> DataFrame:
     """The four descriptor files as one table with ``label`` and ``split``.
 
-    ``paths`` has the keys pos_train, neg_train, pos_test, neg_test.
+    ``paths`` has the keys pos_train, neg_train, pos_test, neg_test. Without a feature list a column is a
+    feature if all four files agree that it holds numbers; in all others it stays text in all of them.
     """
+    if features is None:
+        features = find_features([_cells(spark, path) for path in paths.values()])
     parts = [
         label_sources(
             read_features(spark, paths[f"pos_{split}"], features), read_features(spark, paths[f"neg_{split}"], features)

@@ -11,8 +11,7 @@ from tabeval.models import registry
 from tabeval.models.adaboost import AdaBoost
 from tabeval.models.batch import batch_score, linear_model
 from tabeval.models.gaussian_nb import GaussianNB
-from tabeval.models.knn import KNearest, nearest_neighbours
-from tabeval.models.network import Network, batch_loss, forward, gradient, initial
+from tabeval.models.knn import KNearest, hashed_neighbours, nearest_neighbours
 from tabeval.models.rff_svm import FourierSVC
 from tabeval.operators import metrics
 from tabeval.plans import evaluate as ev
@@ -99,7 +98,7 @@ def test_votes(spark):
 def test_every_own_model_saves_and_loads(spark):
     x, y = ring(120)
     df = table(spark, x, y)
-    models = [KNearest(k=3), GaussianNB(), AdaBoost(rounds=3), Network([4], epochs=2)]
+    models = [KNearest(k=3), KNearest(k=3, method="lsh", bucket=4.0), GaussianNB(), AdaBoost(rounds=3)]
     for fitted in [m.fit(df) for m in models]:
         path = scratch_path(spark, "model")
         PipelineModel([fitted]).write().overwrite().save(path)
@@ -173,41 +172,16 @@ def test_logistic_regression_reaches_the_penalised_optimum(spark):
     assert np.abs(w + x.T @ (p - y)).max() < 0.05 and abs((p - y).sum()) < 0.05
 
 
-@pytest.mark.parametrize("activation", ["relu", "tanh", "leaky_relu"])
-def test_network_gradient_matches_differences(activation):
-    sizes = [3, 5, 4, 1]
-    rng = np.random.default_rng(1)
-    flat, x, y = initial(sizes, 7), rng.normal(size=(9, 3)), rng.integers(0, 2, 9).astype(float)
-    g = gradient(flat, sizes, y, activation, *forward(flat, sizes, x, activation))
-    for i in range(0, len(flat), 5):
-        step = np.zeros_like(flat)
-        step[i] = 1e-6
-        up = batch_loss(y, forward(flat + step, sizes, x, activation)[0])
-        down = batch_loss(y, forward(flat - step, sizes, x, activation)[0])
-        assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
-
-
-@pytest.mark.parametrize("workers", [1, 3])
-def test_network_learns_a_ring_on_one_and_on_several_workers(spark, workers):
-    x, y = ring(600)
-    df = table(spark, x, y).withColumn("split", F.when(F.col("row_id") < 400, "train").when(F.col("row_id") < 500, "val").otherwise("test"))
-    model = Network([16], activation="tanh", learning_rate=0.03, epochs=25, dropout=0.1, rows_per_worker=-(-400 // workers)).fit(
-        df.filter("split <> 'test'")
-    )
-    assert auc(model, df.filter("split = 'test'")) > 0.95
-    h = model.history(spark, "m")
-    assert h.filter("phase = 'val'").count() == model.epochs_trained
-    assert h.filter("epoch = 1 AND phase = 'train'").first()["loss"] > h.agg(F.min("loss")).first()[0]
-
-
-def test_network_stops_early_and_repeats_itself(spark):
-    x = np.random.default_rng(0).normal(size=(80, 2))
-    y = np.random.default_rng(1).integers(0, 2, 80)
-    df = table(spark, x, y).withColumn("split", F.when(F.col("row_id") < 60, "train").otherwise("val"))
-    make = lambda: Network([8], learning_rate=0.1, epochs=60, patience=3, restore_best=True)
-    a, b = make().fit(df), make().fit(df)
-    assert a.epochs_trained < 60 and a.values["history"] == b.values["history"]
-    assert a.values["parameters"] == b.values["parameters"]
+def test_hashed_neighbours_find_most(spark):
+    """Recall of the approximate search against the exact one."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, size=(100, 8)) for c in range(6)])
+    df = table(spark, x, [0] * len(x))
+    queries = df.filter("row_id % 20 = 0")
+    exact = {(r["query"], r["neighbour"]) for r in nearest_neighbours(df, queries, 5).collect()}
+    rows = hashed_neighbours(df, queries, 5, bucket=1.5, tables=10).collect()
+    assert len(exact & {(r["query"], r["neighbour"]) for r in rows}) >= 0.9 * len(exact)
+    assert all(r["rank"] <= 5 for r in rows)
 
 
 def test_batched_scores(spark):
@@ -245,16 +219,28 @@ def test_search_records_a_failure_and_goes_on(spark):
     df = ev.with_validation(
         table(spark, x, y).withColumn("split", F.when(F.col("row_id") < 180, "train").otherwise("test")).drop("x")
     )
-    base = {"learning_rate": 0.03, "dropout_rate": 0.0, "batch_size": 32, "weight_decay": 0.0}
+    long = "no such network " * 100
+
+    def make(config, width, **options):
+        if config["combination_id"] == 1:
+            raise ValueError(long)
+        return searching.network_for(config, width, **options)
+
     configurations = [
-        base | {"combination_id": 0, "layer_sizes": [8], "activation": "tanh"},
-        base | {"combination_id": 1, "layer_sizes": [4, 4], "activation": "no such"},
+        {"combination_id": 0, "layer_sizes": [8], "learning_rate": 0.3},
+        {"combination_id": 1, "layer_sizes": [4, 4], "learning_rate": 0.3},
     ]
-    runs, best = searching.run_search(df, configurations, epochs=5)
-    got = {r["combination_id"]: r for r in runs.collect()}
-    assert got[0]["error"] is None and 0 <= got[0]["auc"] <= 1 and got[0]["epochs_trained"] == 5
-    assert "no such" in got[1]["error"] and got[1]["auc"] is None and got[1]["total_params"] == (3 * 4 + 8) + (5 * 4 + 8) + 5
-    assert best is not None
+    found = searching.run_search(df, configurations, make, epochs=5)
+    got = {r["combination_id"]: r for r in found.runs.collect()}
+    assert got[0]["error"] is None and 0 <= got[0]["auc"] <= 1 and got[0]["best_val_loss"] > 0
+    assert got[0]["total_params"] == 3 * 8 + 9 * 2 == len(found.best.weights)
+    assert got[1]["error"] == long and got[1]["auc"] is None and got[1]["total_params"] == 3 * 4 + 5 * 4 + 5 * 2
+    history = found.history.collect()
+    assert {r["combination_id"] for r in history} == {0} and len(history) == got[0]["epochs_trained"]
+
+
+def test_honoured_space():
+    assert {k: len(v) for k, v in searching.honoured_space().items()} == {"layer_sizes": 14, "learning_rate": 5}
 
 
 def test_chosen_configurations(spark):

@@ -119,3 +119,12 @@ def test_quantiles_without_keys(spark):
     vs = [5.0, 1.0, 9.0, 2.0]
     got = exact_quantiles(frame(spark, [(v,) for v in vs], "v double"), [], "v", [0.5]).collect()
     assert [(r["n"], r["quantile"]) for r in got] == [(4, 3.5)]
+
+
+def test_rows_with_missing_keys_stay(spark):
+    rows = [(None if i % 3 == 0 else "k", None if i % 5 == 0 else i % 2, i) for i in range(100)]
+    df = frame(spark, rows, "a string, b int, id int").repartition(5)
+    got = number_rows(df, ["a", "b"], ["id"], ranges=6).collect()
+    assert len(got) == 100
+    for r in got:
+        assert r["rank"] == 1 + sum(1 for a, b, i in rows if (a, b) == (r["a"], r["b"]) and i < r["id"])

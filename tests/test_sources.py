@@ -42,7 +42,7 @@ def summary(spark):
 
 def test_small_table_is_one_file_in_order(spark):
     path = scratch_path(spark, "s.csv")
-    writers.write_csv(summary(spark).repartition(3), path, [F.desc_nulls_last("AUC")])
+    writers.write_csv(summary(spark).repartition(3), path, [F.desc_nulls_last("AUC")], single_file=True)
     files = glob.glob(f"{path.removeprefix('file:')}/part-*.csv")
     assert len(files) == 1
     lines = open(files[0]).read().splitlines()
@@ -51,11 +51,25 @@ def test_small_table_is_one_file_in_order(spark):
     assert sorted(tuple(r) for r in back.collect())[1] == ("b", 0.5, 0.5, 0.5, 0.5, None, "T")
 
 
-def test_large_table_keeps_its_parts(spark, monkeypatch):
-    monkeypatch.setattr(writers, "ONE_FILE_ROWS", 2)
+def test_by_default_part_files_follow_the_order(spark):
     path = scratch_path(spark, "s.csv")
-    writers.write_csv(summary(spark), path, ["Model"])
-    assert readers.read_summary(spark, path).count() == 3
+    writers.write_csv(spark.range(5000).repartition(5), path, ["id"])
+    files = sorted(glob.glob(f"{path.removeprefix('file:')}/part-*.csv"))
+    numbers = [int(x) for f in files for x in open(f).read().splitlines()[1:]]
+    assert numbers == list(range(5000))
+
+
+def test_odd_cells_make_a_column_text_in_all_files(spark, tmp_path):
+    paths = {}
+    for name, cells in {"pos_train": ("1", "3D"), "neg_train": ("abc", "4"), "pos_test": ("3", "5"), "neg_test": ("4", ".5e1")}.items():
+        p = tmp_path / f"{name}.csv"
+        p.write_text(f"Name,a,b,c\n{name},{cells[0]},{cells[1]},+1.e2\n")
+        paths[name] = str(p)
+    df = readers.read_labelled(spark, paths)
+    assert dict(df.dtypes) == {"Name": "string", "a": "string", "b": "string", "c": "double", "label": "int", "split": "string"}
+    assert sorted(r["a"] for r in df.collect()) == ["1", "3", "4", "abc"] and {r["c"] for r in df.collect()} == {100.0}
+    chosen = readers.read_labelled(spark, paths, ["a", "b", "c"])
+    assert sorted(str(r["b"]) for r in chosen.collect()) == ["4.0", "5.0", "5.0", "None"]
 
 
 RUN = ("combination_id int, layer_sizes string, num_layers int, total_params bigint, learning_rate double, dropout_rate double, "
@@ -84,7 +98,7 @@ def test_saved_analysis(spark):
     text = "".join(open(f).read() for f in glob.glob(f"{folder.removeprefix('file:')}/analysis_report.txt/part-*"))
     lines = text.splitlines()
     assert lines[4] == "- Total configurations tested: 8"
-    assert "1. Configuration 3:" in lines and "   - Parameters: 4,000" in lines and "   - Weight Decay: 0.00001" in lines
+    assert "1. Configuration 3:" in lines and "   - Parameters: 4,000" in lines and "   - Weight Decay: 1e-05" in lines
     assert lines.index("Number of Layers:") < lines.index("Learning Rate Performance:") < lines.index("Key Insights:")
     assert lines[-1].startswith("- Optimal batch size: ")
     assert spark.read.option("header", True).csv(f"{folder}/hyperparameter_search_results.csv").count() == 8
