@@ -64,6 +64,15 @@ def test_agenda_matches_a_full_scan(model):
         assert model.encode_segment(segment) == brute_force_segment(model, segment, 0, 0, 0)
 
 
+def test_many_segments_at_once_are_as_one_by_one(model):
+    rng = random.Random(9)
+    segments = [" " * rng.randint(0, 2) + "".join(rng.choice("etaoinshrdlué▁日🙂.,") for _ in range(rng.randint(1, 45))) for _ in range(400)]
+    variants = [rng.randrange(4) for _ in segments]
+    for rate in (0.0, 0.1, 0.6):
+        many = model.encode_segments(segments, variants, 5, rate)
+        assert [np.frombuffer(b, np.int32).tolist() for b in many] == [model.encode_segment(s, 5, v, rate) for s, v in zip(segments, variants)]
+
+
 def test_frames(spark):
     df = awkward(spark, ODD)
     found = pieces.encode(df)
