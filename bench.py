@@ -20,7 +20,9 @@ HEADLINE = [
     "c2_medians_large", "c5_moments_large", "c6_scaler_apply", "x1_stratified_split", "x4_shuffled_batches",
     "j4_search_grid", "m5_nearest_neighbour_votes", "m6_gaussian_naive_bayes", "z2_batched_scoring",
     "a1_type_statistics", "a2_axis_statistics", "a9_correlation", "a11_box_by_event", "w1_rank_summary",
-    "w7_running_best", "w8_early_stopping", "g5_family_comparison",
+    "w7_running_best", "w8_early_stopping", "g5_family_comparison", "g4_search_analysis", "k1_write_summary",
+    "k2_write_combined", "k3_write_runs_csv", "k5_text_report", "m1_logistic_regression", "m7_decision_tree",
+    "m9_perceptron", "g2_network_evaluation",
 ]
 
 

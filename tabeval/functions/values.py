@@ -91,7 +91,10 @@ def fixed_text(c, places: int) -> Column:
 
 
 def float_text(c) -> Column:
-    """A double the way a script prints it: 0.0, 0.5, 1e-05, 1e+16; decimals from 1e-4 up to below 1e16."""
+    """A double the way a script prints it: 0.0, 0.5, 1e-05, 1e+16; decimals from 1e-4 up to below 1e16.
+
+    The digits are those of the Java runtime, which before version 19 now and then has one too many.
+    """
     text = col(c).cast("double").cast("string")
     parts = F.split(text, "E")
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))

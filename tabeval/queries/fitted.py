@@ -393,7 +393,7 @@ def run_search(spark, d):
     since the grid is smaller than the 100 configurations that a search asks for."""
     vectors = ev.with_validation(_scaled(spark, d))
     configurations = searching.choose_configurations(spark, searching.honoured_space(), limit=100)
-    found = searching.run_search(vectors, configurations, epochs=100)
+    found = searching.run_search(vectors, configurations, parallel=8, epochs=100)
     losses = found.history.groupBy("combination_id").agg(F.count("*").alias("epochs"))
     return found.runs.join(losses, "combination_id", "left").select(
         "layer_sizes", "learning_rate", "num_layers", F.least("epochs_trained", F.lit(100)).alias("epochs_trained"),

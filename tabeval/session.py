@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tabev
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -49,6 +50,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows computed once and kept in the shared folder: no later step repeats the work, and a
-    lost executor takes nothing with it. For small intermediate tables."""
+    lost executor takes nothing with it. Spark removes the files once nothing refers to the rows, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
