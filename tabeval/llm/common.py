@@ -21,7 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows computed once, as parquet in the folder that all executors share. Survives the loss
     of any executor, and what follows plans from real sizes."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
