@@ -7,12 +7,16 @@
    in the first ``LEAST_DEPTH`` values are cut at the smallest depth at which they hold at most
    ``REGION`` classes; within such a region all classes are longest-common-prefix neighbours. A
    region that is crowded down to full depth pairs every class with its ``NEAR`` neighbours in the
-   order and with the ``HUBS`` first classes, so the number of pairs stays linear.
+   order and with ``HUBS`` hubs, the classes closest to the region's majority of bits, so that the
+   copies of one text meet it and the number of pairs stays linear. Classes carry two
+   bits of each of their MinHash values; a pair whose bits differ in far more places than pairs at
+   the wanted similarity do (five standard deviations) is left out.
 3. Every pair is confirmed on the full sets: 100 * common >= 85 * together, by default.
 4. Confirmed links are followed to components.
 
-A pair at similarity 0.85 shares a region with probability 1 - (1 - 0.85^4)^20, all but 4 in ten
-million; crowded regions are cut deeper and rely on all trees together.
+A pair at similarity 0.85 shares a region with probability 1 - (1 - 0.85^5)^24, all but 8 in ten
+million; crowded regions are cut deeper and rely on all trees together. The bits lose about 2 in a
+million such pairs.
 
 Texts without words have the empty set and are linked with nothing. A missing text counts as empty.
 Missing ids come after all others; a class whose ids are all missing has a missing component id.
@@ -21,6 +25,7 @@ Rows that repeat an id get a row each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +38,14 @@ from tabeval.llm.common import text_of, without, written
 from tabeval.llm.components import components
 
 SHINGLE = 5
-TREES = 20
+TREES = 24
 DEPTH = 6
-LEAST_DEPTH = 4
+LEAST_DEPTH = 5
 REGION = 24
-NEAR = 8
-HUBS = 4
+CROWDED_REGION = 6  # the same within a region that is crowded at its least depth
+NEAR = 3
+HUBS = 3
+HELD = 2_000  # classes of a crowded region that a task holds at a time
 PERCENT = 85
 
 
@@ -107,8 +114,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def most_different(percent: int) -> int:
+    """In how many of the two-bit values a pair at the similarity differs at the most: mean and five deviations."""
+    n, p = TREES * DEPTH, 0.75 * (1 - percent / 100)
+    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+
+
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per class and tree: the tree, its path, and the key of the region at least depth."""
+    """A row per class and tree: the key of the region at least depth, its path, two bits of each value."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -119,83 +132,98 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             region = arrays.mixed(region * np.uint64(arrays.BASE) + path[:, :, k], 3)
         region = arrays.mixed(region + np.arange(TREES, dtype=np.uint64), 4)
         big = path.astype(">u4")
+        flat = path.reshape(n, -1)
+        bits = np.packbits(np.stack([flat & 1, flat >> 1 & 1], axis=2).astype(np.uint8).reshape(n, -1), axis=1)
+        bits = np.array([b.tobytes() for b in bits], object)
         key = np.array(batch.column("class").to_pylist(), object)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(region.ravel().view(np.int64)),
                 pa.array([big[i, t].tobytes() for i in range(n) for t in range(TREES)], pa.binary()),
-                pa.array(np.repeat(key, TREES), pa.string()),
+                pa.array(np.repeat(key, TREES), pa.string()), pa.array(np.repeat(bits, TREES), pa.binary()),
             ],
-            names=["region", "path", "class"],
+            names=["region", "path", "class", "bits"],
         )
 
 
+_EVEN = int("01" * (TREES * DEPTH), 2)
+
+
 class _Region:
     """Streams classes in path order and yields pairs; holds a crowded region's window, never all of it."""
 
-    def __init__(self):
-        self.region, self.rows, self.hubs, self.crowded = None, [], [], False
+    def __init__(self, different: int):
+        self.region, self.rows, self.hubs, self.crowded, self.done = None, [], [], False, 0
+        self.different = different
 
-    def add(self, region: int, path: bytes, key: str) -> Iterator[tuple[str, str]]:
+    def add(self, region: int, path: bytes, key: str, bits: int) -> Iterator[tuple[str, str]]:
         if region != self.region:
             yield from self.close()
-            self.region, self.rows, self.hubs, self.crowded = region, [], [], False
-        self.rows.append((path, key))
-        if len(self.rows) > 4 * REGION:
-            # Streams on: what lies further back than the window has met its neighbours.
+            self.region, self.rows, self.hubs, self.crowded, self.done = region, [], [], False, 0
+        self.rows.append((path, key, bits))
+        if len(self.rows) > HELD:
+            # Streams on: the hubs so far stay, what lies further back has met its neighbours.
             yield from self._flush(last=False)
 
     def close(self) -> Iterator[tuple[str, str]]:
-        if len(self.rows) > 1 or self.crowded:
+        if len(self.rows) > 1:
             yield from self._flush(last=True)
 
+    def _pair(self, a: tuple, b: tuple) -> Iterator[tuple[str, str]]:
+        apart = a[2] ^ b[2]
+        if a[1] != b[1] and ((apart | apart >> 1) & _EVEN).bit_count() <= self.different:
+            yield max(a[1], b[1]), min(a[1], b[1])
+
+    def _all(self, rows: list) -> Iterator[tuple[str, str]]:
+        """The pairs of at most ``REGION`` classes."""
+        for i in range(1, len(rows)):
+            for j in range(i):
+                yield from self._pair(rows[i], rows[j])
+
     def _flush(self, last: bool) -> Iterator[tuple[str, str]]:
         if not self.crowded and len(self.rows) <= REGION:
-            yield from _all(self.rows)
+            yield from self._all(self.rows)
             return
-        if not self.crowded:
-            self.crowded, self.hubs, self.done = True, self.rows[:HUBS], 0
+        self.crowded = True
+        known = self.hubs + self.rows[self.done :]
+        bits = np.unpackbits(np.frombuffer(b"".join(r[2].to_bytes(TREES * DEPTH // 4) for r in known), np.uint8).reshape(len(known), -1), axis=1)
+        apart = (bits != (bits.mean(axis=0) > 0.5)).sum(axis=1)
+        self.hubs = [known[i] for i in np.argsort(apart, kind="stable")[:HUBS]]
         for i in range(self.done, len(self.rows)):
-            mine = self.rows[i]
-            for other in self.rows[max(0, i - NEAR) : i]:
-                yield mine[1], other[1]
-            for other in self.hubs:
-                yield mine[1], other[1]
+            for other in (*self.rows[max(0, i - NEAR) : i], *self.hubs):
+                yield from self._pair(self.rows[i], other)
         # Deeper regions that lie whole in the window are compared within themselves.
         for depth in range(LEAST_DEPTH + 1, DEPTH + 1):
             begin = 0
             for i in range(1, len(self.rows) + 1):
                 if i == len(self.rows) or self.rows[i][0][: 4 * depth] != self.rows[begin][0][: 4 * depth]:
-                    if 1 < i - begin <= REGION and i > self.done:
-                        yield from _all(self.rows[begin:i])
+                    if 1 < i - begin <= CROWDED_REGION and i > self.done:
+                        yield from self._all(self.rows[begin:i])
                     begin = i
         keep = [] if last else self.rows[-REGION:]
         self.rows, self.done = keep, len(keep)
 
 
-def _all(rows: list) -> Iterator[tuple[str, str]]:
-    """The pairs of at most ``REGION`` classes."""
-    for i in range(1, len(rows)):
-        for j in range(i):
-            yield rows[i][1], rows[j][1]
-
+def _pairs(different: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, found = _Region(different), set()
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    region, found = _Region(), []
+        def out():
+            a, b = zip(*found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
-    def out():
-        a, b = zip(*found)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("region", "path", "class", "bits")]
+            for place, path, key, bits in zip(*columns):
+                found.update(region.add(place, path, key, int.from_bytes(bits)))
+                if len(found) > 50_000:
+                    yield out()
+        found.update(region.close())
+        if found:
+            yield out()
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("region", "path", "class"))):
-            found += [(max(p), min(p)) for p in region.add(*row) if p[0] != p[1]]
-            if len(found) > 50_000:
-                yield out()
-    found += [(max(p), min(p)) for p in region.close() if p[0] != p[1]]
-    if found:
-        yield out()
+    return run
 
 
 def describe(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,12 +233,12 @@ def describe(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFr
     return rows.mapInArrow(_describe, f"id {kind}, n_shingles long, class string, signature binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (a, b) of class keys that are neighbours in a tree."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.select("class", "signature").mapInArrow(_tree_rows, "region long, path binary, class string")
+    rows = classes.select("class", "signature").mapInArrow(_tree_rows, "region long, path binary, class string, bits binary")
     ordered = rows.repartition(n, "region").sortWithinPartitions("region", "path", "class")
-    return ordered.mapInArrow(_pairs, "a string, b string").distinct()
+    return ordered.mapInArrow(_pairs(most_different(percent)), "a string, b string").distinct()
 
 
 def _sets_of(bitmap):
@@ -220,7 +248,9 @@ def _sets_of(bitmap):
             for _, data, offsets in arrays.blocks(batch.column("text")):
                 value, places = shingle_sets(data, offsets)
                 keys = _class_keys(value, places)
-                wanted = np.flatnonzero(bloom.hits(keys, bits, packed) & (np.diff(places) > 0))
+                hit = bloom.hits(keys, bits, packed) & (np.diff(places) > 0)
+                _, first = np.unique(np.array(keys), return_index=True)  # one text of a class is enough
+                wanted = first[hit[first]]
                 if len(wanted):
                     values = [value[places[i] : places[i + 1]].view(np.int64) for i in wanted]
                     yield pa.RecordBatch.from_arrays(
@@ -237,7 +267,7 @@ def confirmed(pairs: DataFrame, representatives: DataFrame, percent: int = PERCE
     names = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "named")
     bitmap = bloom.member_filter(names, "class")
     found = representatives.mapInArrow(_sets_of(bitmap), "class string, shingles array<bigint>")
-    sets = written(found.join(names, "class", "left_semi").dropDuplicates(["class"]), "sets")
+    sets = written(found.groupBy("class").agg(F.first("shingles").alias("shingles")).join(names, "class", "left_semi"), "sets")
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(right, "b").join(left, "a")
@@ -254,7 +284,7 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", pe
         rows.filter("n_shingles > 0").groupBy("class").agg(F.min(first).alias("first"), F.first("signature").alias("signature")),
         "classes",
     )
-    pairs = written(candidates(classes), "pairs")
+    pairs = written(candidates(classes, percent), "pairs")
     links = confirmed(pairs, df.select(text_of(text).alias("text")), percent)
     member = components(links)
     named = classes.select(F.col("class").alias("node"), "first").join(member, "node", "left")
