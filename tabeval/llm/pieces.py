@@ -34,7 +34,8 @@ SEED = 20_240_601
 RATE = 0.1
 VARIANTS = 4
 REMEMBERED = 300_000
-LONGEST_REMEMBERED = 48  # characters
+LONGEST_REMEMBERED = 40  # characters
+AT_A_TIME = 8_192  # segments that are encoded together
 
 MARK = "▁"
 _MASK = (1 << 64) - 1
@@ -135,32 +136,152 @@ class Pieces:
             i = follow[i]
         return out
 
-    def encode(self, text: str, key: int = 0, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> np.ndarray:
-        """Ids of a whole text. ``key`` and the place of each segment pick its variant."""
-        found = self.segments(text)
-        if not found:
-            return np.zeros(0, np.int32)
-        if rate:
-            place = np.arange(len(found), dtype=np.uint64) + np.uint64(key & _MASK)
-            drawn = (arrays.mixed(place, seed) >> np.uint64(40)) % np.uint64(variants)
-        else:
-            drawn = np.zeros(len(found), np.uint64)
+    def _merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The merges as sorted pairs of piece numbers with rank and result, and the pieces of one character."""
+        if "merges" not in self.memory:
+            found = sorted(
+                (self.ids[p[:i]] << 32 | self.ids[p[i:]], rank, self.ids[p])
+                for p, rank in self.ranks.items()
+                for i in range(1, len(p))
+                if p[:i] in self.ids and p[i:] in self.ids
+            )
+            pair, rank, to = (np.array(x, np.int64) for x in zip(*found))
+            single = sorted((ord(p), i) for p, i in self.ids.items() if len(p) == 1)
+            code, number = (np.array(x, np.int64) for x in zip(*single))
+            self.memory["merges"] = pair, rank, to, code, number
+        return self.memory["merges"]
+
+    def encode_segments(self, segments: list[str], variants: list[int], seed: int, rate: float) -> list[bytes]:
+        """``encode_segment`` for many segments at once, as bytes of 32-bit ids: every round takes the
+        next candidate of each segment's agenda. Segments with odd characters are encoded singly."""
+        code, number = self._merges()[3:]
+        out: list[bytes | None] = [None] * len(segments)
+        plain = []
+        for i, s in enumerate(segments):
+            if len(s) <= LONGEST_REMEMBERED and MARK not in s:
+                plain.append(i)
+        plain.sort(key=lambda i: len(segments[i]))
+        for first in range(0, len(plain), AT_A_TIME):
+            some = plain[first : first + AT_A_TIME]
+            chars = np.frombuffer("".join([segments[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            chars[chars == 32] = ord(MARK)
+            at = np.minimum(np.searchsorted(code, chars), len(code) - 1)
+            ids = np.where(code[at] == chars, number[at], -1)
+            size = np.array([len(segments[i]) for i in some])
+            odd = np.bincount(np.repeat(np.arange(len(some)), size), ids < 0, minlength=len(some)) > 0
+            for i, ids_of in zip(some, self._rounds([segments[i] for i in some], [variants[i] for i in some], ids, size, seed, rate)):
+                out[i] = ids_of
+            for k in np.flatnonzero(odd).tolist():
+                out[some[k]] = None
+        for i, o in enumerate(out):
+            if o is None:
+                out[i] = np.array(self.encode_segment(segments[i], seed, variants[i], rate), np.int32).tobytes()
+        return out
+
+    def _rounds(self, segments: list[str], variants: list[int], ids: np.ndarray, size: np.ndarray, seed: int, rate: float) -> Iterator[bytes]:
+        pair, rank_of, result_of = self._merges()[:3]
+        n, width = len(size), int(size.max()) + 1  # the last column stands for no neighbour
+        none = np.int64(1 << 40)
+
+        def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
+            at = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+            return np.where(pair[at] == key, rank_of[at], none), result_of[at]
+
+        row = np.repeat(np.arange(n), size)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        symbol = np.full((n, width), -1, np.int64)
+        symbol[row, col] = ids
+        follow = np.tile(np.arange(1, width + 1), (n, 1))
+        follow[np.arange(n), size - 1] = width - 1
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        before[:, 0] = width - 1
+        long = np.ones((n, width), np.int64)
+        rank = np.full((n, width), none)
+        result = np.zeros((n, width), np.int64)
+        if width > 2:
+            rank[:, :-2], result[:, :-2] = look(symbol[:, :-2], symbol[:, 1:-1])
+        base = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in segments], np.uint64) << np.uint64(20)
+        base ^= np.uint64(seed * 0x9E3779B97F4A7C15 & _MASK)
+        base ^= (np.array(variants, np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        bound = np.uint64(int(rate * (1 << 32)))
+        symbol_, follow_, before_, long_, rank_, result_ = (x.reshape(-1) for x in (symbol, follow, before, long, rank, result))
+        live = np.arange(n)
+        while len(live):
+            now = rank[live]
+            a = now.argmin(axis=1)
+            open_ = now[np.arange(len(live)), a] < none
+            live, a = live[open_], a[open_]
+            start = live * width
+            here = start + a
+            there = start + follow_[here]
+            both = long_[here] + long_[there]
+            todo = live
+            if bound:
+                h = (base[live] ^ (a.astype(np.uint64) << np.uint64(32)) ^ both.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                skipped = h >> np.uint64(32) < bound
+                rank_[here[skipped]] = none
+                keep = ~skipped
+                todo, a, start, here, there, both = (x[keep] for x in (todo, a, start, here, there, both))
+            if not len(todo):
+                continue
+            after = start + follow_[there]
+            symbol_[here], long_[here], follow_[here] = result_[here], both, follow_[there]
+            symbol_[there], rank_[there] = -1, none
+            before_[after] = a
+            rank_[here], result_[here] = look(symbol_[here], symbol_[after])
+            ahead = start + before_[here]
+            rank_[ahead], result_[ahead] = look(symbol_[ahead], symbol_[here])
+        kept = symbol[:, :-1] >= 0
+        found = symbol[:, :-1][kept].astype(np.int32).tobytes()
+        ends = np.cumsum(kept.sum(axis=1)) * 4
+        begin = 0
+        for end in ends.tolist():
+            yield found[begin:end]
+            begin = end
+
+    def encode_texts(self, texts: list[str], keys: list[int], seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> list[np.ndarray]:
+        """Ids of whole texts. A text's key and the place of each segment pick the segment's variant."""
         # Two generations: what is in use moves from the old one to the new one.
         new, old = self.memory.setdefault((seed, rate), [[{} for _ in range(variants)] for _ in range(2)])
-        look = [k.get for k in new]
-        drawn = drawn.tolist()
-        parts = [look[v](s) for s, v in zip(found, drawn)]
-        for i in [i for i, p in enumerate(parts) if p is None]:
-            s, v = found[i], drawn[i]
-            p = new[v].get(s) or old[v].get(s)
-            if p is None:
-                p = np.array(self.encode_segment(s, seed, v, rate), np.int32).tobytes()
-            if len(s) <= LONGEST_REMEMBERED:
-                new[v][s] = p
-            parts[i] = p
+        look, found, missing = [k.get for k in new], [], [{} for _ in range(variants)]
+        for text, key in zip(texts, keys):
+            segments = self.segments(text)
+            drawn = np.zeros(len(segments), np.uint64)
+            if rate:
+                place = np.arange(len(segments), dtype=np.uint64) + np.uint64(key & _MASK)
+                drawn = (arrays.mixed(place, seed) >> np.uint64(40)) % np.uint64(variants)
+            drawn = drawn.tolist()
+            parts = [look[v](s) for s, v in zip(segments, drawn)]
+            gaps = [i for i, p in enumerate(parts) if p is None]
+            for i in gaps:
+                s, v = segments[i], drawn[i]
+                known = old[v].get(s)
+                if known is None:
+                    missing[v][s] = None
+                else:
+                    parts[i] = new[v][s] = known
+            found.append((segments, drawn, parts, gaps))
+        wanted = [(s, v) for v in range(variants) for s in missing[v]]
+        if wanted:
+            fresh = self.encode_segments([s for s, _ in wanted], [v for _, v in wanted], seed, rate)
+            for (s, v), ids in zip(wanted, fresh):
+                missing[v][s] = ids
+                if len(s) <= LONGEST_REMEMBERED:
+                    new[v][s] = ids
+        out = []
+        for segments, drawn, parts, gaps in found:
+            for i in gaps:
+                if parts[i] is None:
+                    parts[i] = missing[drawn[i]][segments[i]]
+            out.append(np.frombuffer(b"".join(parts), np.int32))
         if sum(map(len, new)) > REMEMBERED:
             self.memory[seed, rate] = [[{} for _ in range(variants)], new]
-        return np.frombuffer(b"".join(parts), np.int32)
+        return out
+
+    def encode(self, text: str, key: int = 0, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> np.ndarray:
+        return self.encode_texts([text], [key], seed, rate, variants)[0]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         if "texts" not in self.memory:
@@ -188,11 +309,9 @@ def encode(
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("key").to_pylist()
             for first in range(0, batch.num_rows, 256):
-                found, good = [], []
-                for t, key in zip(texts.slice(first, 256).to_pylist(), keys[first : first + 256]):
-                    ids = pieces.encode(t, key, seed, rate, variants)
-                    found.append(ids)
-                    good.append((pieces.decode_bytes(ids) if len(ids) else b"") == t.encode("utf-8", "surrogatepass"))
+                some = texts.slice(first, 256).to_pylist()
+                found = pieces.encode_texts(some, keys[first : first + 256], seed, rate, variants)
+                good = [(pieces.decode_bytes(f) if len(f) else b"") == t.encode("utf-8", "surrogatepass") for f, t in zip(found, some)]
                 size = np.array([len(f) for f in found], np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
