@@ -154,7 +154,8 @@ def slots(spark, plan: Plan, seed: int = SEED, shard: int = SHARD) -> DataFrame:
 
     starts = running(drawn, ["number"], ["shard"], {"start": ("sum", F.col("count"))}, before=True)
     starts = starts.select("shard", "number", "count", F.col("start").cast("long").alias("start"))
-    return starts.mapInArrow(fill, schema)
+    # Written, since Spark would take the slots for as few as the rows they are made from and broadcast them.
+    return written(starts.mapInArrow(fill, schema), "slots")
 
 
 def sized(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -172,7 +173,7 @@ def taken(df: DataFrame, block: int = BLOCK, seed: int = SEED, shard: int = SHAR
     rows = written(sized(df, **columns).drop("row"), "sizes")
     plan = plan_of(rows, block)
     placed = written(packed(rows, plan, ["id", "key"]), "placed")
-    times = slots(df.sparkSession, plan, seed, shard).groupBy("number", "block").agg(F.count("*").alias("times"))
+    times = written(slots(df.sparkSession, plan, seed, shard).groupBy("number", "block").agg(F.count("*").alias("times")), "times")
     first, last = F.col("offset"), F.col("offset") + F.col("size")
     parts = placed.filter("size > 0").select(
         "number", "offset", "size",
