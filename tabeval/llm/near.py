@@ -8,15 +8,19 @@
    ``REGION`` classes; within such a region all classes are longest-common-prefix neighbours. A
    region that is crowded down to full depth pairs every class with its ``NEAR`` neighbours in the
    order and with ``HUBS`` hubs, the classes closest to the region's majority of bits, so that the
-   copies of one text meet it and the number of pairs stays linear. Classes carry two
+   copies of one text meet it and the number of pairs stays linear; its classes are marked. Classes carry two
    bits of each of their MinHash values; a pair whose bits differ in far more places than pairs at
    the wanted similarity do (five standard deviations) is left out.
 3. Every pair is confirmed on the full sets: 100 * common >= 85 * together, by default.
 4. Confirmed links are followed to components.
+5. Marked classes of different components meet once more, in an exact prefix filter: of two sets that
+   reach the similarity, the rarest shingles (as many as the similarity leaves out, and one) have one
+   in common. Pairs are bounded by sizes and by the shingle's places, confirmed on the full sets, and
+   join the components.
 
 A pair at similarity 0.85 shares a region with probability 1 - (1 - 0.85^5)^24, all but 8 in ten
-million; crowded regions are cut deeper and rely on all trees together. The bits lose about 2 in a
-million such pairs.
+million. A pair that shares a crowded region is found for certain, in one of the others the bits lose
+about 2 in a million.
 
 Texts without words have the empty set and are linked with nothing. A missing text counts as empty.
 Missing ids come after all others; a class whose ids are all missing has a missing component id.
@@ -47,6 +51,8 @@ NEAR = 3
 HUBS = 3
 HELD = 2_000  # classes of a crowded region that a task holds at a time
 PERCENT = 85
+RARITY_BITS = 18  # shingles are counted in so many bits of their hash; counts only order them
+MEETING = 512  # classes under one shingle that a task takes at a time
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +162,7 @@ class _Region:
         self.region, self.rows, self.hubs, self.crowded, self.done = None, [], [], False, 0
         self.different = different
 
-    def add(self, region: int, path: bytes, key: str, bits: int) -> Iterator[tuple[str, str]]:
+    def add(self, region: int, path: bytes, key: str, bits: int) -> Iterator[tuple[str, str | None]]:
         if region != self.region:
             yield from self.close()
             self.region, self.rows, self.hubs, self.crowded, self.done = region, [], [], False, 0
@@ -185,6 +191,7 @@ class _Region:
             yield from self._all(self.rows)
             return
         self.crowded = True
+        yield from ((key, None) for _, key, _ in self.rows[self.done :])
         known = self.hubs + self.rows[self.done :]
         bits = np.unpackbits(np.frombuffer(b"".join(r[2].to_bytes(TREES * DEPTH // 4) for r in known), np.uint8).reshape(len(known), -1), axis=1)
         apart = (bits != (bits.mean(axis=0) > 0.5)).sum(axis=1)
@@ -234,7 +241,8 @@ def describe(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFr
 
 
 def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (a, b) of class keys that are neighbours in a tree."""
+    """Distinct pairs (a, b) of class keys that are neighbours in a tree, and (a, missing) for each class
+    of a crowded region."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select("class", "signature").mapInArrow(_tree_rows, "region long, path binary, class string, bits binary")
     ordered = rows.repartition(n, "region").sortWithinPartitions("region", "path", "class")
@@ -261,13 +269,16 @@ def _sets_of(bitmap):
     return build
 
 
-def confirmed(pairs: DataFrame, representatives: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets reach the similarity. ``representatives`` (text) has at least one text
-    of each class; a bounded Bloom filter keeps most texts that no pair names from being shuffled."""
-    names = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "named")
+def sets_of(names: DataFrame, representatives: DataFrame) -> DataFrame:
+    """(class, shingles) of the named classes. ``representatives`` (text) has at least one text of each
+    class; a bounded Bloom filter keeps most texts that nothing names from being shuffled."""
     bitmap = bloom.member_filter(names, "class")
     found = representatives.mapInArrow(_sets_of(bitmap), "class string, shingles array<bigint>")
-    sets = written(found.groupBy("class").agg(F.first("shingles").alias("shingles")).join(names, "class", "left_semi"), "sets")
+    return written(found.groupBy("class").agg(F.first("shingles").alias("shingles")).join(names, "class", "left_semi"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(right, "b").join(left, "a")
@@ -276,6 +287,106 @@ def confirmed(pairs: DataFrame, representatives: DataFrame, percent: int = PERCE
     return both.filter(common * 100 >= together * percent).select("a", "b")
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_bucket(batch.column("shingles").flatten().to_numpy()), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _rarest(rarity, percent: int):
+    """A row per class and shingle of its prefix: the rarest, in one order for all classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = rarity.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            lists = batch.column("shingles")
+            value, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            of = np.repeat(np.arange(n), size)
+            order = np.lexsort((value, counts[_bucket(value)], of))
+            place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+            # Both sets share at least percent of the larger one, so the rest of either and one more must meet.
+            taken = place <= (size + (-size * percent) // 100)[of]
+            of, place, value = of[taken], place[taken], value[order][taken]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(value), pa.array(place), pa.array(size[of]),
+                    batch.column("class").take(pa.array(of)), batch.column("component").take(pa.array(of)),
+                ],
+                names=["shingle", "place", "size", "class", "component"],
+            )
+
+    return run
+
+
+def prefix_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b) of different components that may reach the similarity; none that does is missing.
+
+    ``sets`` holds class, component, shingles. Of each shingle, the classes outside its most frequent
+    component are copied to the parts over which all its classes are dealt."""
+    found = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    rarity = sets.sparkSession.sparkContext.broadcast(counts)
+    posts = written(
+        sets.mapInArrow(_rarest(rarity, percent), "shingle long, place long, size long, class string, component string"), "posts"
+    )
+    per = posts.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("shingle").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / MEETING).cast("int").alias("parts"),
+        F.count("*").alias("kinds"),
+    )
+    posts = written(posts.join(mixed.filter("kinds > 1").drop("kinds"), "shingle"), "mixed")
+    left = posts.filter("component <> main").select(
+        "shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("class").alias("a"), F.col("component").alias("ca"), F.col("place").alias("pa"), F.col("size").alias("na"),
+    )
+    right = posts.select(
+        "shingle", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"),
+        F.col("class").alias("b"), F.col("component").alias("cb"), F.col("place").alias("pb"), F.col("size").alias("nb"),
+    )
+    # At the first shingle in common nothing before it is shared, so what follows bounds the overlap.
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    near = (
+        (F.col("ca") != F.col("cb"))
+        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        & (reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    )
+    both = left.join(right, ["shingle", "part"]).filter(near)
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def linked_components(pairs: DataFrame, representatives: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the classes that have links, from what ``candidates`` gives."""
+    names = written(pairs.select(F.col("a").alias("class")).union(pairs.filter("b IS NOT NULL").select("b")).distinct(), "named")
+    sets = sets_of(names, representatives)
+    member = written(components(confirmed(pairs.filter("b IS NOT NULL"), sets, percent)), "linked")
+    crowded = written(pairs.filter("b IS NULL").select(F.col("a").alias("class")), "crowded")
+    if crowded.isEmpty():
+        return member
+    label = member.select(F.col("node").alias("class"), "component")
+    rest = sets.join(crowded, "class", "left_semi").join(label, "class", "left")
+    rest = written(rest.select("class", F.coalesce("component", "class").alias("component"), "shingles"), "rest")
+    links = confirmed(written(prefix_pairs(rest, percent), "met"), sets, percent)
+    of = rest.select("class", "component")
+    links = links.join(of.select(F.col("class").alias("a"), F.col("component").alias("ca")), "a")
+    links = links.join(of.select(F.col("class").alias("b"), F.col("component").alias("cb")), "b")
+    # The components found so far are the nodes of these links.
+    joined = written(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = joined.join(member.select("component"), "component", "left_anti").select(F.col("component").alias("node"), "whole")
+    known = member.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return known.union(alone)
+
+
 def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (smallest id it can reach), kept, class."""
     rows = written(describe(df, ident, text), "rows")
@@ -285,8 +396,7 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", pe
         "classes",
     )
     pairs = written(candidates(classes, percent), "pairs")
-    links = confirmed(pairs, df.select(text_of(text).alias("text")), percent)
-    member = components(links)
+    member = linked_components(pairs, df.select(text_of(text).alias("text")), percent)
     named = classes.select(F.col("class").alias("node"), "first").join(member, "node", "left")
     named = written(named.withColumn("component", F.coalesce("component", "node")), "members")
     least = named.groupBy("component").agg(F.min("first").alias("least"))

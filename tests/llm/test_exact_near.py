@@ -102,6 +102,39 @@ def test_crowded_regions_lose_no_component(spark):
     assert pairs(found, "doc_id", "n_shingles", "component_id") == sorted(brute_force(rows), key=repr)
 
 
+def test_templated_copies_without_a_common_base(spark):
+    """Pairs within one crowd of texts from a template: no text is near to all, most are near to one only."""
+    rng = random.Random(12)
+    form = prose(rng, 150)
+    rows = []
+    for i in range(200):
+        own = ["o" + str(rng.random()) for _ in range(12)]
+        rows.append((2 * i, " ".join([*form[:75], *own, *form[75:]])))
+        rows.append((2 * i + 1, " ".join([*form[:75], *own[:6], *("x" + str(rng.random()) for _ in range(6)), *form[75:]])))
+    want = brute_force(rows)
+    assert len({c for _, _, c in want}) == 200
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert pairs(found, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+
+
+def test_prefix_filter_misses_no_pair(spark):
+    """All pairs of different components at the similarity, among sets of random overlap."""
+    rng = random.Random(5)
+    for percent in (60, 85):
+        sets = []
+        for i in range(120):
+            base = sets[rng.randrange(len(sets))][2] if sets and rng.random() < 0.8 else [rng.getrandbits(63) for _ in range(rng.randint(1, 60))]
+            sets.append((f"{i:032x}", f"{i % 100:032x}", sorted(set(rng.sample(base, max(1, len(base) - rng.randint(0, 4))) + [rng.getrandbits(63)]))))
+        want = set()
+        for a, ca, x in sets:
+            for b, cb, y in sets:
+                common = len(set(x) & set(y))
+                if a > b and ca != cb and 100 * common >= percent * (len(x) + len(y) - common):
+                    want.add((a, b))
+        found = near.prefix_pairs(spark.createDataFrame(sets, "class string, component string, shingles array<bigint>"), percent)
+        assert len(want) > 20 and want <= set(pairs(found, "a", "b"))
+
+
 def test_drop_near_keeps_columns(spark):
     df = awkward(spark)
     kept = near.drop_near_duplicates(df)
