@@ -2,13 +2,15 @@
 
 A text is its characters, spaces written as the space mark and one mark put in front. Candidate
 merges of neighbouring symbols wait in an agenda, best score first, leftmost first among equals.
-When a candidate's turn comes, a keyed hash of (seed, variant, segment, place) decides whether it is
-skipped; with rate 0 the result is the model's own segmentation. Characters without a piece become
+When a candidate's turn comes, a keyed hash of (seed, draw, segment, place) decides whether it is
+skipped, where every occurrence of a segment has a draw of its own, by text and place; with rate 0 the result is the model's own segmentation. Characters without a piece become
 bytes. A space mark that stands in the text itself is written as bytes too, so decoding is exact.
 
 No piece reaches across the end of a word, so a text falls into segments (spaces and the word after
-them) that are encoded by themselves. Each occurrence draws one of ``VARIANTS`` keyed variants by
-text and place; segmentations are remembered per (segment, variant) up to ``REMEMBERED`` entries.
+them) that are encoded by themselves. What is remembered, up to ``REMEMBERED`` entries, is a segment's
+agenda after given skips: its merges in order and the ids they lead to. An occurrence asks its own
+hashes along the merges; the first skip leads to the next entry, and what is not remembered runs by
+itself. So the memory changes no result.
 
 A missing text is empty and has no tokens. Equal (seed, key, text) give equal tokens on every run.
 """
@@ -32,7 +34,6 @@ from tabeval.llm.common import text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20_240_601
 RATE = 0.1
-VARIANTS = 4
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 40  # characters
 AT_A_TIME = 8_192  # segments that are encoded together
@@ -41,6 +42,90 @@ MARK = "▁"
 _MASK = (1 << 64) - 1
 
 
+def _bases(crc: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """What ``encode_segment`` calls base, for many segments."""
+    base = crc << np.uint64(20) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & _MASK)
+    return base ^ (draws + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _skipped(base: np.ndarray, merge: np.ndarray, bound: np.uint64) -> np.ndarray:
+    h = (base ^ merge) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h >> np.uint64(32) < bound
+
+
+class _Agendas:
+    """Remembered agendas. An entry is a segment with the merges that are skipped; it holds the merges that
+    follow the last skip, and the ids if none of them is skipped."""
+
+    def __init__(self):
+        self.first: dict[str, int] = {}  # of a segment, its entry without skips
+        self.next: dict[int, int] = {}  # of entry and merge number, the entry that skips it too; -1 when met once
+        self.ids: list[bytes] = []
+        self.origin: list[tuple[str, tuple, int]] = []  # segment, skips, merges before the last skip
+        self.crc, self.start, self.count = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.merges, self.used = np.zeros(4096, np.uint64), 0
+
+    def _enter(self, segment: str, skips: tuple, before: int, ids: bytes, merges: list[int]) -> int:
+        entry = len(self.ids)
+        if entry == len(self.crc):
+            self.crc, self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.crc, self.start, self.count))
+        while self.used + len(merges) > len(self.merges):
+            self.merges = np.concatenate([self.merges, np.zeros_like(self.merges)])
+        self.merges[self.used : self.used + len(merges)] = merges
+        self.crc[entry] = zlib.crc32(segment.encode("utf-8", "surrogatepass"))
+        self.start[entry], self.count[entry] = self.used, len(merges)
+        self.used += len(merges)
+        self.ids.append(ids)
+        self.origin.append((segment, skips, before))
+        return entry
+
+    def _after(self, pieces: Pieces, entry: int, k: int) -> int:
+        """The entry that skips merge k too; -1 when it is met for the first time, as most are rare."""
+        key = entry << 8 | k
+        found = self.next.get(key)
+        if found is None:
+            self.next[key] = -1
+            return -1
+        if found < 0:
+            segment, skips, before = self.origin[entry]
+            skips, trace = (*skips, int(self.merges[self.start[entry] + k])), []
+            ids = np.array(pieces.encode_segment(segment, skips=skips, trace=trace), np.int32).tobytes()
+            found = self.next[key] = self._enter(segment, skips, before + k, ids, trace[before + k :])
+        return found
+
+    def encode(self, pieces: Pieces, segments: list[str], draws: np.ndarray, seed: int, rate: float) -> list[bytes]:
+        """``encode_segment`` for each segment with its draw."""
+        fresh = [s for s in dict.fromkeys(segments) if s not in self.first and len(s) <= LONGEST_REMEMBERED]
+        traces: list[list[int]] = [[] for _ in fresh]
+        for s, ids, trace in zip(fresh, pieces.encode_segments(fresh, [0] * len(fresh), seed, 0.0, traces), traces):
+            self.first[s] = self._enter(s, (), 0, ids, trace)
+        look = self.first.get
+        entry = np.array([look(s, -1) for s in segments], np.int64)
+        bound = np.uint64(int(rate * (1 << 32)))
+        live = np.flatnonzero(entry >= 0) if bound else np.zeros(0, np.int64)
+        base = _bases(self.crc[entry], draws, seed)
+        while len(live):
+            at = entry[live]
+            count = self.count[at]
+            ends = np.cumsum(count)
+            of = np.repeat(np.arange(len(live)), count)
+            k = np.arange(len(of)) - np.repeat(ends - count, count)
+            hit = np.flatnonzero(_skipped(base[live][of], self.merges[self.start[at][of] + k], bound))
+            some, first = np.unique(of[hit], return_index=True)
+            # Many occurrences skip the same merge of the same entry.
+            ways, back = np.unique(at[some] << 8 | k[hit[first]], return_inverse=True)
+            live = live[some]
+            entry[live] = np.array([self._after(pieces, w >> 8, w & 255) for w in ways.tolist()], np.int64)[back]
+            live = live[entry[live] >= 0]
+        out = [self.ids[e] if e >= 0 else b"" for e in entry.tolist()]
+        alone = np.flatnonzero(entry < 0).tolist()
+        if alone:
+            for i, ids in zip(alone, pieces.encode_segments([segments[i] for i in alone], [int(draws[i]) for i in alone], seed, rate)):
+                out[i] = ids
+        return out
+
+
 @dataclass
 class Pieces:
     """A model's pieces; small enough to travel with a task."""
@@ -85,8 +170,11 @@ class Pieces:
             found = self.memory["segments"] = re.compile(f" *[^ {self.breaks}]+|[{self.breaks}]| +" if self.breaks else " *[^ ]+| +").findall
         return found(" " + text) if text else []
 
-    def encode_segment(self, segment: str, seed: int = SEED, variant: int = 0, rate: float = 0.0) -> list[int]:
-        """Ids of one segment; ``segment`` has plain spaces."""
+    def encode_segment(
+        self, segment: str, seed: int = SEED, variant: int = 0, rate: float = 0.0, skips: tuple = (), trace: list | None = None,
+    ) -> list[int]:
+        """Ids of one segment; ``segment`` has plain spaces. ``skips`` are skipped in any case; ``trace``
+        takes the merges, as place and length in one number."""
         symbols = [MARK if c == " " else "" if c == MARK else c for c in segment]
         n, rank = len(symbols), self.ranks.get
         follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -111,6 +199,10 @@ class Pieces:
                 h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
                 if h >> 32 < bound:
                     continue
+            if skips and a << 32 | size in skips:
+                continue
+            if trace is not None:
+                trace.append(a << 32 | size)
             both = symbols[a] = left + symbols[b]
             symbols[b] = ""
             b = follow[a] = follow[b]
@@ -151,9 +243,12 @@ class Pieces:
             self.memory["merges"] = pair, rank, to, code, number
         return self.memory["merges"]
 
-    def encode_segments(self, segments: list[str], variants: list[int], seed: int, rate: float) -> list[bytes]:
+    def encode_segments(
+        self, segments: list[str], variants: list[int], seed: int, rate: float, traces: list[list] | None = None
+    ) -> list[bytes]:
         """``encode_segment`` for many segments at once, as bytes of 32-bit ids: every round takes the
-        next candidate of each segment's agenda. Segments with odd characters are encoded singly."""
+        next candidate of each segment's agenda. Segments with odd characters are encoded singly.
+        ``traces`` has a list for each segment's merges."""
         code, number = self._merges()[3:]
         out: list[bytes | None] = [None] * len(segments)
         plain = []
@@ -169,16 +264,26 @@ class Pieces:
             ids = np.where(code[at] == chars, number[at], -1)
             size = np.array([len(segments[i]) for i in some])
             odd = np.bincount(np.repeat(np.arange(len(some)), size), ids < 0, minlength=len(some)) > 0
-            for i, ids_of in zip(some, self._rounds([segments[i] for i in some], [variants[i] for i in some], ids, size, seed, rate)):
+            merged = None if traces is None else []
+            for i, ids_of in zip(some, self._rounds([segments[i] for i in some], [variants[i] for i in some], ids, size, seed, rate, merged)):
                 out[i] = ids_of
+            if merged:
+                row, merge = (np.concatenate(x) for x in zip(*merged))
+                by = np.argsort(row, kind="stable")
+                for k, c in zip(row[by].tolist(), merge[by].tolist()):
+                    traces[some[k]].append(c)
             for k in np.flatnonzero(odd).tolist():
                 out[some[k]] = None
+                if traces is not None:
+                    traces[some[k]].clear()
         for i, o in enumerate(out):
             if o is None:
-                out[i] = np.array(self.encode_segment(segments[i], seed, variants[i], rate), np.int32).tobytes()
+                out[i] = np.array(self.encode_segment(segments[i], seed, variants[i], rate, trace=None if traces is None else traces[i]), np.int32).tobytes()
         return out
 
-    def _rounds(self, segments: list[str], variants: list[int], ids: np.ndarray, size: np.ndarray, seed: int, rate: float) -> Iterator[bytes]:
+    def _rounds(
+        self, segments: list[str], variants: list[int], ids: np.ndarray, size: np.ndarray, seed: int, rate: float, merged: list | None = None
+    ) -> Iterator[bytes]:
         pair, rank_of, result_of = self._merges()[:3]
         n, width = len(size), int(size.max()) + 1  # the last column stands for no neighbour
         none = np.int64(1 << 40)
@@ -201,9 +306,8 @@ class Pieces:
         result = np.zeros((n, width), np.int64)
         if width > 2:
             rank[:, :-2], result[:, :-2] = look(symbol[:, :-2], symbol[:, 1:-1])
-        base = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in segments], np.uint64) << np.uint64(20)
-        base ^= np.uint64(seed * 0x9E3779B97F4A7C15 & _MASK)
-        base ^= (np.array(variants, np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        crc = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in segments], np.uint64)
+        base = _bases(crc, np.array(variants, np.uint64), seed)
         bound = np.uint64(int(rate * (1 << 32)))
         symbol_, follow_, before_, long_, rank_, result_ = (x.reshape(-1) for x in (symbol, follow, before, long, rank, result))
         live = np.arange(n)
@@ -218,14 +322,14 @@ class Pieces:
             both = long_[here] + long_[there]
             todo = live
             if bound:
-                h = (base[live] ^ (a.astype(np.uint64) << np.uint64(32)) ^ both.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                skipped = h >> np.uint64(32) < bound
+                skipped = _skipped(base[live], a.astype(np.uint64) << np.uint64(32) | both.astype(np.uint64), bound)
                 rank_[here[skipped]] = none
                 keep = ~skipped
                 todo, a, start, here, there, both = (x[keep] for x in (todo, a, start, here, there, both))
             if not len(todo):
                 continue
+            if merged is not None:
+                merged.append((todo, a << 32 | both))
             after = start + follow_[there]
             symbol_[here], long_[here], follow_[here] = result_[here], both, follow_[there]
             symbol_[there], rank_[there] = -1, none
@@ -241,47 +345,23 @@ class Pieces:
             yield found[begin:end]
             begin = end
 
-    def encode_texts(self, texts: list[str], keys: list[int], seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> list[np.ndarray]:
-        """Ids of whole texts. A text's key and the place of each segment pick the segment's variant."""
-        # Two generations: what is in use moves from the old one to the new one.
-        new, old = self.memory.setdefault((seed, rate), [[{} for _ in range(variants)] for _ in range(2)])
-        look, found, missing = [k.get for k in new], [], [{} for _ in range(variants)]
-        for text, key in zip(texts, keys):
-            segments = self.segments(text)
-            drawn = np.zeros(len(segments), np.uint64)
-            if rate:
-                place = np.arange(len(segments), dtype=np.uint64) + np.uint64(key & _MASK)
-                drawn = (arrays.mixed(place, seed) >> np.uint64(40)) % np.uint64(variants)
-            drawn = drawn.tolist()
-            parts = [look[v](s) for s, v in zip(segments, drawn)]
-            gaps = [i for i, p in enumerate(parts) if p is None]
-            for i in gaps:
-                s, v = segments[i], drawn[i]
-                known = old[v].get(s)
-                if known is None:
-                    missing[v][s] = None
-                else:
-                    parts[i] = new[v][s] = known
-            found.append((segments, drawn, parts, gaps))
-        wanted = [(s, v) for v in range(variants) for s in missing[v]]
-        if wanted:
-            fresh = self.encode_segments([s for s, _ in wanted], [v for _, v in wanted], seed, rate)
-            for (s, v), ids in zip(wanted, fresh):
-                missing[v][s] = ids
-                if len(s) <= LONGEST_REMEMBERED:
-                    new[v][s] = ids
-        out = []
-        for segments, drawn, parts, gaps in found:
-            for i in gaps:
-                if parts[i] is None:
-                    parts[i] = missing[drawn[i]][segments[i]]
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-        if sum(map(len, new)) > REMEMBERED:
-            self.memory[seed, rate] = [[{} for _ in range(variants)], new]
-        return out
-
-    def encode(self, text: str, key: int = 0, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> np.ndarray:
-        return self.encode_texts([text], [key], seed, rate, variants)[0]
+    def encode_texts(self, texts: list[str], keys: list[int], seed: int = SEED, rate: float = RATE) -> list[np.ndarray]:
+        """Ids of whole texts. A text's key and the place of each segment are the segment's draw."""
+        agendas = self.memory.get("agendas")
+        if agendas is None or len(agendas.ids) > REMEMBERED:
+            agendas = self.memory["agendas"] = _Agendas()
+        split = [self.segments(t) for t in texts]
+        size = np.array([len(x) for x in split], np.int64)
+        ends = np.cumsum(size)
+        segments = [s for x in split for s in x]
+        place = np.arange(len(segments)) - np.repeat(ends - size, size)
+        own = arrays.mixed(np.array([k & _MASK for k in keys], np.uint64), seed)
+        draw = arrays.mixed(np.repeat(own, size) + place.astype(np.uint64), seed)
+        parts = agendas.encode(self, segments, draw, seed, rate)
+        return [np.frombuffer(b"".join(parts[e - n : e]), np.int32) for n, e in zip(size.tolist(), ends.tolist())]
+
+    def encode(self, text: str, key: int = 0, seed: int = SEED, rate: float = RATE) -> np.ndarray:
+        return self.encode_texts([text], [key], seed, rate)[0]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         if "texts" not in self.memory:
@@ -300,7 +380,6 @@ class Pieces:
 
 def encode(
     df: DataFrame, ident: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = SEED, rate: float = RATE,
-    variants: int = VARIANTS,
 ) -> DataFrame:
     """Per row: id, ids, n_tokens, and whether decoding the ids gives the text back byte by byte."""
     pieces = Pieces.load(model)
@@ -310,7 +389,7 @@ def encode(
             texts, keys = batch.column("text"), batch.column("key").to_pylist()
             for first in range(0, batch.num_rows, 256):
                 some = texts.slice(first, 256).to_pylist()
-                found = pieces.encode_texts(some, keys[first : first + 256], seed, rate, variants)
+                found = pieces.encode_texts(some, keys[first : first + 256], seed, rate)
                 good = [(pieces.decode_bytes(f) if len(f) else b"") == t.encode("utf-8", "surrogatepass") for f, t in zip(found, some)]
                 size = np.array([len(f) for f in found], np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))

@@ -73,6 +73,30 @@ def test_many_segments_at_once_are_as_one_by_one(model):
         assert [np.frombuffer(b, np.int32).tolist() for b in many] == [model.encode_segment(s, 5, v, rate) for s, v in zip(segments, variants)]
 
 
+def test_every_occurrence_draws_anew(model):
+    """As encoding each occurrence by itself, and more than a handful of segmentations of a frequent word."""
+    word, n = " internationalisation", 3000
+    agendas = pieces._Agendas()
+    draws = np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64)
+    for _ in range(2):
+        found = agendas.encode(model, [word, " naïve日", " of"] * (n // 3), draws, 5, 0.3)
+        want = [model.encode_segment(s, 5, int(d), 0.3) for s, d in zip([word, " naïve日", " of"] * (n // 3), draws)]
+        assert [np.frombuffer(b, np.int32).tolist() for b in found] == want
+    ids = model.encode(" ".join([word.strip()] * n), 7, rate=0.1)
+    text = [model.texts[i] for i in ids.tolist()]
+    seen, now = Counter(), []
+    for t in text:
+        if t.startswith(b" ") and now:
+            seen[tuple(now)] += 1
+            now = []
+        now.append(t)
+    assert len(seen) > 10
+    # A word of one merge is split as often as the rate says.
+    plain = model.encode_segment(" a")
+    pieces_of = model.encode(" ".join(["a"] * 20_000), 3, rate=0.1)
+    assert len(plain) == 1 and 0.09 < len(pieces_of) / 20_000 - 1 < 0.11
+
+
 def test_frames(spark):
     df = awkward(spark, ODD)
     found = pieces.encode(df)
