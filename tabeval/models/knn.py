@@ -129,6 +129,7 @@ def hashed_neighbours(
 
     Approximate, for many rows in many dimensions, where pivots prune nothing and an exact search
     compares all pairs: the work follows the buckets. Wider buckets and more tables find more.
+    Queries that share buckets with fewer than k rows go through the exact search.
     """
     def ready(rows):
         return rows.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
@@ -140,7 +141,13 @@ def hashed_neighbours(
     found = pairs.select(
         F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("neighbour"), (F.col("distance") ** 2).alias("d2")
     )
-    return _keep_best(found, k)
+    found = settled(_keep_best(found, k))
+    full = found.groupBy("query").count().filter(F.col("count") >= k).select("query")
+    short = settled(queries.join(full, queries[key].eqNullSafe(full["query"]), "left_anti").select(key, vector))
+    if short.isEmpty():
+        return found
+    enough = found.withColumn("_n", F.max("rank").over(Window.partitionBy("query"))).filter(F.col("_n") >= k).drop("_n")
+    return enough.unionByName(nearest_neighbours(train, short, k, key, vector))
 
 
 def nearest_neighbours(
@@ -221,14 +228,14 @@ class KNearestModel(Model, MLWritable):
     def _transform(self, df: DataFrame) -> DataFrame:
         s = self.settings
 
-        def arrays(rows):
-            return rows.select(s.key, vector_to_array(s.features).alias("x"))
-
+        # Rows are searched by a number of their own, so that missing and repeated keys get their own votes.
+        rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
+        train = self.train.select(F.col(s.key).alias("_row"), vector_to_array(s.features).alias("x"))
         search = hashed_neighbours if s.method == "lsh" else nearest_neighbours
-        near = search(arrays(self.train), arrays(df), s.k, s.key, **s.options)
+        near = search(train, rows.select("_row", vector_to_array(s.features).alias("x")), s.k, "_row", **s.options)
         labels = self.train.select(F.col(s.key).alias("neighbour"), F.col(s.label).cast("double").alias("_vote"))
-        votes = near.join(labels, "neighbour").groupBy(F.col("query").alias(s.key)).agg(F.avg("_vote").alias("score"))
-        return df.join(votes, s.key).withColumn("prediction", (F.col("score") > 0.5).cast("double"))
+        votes = near.join(labels, "neighbour").groupBy(F.col("query").alias("_row")).agg(F.avg("_vote").alias("score"))
+        return rows.join(votes, "_row", "left").drop("_row").withColumn("prediction", (F.col("score") > 0.5).cast("double"))
 
     def write(self) -> MLWriter:
         return _Writer(self)

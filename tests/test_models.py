@@ -172,6 +172,24 @@ def test_logistic_regression_reaches_the_penalised_optimum(spark):
     assert np.abs(w + x.T @ (p - y)).max() < 0.05 and abs((p - y).sum()) < 0.05
 
 
+@pytest.mark.parametrize("method", ["exact", "lsh"])
+def test_every_row_is_scored(spark, method):
+    """Rows far from all others, rows without a key and rows that repeat one get the votes of their own neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4)) * 3
+    y = (x[:, 0] > 0).astype(int)
+    q = np.concatenate([x[:20] + 0.01, rng.normal(size=(6, 4)) * 500])
+    keys = [None, None, 7, 7, *range(100, 100 + len(q) - 4)]
+    rows = spark.createDataFrame([(k, 0, [float(c) for c in v]) for k, v in zip(keys, q)], "row_id bigint, label int, x array<double>")
+    options = {"bucket": 0.5, "tables": 2} if method == "lsh" else {}
+    model = KNearest(k=3, method=method, **options).fit(table(spark, x, y))
+    found = {tuple(r["x"]): r["score"] for r in model.transform(rows.withColumn("features", array_to_vector("x"))).collect()}
+    assert len(found) == len(q)
+    for v in q[20:] if method == "lsh" else q:
+        near = np.argsort(((x - v) ** 2).sum(axis=1), kind="stable")[:3]
+        assert found[tuple(v.tolist())] == pytest.approx(y[near].mean())
+
+
 def test_hashed_neighbours_find_most(spark):
     """Recall of the approximate search against the exact one."""
     rng = np.random.default_rng(4)
