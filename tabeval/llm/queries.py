@@ -227,3 +227,115 @@ def toxicity(spark, d):
 
     docs = table(spark, d, "documents")
     return tx.scores(docs, tx.fit(docs, table(spark, d, "labels")))
+
+
+@query(
+    "op11_lattice_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] AS x FROM embeddings),
+    able AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+      AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND len(a.x) = len(b.x)
+      AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+    reach(vec_id, other) AS (SELECT a, a FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+    least AS (SELECT vec_id, min(other) AS c FROM reach GROUP BY vec_id),
+    degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT v.vec_id, coalesce(n, 0)::bigint AS n_links, coalesce(c, v.vec_id) AS component_id, coalesce(c, v.vec_id) = v.vec_id AS kept
+    FROM v LEFT JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)""",
+)
+def lattice_dedup(spark, d):
+    from tabeval.llm import lattice
+
+    return lattice.near_embeddings(table(spark, d, "embeddings"))
+
+
+def _crc_sql(binary: str) -> str:
+    """CRC-32 of a binary value; the table is column t."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::bigint],
+        [('0x' || substr(hex({binary}), 2 * i - 1, 2))::bigint for i in range(1, octet_length({binary}) + 1)]),
+        lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])))"""
+
+
+@query(
+    "op12_importance_resampling",
+    rf"""WITH crc AS (SELECT {_CRC_TABLE} AS t),
+    texts AS (SELECT doc_id, true AS own, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+    found AS (SELECT doc_id, own, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+    hashed AS (SELECT w, {_crc_sql("encode(w)")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM found), crc),
+    placed AS (SELECT doc_id, own, bucket FROM found JOIN hashed USING (w)),
+    counts AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM placed GROUP BY bucket),
+    sums AS (SELECT sum(s) AS bs, sum(t) AS bt FROM counts),
+    gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::double * (bs + 10000)::double) / ((s + 1)::double * (bt + 10000)::double)))::bigint AS g
+      FROM counts, sums),
+    weighed AS (SELECT doc_id, count(*) AS n, floor(sum(g)::double / count(*))::bigint AS weight
+      FROM placed JOIN gain USING (bucket) WHERE own GROUP BY doc_id),
+    scored AS (SELECT d.doc_id, coalesce(n, 0)::bigint AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint AS score
+      FROM documents d LEFT JOIN weighed w ON d.doc_id = w.doc_id),
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+    SELECT s.doc_id, n_features, weight, score, r::bigint AS rank FROM scored s
+    LEFT JOIN (SELECT * FROM ranked WHERE r <= 10 * n // 100) k ON s.doc_id = k.doc_id""",
+)
+def importance_resampling(spark, d):
+    from tabeval.llm import resampling
+
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query(
+    "op13_conversation_repair",
+    rf"""WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+    drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      {_crc_sql("encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 AS k FROM conversations, crc),
+    bad AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+      CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN k = 0 THEN [] WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, left(role, 1) AS r,
+      regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid FROM bad),
+    y AS MATERIALIZED (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+      WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM placed),
+    told AS (SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+      count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (prev IS NOT NULL AND prev || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM y GROUP BY conv_id),
+    back(conv_id, i, c) AS (
+      SELECT conv_id, n + 1, [0, 6, 3, 0]::bigint[] FROM told
+      UNION ALL SELECT conv_id, i, [least(b[1], 3 + b[3], 6 + b[4]), least(b[2], 3 + b[3], 6 + b[4]), least(b[3], 3 + b[4], 6 + b[3]),
+        least(b[4], 3 + b[3], 6 + b[4])] FROM (
+        SELECT p.conv_id, y.i, CASE WHEN fault IN ('blank', 'duplicate') THEN [4 + c[1], 4 + c[2], 4 + c[3], 4 + c[4]] ELSE
+          [least(4 + c[1], 3 + more + c[3], CASE r WHEN 's' THEN more + c[2] WHEN 'u' THEN more + c[3] ELSE 1000000000 END),
+           least(4 + c[2], 3 + more + c[3], CASE r WHEN 'u' THEN more + c[3] ELSE 1000000000 END),
+           least(4 + c[3], 3 + more + c[4], CASE r WHEN 'a' THEN more + c[4] ELSE 1000000000 END),
+           least(4 + c[4], 3 + more + c[3], CASE r WHEN 'u' THEN more + c[3] ELSE 1000000000 END)] END AS b
+        FROM back p JOIN (SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM y) y ON y.conv_id = p.conv_id AND y.i = p.i - 1)),
+    costs AS MATERIALIZED (SELECT * FROM back),
+    steps AS MATERIALIZED (SELECT a.conv_id, a.i, a.c AS here, b.c AS behind, y.role, y.text, y.r, y.fault,
+      CASE WHEN y.fault = 'truncated' THEN 3 ELSE 0 END AS more, y.i IS NULL AS ended
+      FROM costs a LEFT JOIN costs b ON a.conv_id = b.conv_id AND b.i = a.i + 1 LEFT JOIN y ON y.conv_id = a.conv_id AND y.i = a.i),
+    walk(conv_id, i, q, audit, lines) AS (
+      SELECT conv_id, 1::bigint, 1, '', []::varchar[] FROM told
+      UNION ALL SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kept ELSE onto END, audit || e,
+        CASE e WHEN 'D' THEN lines WHEN 'K' THEN lines || [role || ':' || text]
+          WHEN 'I' THEN lines || [CASE onto WHEN 3 THEN 'user:' ELSE 'assistant:' END]
+          ELSE lines || [CASE onto WHEN 3 THEN 'user:' ELSE 'assistant:' END || text] END
+      FROM (SELECT *, CASE WHEN ended THEN 'I' WHEN 4 + behind[q] = here[q] THEN 'D' WHEN 3 + here[onto] = here[q] THEN 'I'
+          WHEN kept IS NOT NULL AND more + behind[kept] = here[q] THEN 'K' ELSE 'R' END AS e
+        FROM (SELECT w.*, s.* EXCLUDE (conv_id, i), CASE WHEN q = 3 THEN 4 ELSE 3 END AS onto,
+            CASE WHEN fault IN ('blank', 'duplicate') THEN NULL WHEN q = 1 AND r = 's' THEN 2 WHEN q <> 3 AND r = 'u' THEN 3
+              WHEN q = 3 AND r = 'a' THEN 4 END AS kept
+          FROM walk w JOIN steps s ON s.conv_id = w.conv_id AND s.i = w.i WHERE NOT ended OR here[q] > 0))),
+    done AS (SELECT w.conv_id, w.audit, sha256(array_to_string(w.lines, chr(10))) AS h FROM walk w JOIN told t
+      ON w.conv_id = t.conv_id AND w.i = t.n + 1 WHERE w.q IN (1, 4)
+      QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY length(w.audit) DESC) = 1)
+    SELECT k.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate,
+      coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal, coalesce(o.c[1], 0)::bigint AS cost,
+      coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN told t ON t.conv_id = k.conv_id
+    LEFT JOIN costs o ON o.conv_id = k.conv_id AND o.i = 1 LEFT JOIN done f ON f.conv_id = k.conv_id""",
+)
+def conversation_repair(spark, d):
+    from tabeval.llm import repair
+
+    return repair.repair_report(repair.damaged(table(spark, d, "conversations")), present="present")
