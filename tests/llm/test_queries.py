@@ -20,7 +20,7 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_agrees_with_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     df = queries.QUERIES[name](spark, small)
     found = con.execute(queries.ORACLES[name])
@@ -30,7 +30,7 @@ def test_query_agrees_with_sql(spark, small, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in entry.queries() and set(queries.QUERIES) < set(entry.queries())
 
 
