@@ -1,22 +1,28 @@
-"""AdaBoost (SAMME, Zhu et al. 2009) over Spark's decision trees of depth one.
+"""AdaBoost (SAMME, Zhu et al. 2009) over stumps, one aggregation a round.
 
-A stump is one comparison, so the weight of a row after any number of rounds is a plain expression
-over its features. No round writes its weights back: the plan of every round is one projection of
-the cached rows, nothing to checkpoint and nothing lost with an executor.
+Features are cut at quantiles once, so that a row is one byte a feature. A round adds up the weights of each class by
+feature and cell: from these few numbers come the best stump, by Gini impurity, and its error. A row's weight
+follows from the stumps so far and its bytes; no round writes weights back, nothing is lost
+with an executor.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.models.base import StateModel
 
+CELLS = 32  # cells a feature is cut into
+BYTES_A_TASK = 8_000_000  # so much of the byte table makes a task worth its while
+
 
 def _vote(x: Column, stump: dict) -> Column:
     """+1 or -1."""
@@ -26,60 +32,121 @@ def _vote(x: Column, stump: dict) -> Column:
     return F.when(cell <= stump["threshold"], stump["left"]).otherwise(F.lit(stump["right"]))
 
 
-def _read_stump(model) -> dict:
-    root = model._call_java("rootNode")
-    if model.numNodes == 1:
-        side = 2.0 * root.prediction() - 1.0
-        return {"feature": -1, "threshold": 0.0, "left": side, "right": side}
-    split = root.split()
-    return {
-        "feature": split.featureIndex(),
-        "threshold": split.threshold(),
-        "left": 2.0 * root.leftChild().prediction() - 1.0,
-        "right": 2.0 * root.rightChild().prediction() - 1.0,
-    }
+def _edges(rows: DataFrame, width: int, cells: int) -> list[list[float]]:
+    """Where each feature is cut: distinct quantiles, all but the largest value."""
+    shares = [i / cells for i in range(1, cells)]
+    told = rows.agg(
+        *[F.percentile_approx(F.get("x", F.lit(i)), shares, 10_000).alias(f"q{i}") for i in range(width)],
+        *[F.max(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(width)],
+    ).first()
+    return [sorted({v for v in told[f"q{i}"] or [] if v < told[f"m{i}"]}) for i in range(width)]
+
+
+def _coded(edges: list[list[float]]):
+    """Label and, as bytes, the cell of every feature: how many edges lie below its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(edges))
+            codes = np.empty(x.shape, np.uint8)
+            for i, e in enumerate(edges):
+                codes[:, i] = np.searchsorted(np.asarray(e), x[:, i], "left")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), pa.array([r.tobytes() for r in codes], pa.binary())], names=["label", "codes"]
+            )
+
+    return run
+
+
+def _weighed(stumps: list[dict], scale: float, width: int, cells: int):
+    """Per task the weight of each class in each (feature, cell)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, width * cells))
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            label = batch.column("label").to_numpy()
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(n, width)
+            grown = np.zeros(n)
+            for s in stumps:
+                left = True if s["feature"] < 0 else codes[:, s["feature"]] <= s["cell"]
+                grown += s["weight"] * (np.where(left, s["left"], s["right"]) != 2 * label - 1)
+            w = np.exp(grown) * scale
+            cell = (codes + np.arange(width) * cells).ravel()
+            for k in (0, 1):
+                total[k] += np.bincount(cell, np.repeat(w * (label == k), width), minlength=width * cells)
+        held = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int32()), pa.array(total[0][held]), pa.array(total[1][held])], names=["cell", "w0", "w1"]
+        )
+
+    return run
+
+
+def _best_stump(weights: np.ndarray, edges: list[list[float]]) -> tuple[dict, float, float]:
+    """(stump, weight of all rows, weight of those it misses) from weights by class, feature and cell."""
+    whole = weights[:, 0].sum(1)
+    below = np.cumsum(weights, 2)[:, :, :-1]
+    above = whole[:, None, None] - below
+    # Gini impurity times weight, less its constant part: the larger, the purer the two sides.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pure = (below**2).sum(0) / below.sum(0) + (above**2).sum(0) / above.sum(0)
+    for i, e in enumerate(edges):
+        pure[i, len(e) :] = -1.0
+    pure = np.where(np.isfinite(pure), pure, -1.0)
+    feature, cell = np.unravel_index(np.argmax(pure), pure.shape)
+    alone = (whole**2).sum() / whole.sum()
+    if pure[feature, cell] <= alone * (1 + 1e-12):
+        side = 1.0 if whole[1] > whole[0] else -1.0
+        return {"feature": -1, "cell": 0, "threshold": 0.0, "left": side, "right": side}, whole.sum(), whole.min()
+    sides = [1.0 if part[1, feature, cell] > part[0, feature, cell] else -1.0 for part in (below, above)]
+    missed = sum(float(part[:, feature, cell].min()) for part in (below, above))
+    stump = {"feature": int(feature), "cell": int(cell), "threshold": edges[feature][cell], "left": sides[0], "right": sides[1]}
+    return stump, float(whole.sum()), missed
 
 
 class AdaBoost(Estimator):
     def __init__(
-        self, rounds: int = 50, rate: float = 1.0, seed: int = 42, features: str = "features", label: str = "label"
+        self, rounds: int = 50, rate: float = 1.0, seed: int = 42, features: str = "features", label: str = "label",
+        cells: int = CELLS,
     ):
         super().__init__()
-        self.rounds, self.rate, self.seed, self.features, self.label = rounds, rate, seed, features, label
+        self.rounds, self.rate, self.seed, self.features, self.label, self.cells = rounds, rate, seed, features, label, cells
 
     def _fit(self, df: DataFrame) -> "AdaBoostModel":
-        rows = df.select(
-            F.col(self.features).alias("features"),
-            F.col(self.label).cast("double").alias("label"),
-            vector_to_array(self.features).alias("x"),
-        ).persist()
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=self.seed)
-        truth = 2.0 * F.col("label") - 1.0
+        rows = df.select(F.col(self.label).cast("double").alias("label"), vector_to_array(self.features).alias("x"))
+        first = rows.first()
+        if first is None:
+            raise ValueError("no rows to learn from")
+        width = len(first["x"])
+        edges = _edges(rows, width, self.cells)
+        coded = rows.mapInArrow(_coded(edges), "label double, codes binary").persist()
         stumps: list[dict] = []
+        scale = 1.0
         try:
-            total = float(rows.count())
-            grown = F.lit(0.0)
-            for t in range(self.rounds):
-                # The factor keeps the weights near one however many rounds were added.
-                weighted = rows.withColumn("w", F.exp(grown) * F.lit(len(stumps) and scale or 1.0))
-                stump = _read_stump(tree.fit(weighted.select("features", "label", "w")))
-                miss = _vote(F.col("x"), stump) != truth
-                sums = weighted.agg(
-                    F.sum("w").alias("all"), F.sum(F.when(miss, F.col("w")).otherwise(0.0)).alias("bad")
-                ).first()
-                error = sums["bad"] / sums["all"]
-                if error <= 0.0:
+            total = float(coded.count())
+            spread = coded.coalesce(max(1, math.ceil(total * width / BYTES_A_TASK)))
+            for _ in range(self.rounds):
+                parts = spread.mapInArrow(_weighed(stumps, scale, width, self.cells), "cell int, w0 double, w1 double")
+                sums = parts.groupBy("cell").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1")).collect()
+                weights = np.zeros((2, width * self.cells))
+                for r in sums:
+                    weights[:, r["cell"]] = r["w0"], r["w1"]
+                stump, whole, missed = _best_stump(weights.reshape(2, width, self.cells), edges)
+                error = max(missed, 0.0) / whole
+                if error <= 1e-12:
                     stumps.append(stump | {"weight": 1.0, "error": 0.0})
                     break
                 if error >= 0.5:
                     break
                 alpha = self.rate * math.log((1.0 - error) / error)
                 stumps.append(stump | {"weight": alpha, "error": error})
-                grown = grown + F.when(miss, alpha).otherwise(0.0)
-                factor = sums["all"] / ((sums["all"] - sums["bad"]) + sums["bad"] * math.exp(alpha))
-                scale = (scale if t else 1.0) * factor * total / sums["all"]
+                # The factor keeps the weights near one however many rounds were added.
+                scale *= total / (whole - missed + missed * math.exp(alpha))
         finally:
-            rows.unpersist()
+            coded.unpersist()
         if not stumps:
             raise ValueError("no stump is better than chance")
         return AdaBoostModel(features=self.features, stumps=stumps)

@@ -1,49 +1,87 @@
 """Kernel SVM with calibrated probability, approximated by random Fourier features.
 
 An RBF kernel equals the expectation of products of random cosines (Rahimi and Recht 2007), so a
-linear SVM over those cosines replaces the kernel matrix, which would grow with the square of the
-rows. Margins become probabilities by a logistic curve fitted on held-out margins (Platt 1999).
+linear SVM over cosines and sines of the same frequencies replaces the kernel matrix, which would grow with
+the square of the rows. Frequencies come in orthogonal blocks (Yu et al. 2016), which bring the products nearer
+to the kernel. Margins become probabilities by a logistic curve (Platt 1999) over cross-validated margins: every
+training row's margin comes from a machine that has not seen it, targets are smoothed by the class
+counts, and the slope is positive, so that scores keep the order of the margins.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabeval.models.base import StateModel
+from tabeval.models.base import StateModel, rows_for_tasks
+
+
+SIZE = 2_048
+SLOPE = 1e-3  # the least slope of the calibration: below it scores would all be the same
 
 
-def _basis(width: int, size: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _basis(width: int, size: int, gamma: float, seed: int) -> np.ndarray:
+    """Half as many frequencies as features: orthogonal directions, lengths as of Gaussian vectors."""
     rng = np.random.default_rng(seed)
-    return rng.normal(scale=np.sqrt(2 * gamma), size=(width, size)), rng.uniform(0, 2 * np.pi, size)
+    blocks = []
+    for _ in range(-(-size // 2 // width)):
+        turn, _ = np.linalg.qr(rng.normal(size=(width, width)))
+        blocks.append(turn * np.sqrt(rng.chisquare(width, width)))
+    return np.sqrt(2 * gamma) * np.concatenate(blocks, 1)[:, : size // 2]
+
+
+def _mapped(batches: "pd.Series", width: int, size: int, gamma: float, seed: int) -> np.ndarray:
+    angle = np.vstack(batches.to_numpy()) @ _basis(width, size, gamma, seed)
+    return np.sqrt(2.0 / size) * np.concatenate([np.cos(angle), np.sin(angle)], 1)
 
 
 def fourier_features(x: Column, width: int, size: int, gamma: float, seed: int) -> Column:
-    """``array<double>`` of ``size`` cosines; the basis is drawn again from the seed in each worker."""
+    """``array<double>`` of ``size`` (even) cosines and sines; the basis is drawn again from the seed in each worker."""
 
     @F.pandas_udf("array<double>")
-    def cosines(batches: "pd.Series") -> "pd.Series":
-        w, b = _basis(width, size, gamma, seed)
-        z = np.sqrt(2.0 / size) * np.cos(np.vstack(batches.to_numpy()) @ w + b)
-        return pd.Series(list(z))
+    def features(batches: "pd.Series") -> "pd.Series":
+        return pd.Series(list(_mapped(batches, width, size, gamma, seed)))
 
-    return cosines(x)
+    return features(x)
+
+
+def calibration(margins: DataFrame) -> tuple[float, float]:
+    """(slope, offset) of the logistic curve over rows of ``label`` and ``margin``.
+
+    A positive row aims at (p + 1) / (p + 2) and a negative one at 1 / (n + 2), p and n being the rows of each class:
+    both outcomes enter with these weights. The slope is at least ``SLOPE``.
+    """
+    counts = margins.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
+    positive = counts["p"] or 0.0
+    high, low = (positive + 1) / (positive + 2), 1 / (counts["n"] - positive + 2)
+    aim = F.when(F.col("label") == 1, high).otherwise(low)
+    both = F.array(F.struct(F.lit(1.0).alias("label"), aim.alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - aim).alias("w")))
+    rows = margins.select(array_to_vector(F.array("margin")).alias("features"), F.inline(both))
+    curve = LogisticRegression(
+        maxIter=100, weightCol="w", family="binomial", lowerBoundsOnCoefficients=DenseMatrix(1, 1, [SLOPE])
+    ).fit(rows)
+    return float(curve.coefficients[0]), float(curve.intercept)
 
 
 class FourierSVC(Estimator):
-    """RBF support vector classifier, gamma 1/(d * Var X) unless given."""
+    """RBF support vector classifier, gamma 1/(d * Var X) unless given; ``folds`` are fitted side by side."""
 
     def __init__(
-        self, c: float = 1.0, gamma: float | None = None, size: int = 512, seed: int = 42, max_iter: int = 100,
-        features: str = "features", label: str = "label",
+        self, c: float = 1.0, gamma: float | None = None, size: int = SIZE, seed: int = 42, max_iter: int = 100,
+        features: str = "features", label: str = "label", folds: int = 5,
     ):
         super().__init__()
+        self.folds = folds
         self.c, self.gamma, self.size, self.seed, self.max_iter = c, gamma, size, seed, max_iter
         self.features, self.label = features, label
 
@@ -57,26 +95,36 @@ class FourierSVC(Estimator):
             spread = float(np.mean(np.asarray(s["variance"]) * (n - 1) / n) + means.var())
             gamma = 1.0 / (width * spread) if spread > 0 else 1.0
         x = vector_to_array(self.features)
-        rows = df.select(
+        rows = rows_for_tasks(df, self.size).select(
             F.col(self.label).cast("double").alias("label"),
             array_to_vector(fourier_features(x, width, self.size, gamma, self.seed)).alias("features"),
-            (F.pmod(F.xxhash64(x), F.lit(5)) == 0).alias("held"),
+            # Equal rows share a fold, so that no machine has seen a row it is asked about.
+            F.pmod(F.xxhash64(x), F.lit(self.folds)).alias("fold"),
         ).persist()
+
+        def fit(fold):
+            """The machine of all rows but a fold's; of all rows if the fold is None."""
+            part = rows if fold is None else rows.filter(F.col("fold") != fold)
+            m = n if fold is None else n - in_fold[fold]
+            return LinearSVC(maxIter=self.max_iter, regParam=1.0 / (self.c * max(m, 1)), standardization=False).fit(part)
+
         try:
-            # One fit on all rows decides labels; one without the held-out fifth gives honest margins.
-            def fit(part, m):
-                return LinearSVC(
-                    maxIter=self.max_iter, regParam=1.0 / (self.c * max(m, 1)), standardization=False
-                ).fit(part)
-
-            n_held = rows.filter("held").count()
-            full = fit(rows, n)
-            part = fit(rows.filter("NOT held"), n - n_held)
-            margins = part.transform(rows.filter("held")).select(
-                "label", array_to_vector(F.slice(vector_to_array("rawPrediction"), 2, 1)).alias("features")
-            )
-            platt = LogisticRegression(maxIter=100).fit(margins)
-            a, b = float(platt.coefficients[0]), float(platt.intercept)
+            told = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()
+            in_fold, positive = {r["fold"]: r["n"] for r in told}, {r["fold"]: r["p"] for r in told}
+            # Without both classes in the other folds there is no machine to ask.
+            able = [f for f in in_fold if 0 < sum(positive.values()) - positive[f] < n - in_fold[f]]
+            with ThreadPoolExecutor(max_workers=self.folds + 1) as pool:
+                jobs = [pool.submit(inheritable_thread_target(df.sparkSession)(fit), f) for f in (None, *able)]
+                full, *parts = [job.result() for job in jobs]
+            margin = F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin")
+            held = [m.transform(rows.filter(F.col("fold") == f)).select("label", margin) for f, m in zip(able, parts)]
+            if held:
+                margins = held[0]
+                for more in held[1:]:
+                    margins = margins.union(more)
+                a, b = calibration(margins)
+            else:
+                a, b = 1.0, 0.0
         finally:
             rows.unpersist()
         return FourierSVCModel(
@@ -92,8 +140,7 @@ class FourierSVCModel(StateModel):
 
         @F.pandas_udf("double")
         def score(batches: "pd.Series") -> "pd.Series":
-            w, b = _basis(v["width"], v["size"], v["gamma"], v["seed"])
-            z = np.sqrt(2.0 / v["size"]) * np.cos(np.vstack(batches.to_numpy()) @ w + b)
+            z = _mapped(batches, v["width"], v["size"], v["gamma"], v["seed"])
             return pd.Series(z @ weights + v["intercept"])
 
         return score(x)

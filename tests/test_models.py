@@ -1,19 +1,24 @@
 import math
+from threading import Event
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabeval.models import registry
 from tabeval.models.adaboost import AdaBoost
+from tabeval.models.base import rows_for_tasks
 from tabeval.models.batch import batch_score, linear_model
 from tabeval.models.gaussian_nb import GaussianNB
 from tabeval.models.knn import KNearest, hashed_neighbours, nearest_neighbours
-from tabeval.models.rff_svm import FourierSVC
+from tabeval.models.rff_svm import FourierSVC, _mapped, calibration
+from tabeval.models.staged import StagedPerceptron, phase_measures
 from tabeval.operators import metrics
+from tabeval.operators import training_log as tl
 from tabeval.plans import evaluate as ev
 from tabeval.plans import search as searching
 from tabeval.session import scratch_path
@@ -254,7 +259,138 @@ def test_search_records_a_failure_and_goes_on(spark):
     assert got[0]["total_params"] == 3 * 8 + 9 * 2 == len(found.best.weights)
     assert got[1]["error"] == long and got[1]["auc"] is None and got[1]["total_params"] == 3 * 4 + 5 * 4 + 5 * 2
     history = found.history.collect()
-    assert {r["combination_id"] for r in history} == {0} and len(history) == got[0]["epochs_trained"]
+    assert {r["phase"] for r in history} == {"train", "val"}
+    assert {r["combination_id"] for r in history} == {0} and len(history) == 2 * got[0]["epochs_trained"]
+
+
+def halves(spark, n=200):
+    x, y = ring(n)
+    rows = table(spark, x, y).withColumn("split", F.when(F.col("row_id") < n * 3 // 4, "train").otherwise("test")).drop("x")
+    return ev.with_validation(rows)
+
+
+def test_staged_training_goes_on_from_the_weights(spark):
+    """Two epochs are a fit and a second one from its weights; without validation rows all epochs run."""
+    df = halves(spark).filter("split = 'train'")
+    got = StagedPerceptron([5], epochs=2, steps=3, solver="gd", step=0.1, seed=1).train(df)
+    net = MultilayerPerceptronClassifier(layers=[2, 5, 2], maxIter=3, tol=0.0, solver="gd", stepSize=0.1, seed=1)
+    one = df.coalesce(1)
+    first = net.fit(one)
+    second = net.copy().setInitialWeights(first.weights).fit(one)
+    assert np.allclose(got.model.weights, second.weights) and not np.allclose(got.model.weights, first.weights)
+    assert got.epochs_trained == 2 and got.stop_epoch is None and {p for _, p, *_ in got.history} == {"train"}
+
+
+def test_staged_training_stops_and_keeps_the_best(spark):
+    """Labels without a rule: the validation loss rises, the stop and the best epoch follow the history, and the saved
+    model is the best epoch's."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(v), "train" if i % 4 else "val", rng.normal(size=4).tolist()) for i, v in enumerate(rng.random(160) < 0.5)]
+    df = spark.createDataFrame(rows, "row_id int, label int, split string, x array<double>").withColumn("features", array_to_vector("x"))
+    path = scratch_path(spark, "best")
+    got = StagedPerceptron([16], epochs=40, patience=4).train(df, path)
+    losses = [l for _, p, l, _ in got.history if p == "val"]
+    best = min(range(len(losses)), key=lambda i: (losses[i], i))
+    assert got.best_epoch == best + 1 and got.best_val_loss == losses[best]
+    assert got.stop_epoch == got.epochs_trained == len(losses) < 40
+    since = 0
+    for i, loss in enumerate(losses):
+        since = 0 if i == 0 or loss < min(losses[:i]) else since + 1
+        assert since < 4 or i == len(losses) - 1
+    kept = MultilayerPerceptronClassificationModel.load(path)
+    assert kept.weights == got.model.weights
+    again = phase_measures(kept, df, "label", "split")
+    assert abs(again["val"][0] - got.best_val_loss) < 1e-9
+    told = tl.early_stopping(spark.createDataFrame([("m", *h) for h in got.history], "model string, epoch int, phase string, loss double, accuracy_pct double"), 4).first()
+    assert (told["stop_epoch"], told["best_epoch"], told["best_val_loss"]) == (got.stop_epoch, got.best_epoch, got.best_val_loss)
+
+
+def test_staged_training_needs_rows(spark):
+    with pytest.raises(ValueError):
+        StagedPerceptron([2]).train(halves(spark).filter("split = 'none'"))
+
+
+def test_broken_off_search_goes_on(spark):
+    """Half of a search, then the rest: finished configurations are not trained again, failed ones are, and the
+    result is that of a search in one go."""
+    df = halves(spark)
+    configurations = [{"combination_id": i, "layer_sizes": [3 + i], "learning_rate": 0.3} for i in range(4)]
+    folder = scratch_path(spark, "search")
+    seen, stop = [], Event()
+
+    def make(config, width, fail=()):
+        seen.append(config["combination_id"])
+        if config["combination_id"] in fail:
+            raise ValueError("lost")
+        if len(seen) == 3:
+            stop.set()
+        return searching.network_for(config, width, epochs=2)
+
+    first = searching.run_search(df, configurations, make, parallel=1, folder=folder, stop=stop, fail=(1,))
+    assert seen == [0, 1, 2] and first.runs.count() == 3
+    seen.clear()
+    second = searching.run_search(df, configurations, make, parallel=2, folder=folder)
+    assert sorted(seen) == [1, 3]
+    whole = searching.run_search(df, configurations, lambda c, w: searching.network_for(c, w, epochs=2))
+    key = ["combination_id", "auc", "best_val_loss", "epochs_trained", "error"]
+    assert sorted(second.runs.select(key).collect()) == sorted(whole.runs.select(key).collect())
+    assert sorted(second.history.collect()) == sorted(whole.history.collect())
+    assert second.best.weights == whole.best.weights
+    assert MultilayerPerceptronClassificationModel.load(second.best_path).weights == whole.best.weights
+    seen.clear()
+    third = searching.run_search(df, configurations, make, folder=folder)
+    assert seen == [] and third.best.weights == whole.best.weights
+
+
+def test_network_files(spark, tmp_path):
+    """From four files to the summary, the history and the saved models."""
+    rng = np.random.default_rng(1)
+    paths = {}
+    for name, label in (("pos", 1), ("neg", 0)):
+        for part, n in (("train", 60), ("test", 20)):
+            paths[f"{name}_{part}"] = str(tmp_path / f"{name}_{part}")
+            rows = [(f"{name}{part}{i}", float(rng.normal() + 2 * label), float(rng.normal()) if i % 7 else None) for i in range(n)]
+            spark.createDataFrame(rows, "Name string, a double, b double").write.option("header", True).csv(paths[f"{name}_{part}"])
+    folder = str(tmp_path / "out")
+    networks = {"Small MLP": StagedPerceptron([4], epochs=6, patience=2), "Tiny": StagedPerceptron([2], epochs=2)}
+    found = ev.evaluate_network_files(spark, paths, networks, folder)
+    summary = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/performance_summary.csv")
+    assert summary.columns == ["Model", "Accuracy", "Precision", "Recall", "F1-Score", "AUC"]
+    rows = summary.collect()
+    assert [r["AUC"] for r in rows] == sorted((r["AUC"] for r in rows), reverse=True) and rows[0]["AUC"] > 0.7
+    assert found.preds.count() == 2 * 40 and found.tables["training"].count() == 2
+    history = spark.read.option("header", True).csv(f"{folder}/training_history.csv")
+    assert history.count() == found.tables["history"].count()
+    kept = MultilayerPerceptronClassificationModel.load(f"{folder}/best_small_mlp")
+    assert kept.weights == found.fitted["Small MLP"].weights
+
+
+def test_calibration_keeps_the_order_on_noise(spark):
+    """Margins that tell nothing, or the wrong thing, still give scores that rise with them."""
+    rng = np.random.default_rng(2)
+    for turn in (1.0, 0.0, -1.0):
+        y = (rng.random(300) < 0.3).astype(float)
+        rows = [(float(v), float(rng.normal() + turn * (2 * v - 1))) for v in y]
+        a, b = calibration(spark.createDataFrame(rows, "label double, margin double"))
+        assert a > 0
+        mean = np.mean([1 / (1 + np.exp(-(a * m + b))) for _, m in rows])
+        assert abs(mean - y.mean()) < 0.02
+
+
+def test_kernel_features_come_near_the_kernel():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))
+    z = _mapped(pd.Series(list(x)), 6, 4096, 0.1, 1)
+    kernel = np.exp(-0.1 * ((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.abs(z @ z.T - kernel).max() < 0.05
+
+
+def test_rows_for_tasks(spark):
+    rows = spark.range(1000).repartition(8)
+    assert rows_for_tasks(rows, 1).rdd.getNumPartitions() == 1
+    assert rows_for_tasks(rows, 12_000).rdd.getNumPartitions() == 3
+    assert rows_for_tasks(rows.coalesce(1), 12_000, spread=True).rdd.getNumPartitions() == 3
+    assert rows_for_tasks(spark.range(0), 5).count() == 0
 
 
 def test_honoured_space():
