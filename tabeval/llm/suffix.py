@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays
@@ -302,8 +302,12 @@ def _found(one, two, begin, end, print_one, print_two) -> pa.RecordBatch:
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """From (key, check, text) to (key, check, start, begin, end): window starts ``start + begin`` up to
-    ``start + end``, exclusive, that repeat, in bytes from the start of the text."""
+    """From (key, check, text) to (key, check, start, runs): window starts ``start + begin`` up to
+    ``start + end``, exclusive, for each of the runs, repeat, in bytes from the start of the text.
+
+    What repeats in a chunk is one row of disjoint runs before it meets the chunk's occurrences, so that each
+    occurrence makes one row.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = written(rows.select("key", "text").mapInArrow(_anchors(length), "anchor long, key long, place int"), "anchors")
     often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "often")
@@ -319,8 +323,25 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = found.filter("print_one is not null")
     twice = written(runs.groupBy("print_one", "print_two").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "twice")
     merged = runs.join(twice, ["print_one", "print_two"]).select("one", "two", "begin", "end")
-    spans = written(found.filter("print_one is null").select("one", "two", "begin", "end").union(merged), "spans")
-    return chunks.select("key", "check", "start", "one", "two").join(spans, ["one", "two"]).select("key", "check", "start", "begin", "end")
+    spans = found.filter("print_one is null").select("one", "two", "begin", "end").union(merged)
+    spans = spans.groupBy("one", "two").agg(_runs(F.collect_set(F.struct("begin", "end"))).alias("runs"))
+    spans = written(spans, "spans")
+    return chunks.select("key", "check", "start", "one", "two").join(spans, ["one", "two"]).select("key", "check", "start", "runs")
+
+
+def _runs(windows: Column) -> Column:
+    """Windows (begin, end) of a chunk as disjoint runs: each is joined to the last one if it touches it."""
+    empty = F.array().cast("array<struct<begin:int,end:int>>")
+
+    def joined(runs: Column, window: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        touches = F.coalesce(window["begin"] <= last["end"], F.lit(False))
+        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], window["end"]).alias("end"))
+        return F.when(touches, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(
+            F.concat(runs, F.array(window))
+        )
+
+    return F.aggregate(F.array_sort(windows), empty, joined)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,8 +378,9 @@ def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", len
     key = [F.xxhash64(F.col(ident), text_of(text)), F.xxhash64(text_of(text), F.col(ident), F.lit(1))]
     rows = df.select(key[0].alias("key"), key[1].alias("check"), F.col(ident).alias("id"), text_of(text).alias("text"))
     found = repeated_windows(rows.select("key", "check", "text"), length)
-    span = F.struct((F.col("start") + F.col("begin")).alias("s"), (F.col("start") + F.col("end") - 1 + length).alias("e"))
-    spans = found.groupBy("key", "check").agg(F.collect_set(span).alias("spans"))
+    span = F.transform("runs", lambda r: F.struct(
+        (F.col("start") + r["begin"]).alias("s"), (F.col("start") + r["end"] - 1 + length).alias("e")))
+    spans = found.groupBy("key", "check").agg(F.flatten(F.collect_set(span)).alias("spans"))
     kind = df.schema[ident].dataType.simpleString()
     return rows.join(spans, ["key", "check"], "left").select("id", "text", "spans").mapInArrow(
         _cleaned,
