@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
@@ -121,16 +123,58 @@ def _keep_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+#: Rows of either side that the bucket width is fitted on.
+WIDTH_QUERIES, WIDTH_ROWS = 200, 2_000
+
+
+def shared_bucket(ratio: float) -> float:
+    """How likely two rows share a bucket of one projection, by its width in deviations of their projected distance
+    (Datar et al. 2004)."""
+    return math.erf(ratio / math.sqrt(2)) - math.sqrt(2 / math.pi) / ratio * (1 - math.exp(-ratio * ratio / 2))
+
+
+def bucket_width(train: DataFrame, queries: DataFrame, k: int, key: str, vector: str, tables: int, recall: float) -> float:
+    """The narrowest bucket in which a query and its k-th neighbour meet in one of the tables with the wanted
+    probability.
+
+    The distance to the k-th neighbour is the mean over at most ``WIDTH_QUERIES`` queries among at most ``WIDTH_ROWS``
+    training rows, drawn by hash. Among all rows neighbours are nearer, so that the width errs to the wide side.
+    """
+    def drawn(rows, n):
+        found = rows.select(F.col(vector).cast("array<double>").alias("x"), F.xxhash64(key, F.lit(3)).alias("h"))
+        return np.asarray([r["x"] for r in found.orderBy("h", "x").limit(n).collect()])
+
+    rows, asked = drawn(train, WIDTH_ROWS), drawn(queries, WIDTH_QUERIES)
+    if not len(rows) or not len(asked):
+        return 1.0
+    d2 = (asked**2).sum(1)[:, None] + (rows**2).sum(1) - 2 * asked @ rows.T
+    nth = np.sort(np.maximum(d2, 0), axis=1)[:, min(k, len(rows)) - 1]
+    spread = float(np.sqrt(nth).mean()) / math.sqrt(rows.shape[1])
+    if spread == 0:
+        return 1.0
+    wanted = 1 - (1 - recall) ** (1 / tables)
+    low, high = 1e-3, 1e3
+    for _ in range(60):
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if shared_bucket(middle) < wanted else (low, middle)
+    return high * spread
+
+
 def hashed_neighbours(
-    train: DataFrame, queries: DataFrame, k: int = 5, key: str = "row_id", vector: str = "x", bucket: float = 2.0,
-    tables: int = 8, seed: int = 42,
+    train: DataFrame, queries: DataFrame, k: int = 5, key: str = "row_id", vector: str = "x", bucket: float | None = None,
+    tables: int = 8, seed: int = 42, recall: float = 0.98,
 ) -> DataFrame:
     """``(query, neighbour, d2, rank)`` among rows that share a bucket of a random projection.
 
     Approximate, for many rows in many dimensions, where pivots prune nothing and an exact search
-    compares all pairs: the work follows the buckets. Wider buckets and more tables find more.
-    Queries that share buckets with fewer than k rows go through the exact search.
+    compares all pairs: the work follows the buckets. Without a ``bucket`` its width is fitted to the distances of
+    a bounded sample, so that k-th neighbours meet with probability ``recall``. The join by bucket is one that
+    adaptive execution splits where a bucket is crowded. Queries that share buckets with fewer than k rows go
+    through the exact search.
     """
+    if bucket is None:
+        bucket = bucket_width(train, queries, k, key, vector, tables, recall)
+
     def ready(rows):
         return rows.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
 
@@ -215,7 +259,10 @@ class KNearest(Estimator):
         self.k, self.key, self.features, self.label, self.method, self.options = k, key, features, label, method, options
 
     def _fit(self, df: DataFrame) -> "KNearestModel":
-        return KNearestModel(self, settled(df.select(self.key, self.features, self.label)))
+        # Numbered in the order of their keys: rows without a key and rows that share one have votes of their
+        # own, and equal distances still go by the key.
+        rows = df.select(self.key, self.features, self.label).orderBy(F.asc_nulls_last(self.key))
+        return KNearestModel(self, settled(rows.withColumn("_number", F.monotonically_increasing_id())))
 
 
 class KNearestModel(Model, MLWritable):
@@ -230,10 +277,10 @@ class KNearestModel(Model, MLWritable):
 
         # Rows are searched by a number of their own, so that missing and repeated keys get their own votes.
         rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
-        train = self.train.select(F.col(s.key).alias("_row"), vector_to_array(s.features).alias("x"))
+        train = self.train.select(F.col("_number").alias("_row"), vector_to_array(s.features).alias("x"))
         search = hashed_neighbours if s.method == "lsh" else nearest_neighbours
         near = search(train, rows.select("_row", vector_to_array(s.features).alias("x")), s.k, "_row", **s.options)
-        labels = self.train.select(F.col(s.key).alias("neighbour"), F.col(s.label).cast("double").alias("_vote"))
+        labels = self.train.select(F.col("_number").alias("neighbour"), F.col(s.label).cast("double").alias("_vote"))
         votes = near.join(labels, "neighbour").groupBy(F.col("query").alias("_row")).agg(F.avg("_vote").alias("score"))
         return rows.join(votes, "_row", "left").drop("_row").withColumn("prediction", (F.col("score") > 0.5).cast("double"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabeval.models import registry
 from tabeval.models.adaboost import AdaBoost
 from tabeval.models.gaussian_nb import GaussianNB
-from tabeval.models.knn import KNearest, nearest_neighbours
+from tabeval.models.knn import KNearest, hashed_neighbours, nearest_neighbours
 from tabeval.models.rff_svm import FourierSVC
 from tabeval.models.staged import StagedPerceptron, phase_measures
 from tabeval.operators import metrics, prepare, results
@@ -125,6 +125,27 @@ def neighbours(spark, d):
     return fix(nearest_neighbours(rows.filter("split = 'train'"), rows.filter("split = 'test'"), 5), "d2")
 
 
+@query(
+    "j6_hashed_neighbours",
+    f"""WITH {fr.VECTORS} SELECT row_id AS query, 5::bigint AS found, true AS in_order, true AS exact_distances, true AS recall
+    FROM vectors WHERE split = 'test'""",
+)
+def hashed_neighbour_recall(spark, d):
+    """The hashed search over the whole test split, its bucket width fitted: five rows a query by rising distance,
+    distances never below the exact search's of that rank, and at least nine in ten of the exact neighbours found."""
+    rows = settled(fr.vectors(spark, d))
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    found, exact = settled(hashed_neighbours(train, test, 5)), settled(nearest_neighbours(train, test, 5))
+    hit = found.join(exact, ["query", "neighbour"], "left_semi").count()
+    both = found.alias("f").join(exact.alias("e"), ["query", "rank"])
+    step = Window.partitionBy("query").orderBy("rank")
+    told = both.select("query", "f.d2", (F.col("f.d2") >= F.col("e.d2") - 1e-9).alias("fair"), "rank")
+    told = told.withColumn("rises", F.coalesce(F.col("d2") >= F.lag("d2").over(step), F.lit(True)))
+    return told.groupBy("query").agg(
+        F.count("*").alias("found"), F.every("rises").alias("in_order"), F.every("fair").alias("exact_distances")
+    ).withColumn("recall", F.lit(hit >= 0.9 * exact.count()))
+
+
 @query(
     "m5_nearest_neighbour_votes",
     _NEAR + f"SELECT query AS row_id, {r('avg(label)', 'score')}, (avg(label) > 0.5)::int AS pred FROM near GROUP BY query",

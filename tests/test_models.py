@@ -14,7 +14,7 @@ from tabeval.models.adaboost import AdaBoost
 from tabeval.models.base import rows_for_tasks
 from tabeval.models.batch import batch_score, linear_model
 from tabeval.models.gaussian_nb import GaussianNB
-from tabeval.models.knn import KNearest, hashed_neighbours, nearest_neighbours
+from tabeval.models.knn import KNearest, bucket_width, hashed_neighbours, nearest_neighbours
 from tabeval.models.rff_svm import FourierSVC, _mapped, calibration
 from tabeval.models.staged import StagedPerceptron, phase_measures
 from tabeval.operators import metrics
@@ -400,3 +400,27 @@ def test_honoured_space():
 def test_chosen_configurations(spark):
     got = searching.choose_configurations(spark, limit=5)
     assert [c["combination_id"] for c in got] == [0, 1, 2, 3, 4] and set(got[0]) >= {"layer_sizes", "activation"}
+
+
+def test_bucket_width_follows_the_distances(spark):
+    """Twice the distances ask for twice the width, a higher recall for more; the share of neighbours found is as asked."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    df = table(spark, x, [0] * 400)
+    width = bucket_width(df, df, 5, "row_id", "x", 8, 0.9)
+    assert bucket_width(table(spark, 2 * x, [0] * 400), df.limit(0), 5, "row_id", "x", 8, 0.9) == 1.0
+    twice = table(spark, 2 * x, [0] * 400)
+    assert bucket_width(twice, twice, 5, "row_id", "x", 8, 0.9) == pytest.approx(2 * width)
+    assert bucket_width(df, df, 5, "row_id", "x", 8, 0.99) > width
+    queries = table(spark, rng.normal(size=(60, 16)), [0] * 60)
+    exact = {(r["query"], r["neighbour"]) for r in nearest_neighbours(df, queries, 5).collect()}
+    found = {(r["query"], r["neighbour"]) for r in hashed_neighbours(df, queries, 5).collect()}
+    assert len(found) == 300 and len(found & exact) >= 0.9 * 300
+
+
+def test_training_rows_without_a_key_have_their_votes(spark):
+    """Missing and repeated training keys: each row votes once."""
+    rows = [(None, 1, [0.0, 0.0]), (None, 0, [9.0, 9.0]), (3, 1, [0.1, 0.0]), (3, 0, [8.0, 8.0]), (4, 0, [0.0, 0.2])]
+    df = spark.createDataFrame(rows, "row_id long, label int, x array<double>").withColumn("features", array_to_vector("x"))
+    scored = KNearest(k=3).fit(df).transform(spark.createDataFrame([(1, [0.0, 0.1])], "row_id long, x array<double>").withColumn("features", array_to_vector("x")))
+    assert scored.first()["score"] == pytest.approx(2 / 3)
