@@ -410,7 +410,23 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", pe
 
 
 def drop_near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` without those whose component has a smaller id."""
-    found = near_duplicates(df, ident, text, percent)
-    gone = written(found.filter("not kept").select(F.col("doc_id").alias(ident)).distinct(), "gone")
-    return without(df, gone, [ident])
+    """The rows of ``df`` without those whose component has a smaller id.
+
+    An id that names texts of different classes does not take one's fate for the other's: its rows are told apart by
+    their class, which is computed once more for them alone.
+    """
+    found = written(near_duplicates(df, ident, text, percent).select("doc_id", "class", "kept"), "found")
+    gone = found.filter("not kept").select(F.col("doc_id").alias(ident), "class").distinct()
+    several = found.groupBy(F.col("doc_id").alias(ident)).agg(F.count_distinct("class").alias("n")).filter("n > 1").select(ident)
+    gone, several = written(gone, "gone"), written(several, "several")
+    clear = written(without(gone, several, [ident]).select(ident).distinct(), "clear")
+    rest = without(df, clear, [ident])
+    if several.isEmpty():
+        return rest
+    same = [rest[ident].eqNullSafe(several[ident])]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row")
+    unclear = rest.join(several, same, "left_semi").select(row, F.monotonically_increasing_id().alias("n"))
+    unclear = written(unclear, "unclear")
+    classes = describe(unclear.select("n", F.col(f"row.`{text}`").alias("text")), "n", "text").select(F.col("id").alias("n"), "class")
+    named = unclear.join(classes, "n").select("row", F.col(f"row.`{ident}`").alias(ident), "class")
+    return without(rest, several, [ident]).unionByName(without(named, gone, [ident, "class"]).select("row.*"))

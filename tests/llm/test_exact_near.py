@@ -148,3 +148,17 @@ def test_components_of_a_long_chain(spark):
     found = components(spark.createDataFrame(links, "a string, b string"))
     want = [(f"{i:03}", "000") for i in range(61)] + [("900", "900"), ("901", "900")]
     assert pairs(found, "node", "component") == sorted(want, key=repr)
+
+
+def test_an_id_of_two_texts_loses_only_the_duplicate(spark):
+    """A row is not dropped for another row of its id; missing ids and clashing columns alike."""
+    words = [f"word{i}" for i in range(60)]
+    near_one = [*words[:59], "other"]
+    rows = [
+        (1, " ".join(words)), (5, " ".join(near_one)), (5, "something else that stands alone in this table of texts"),
+        (6, " ".join(words)), (None, "a text without an id that is like no other one here"), (None, " ".join(words)), (7, ""), (7, " ".join(words)),
+    ]
+    df = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in rows], "doc_id long, text string, `class` string, n long, row long")
+    kept = near.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[6]], key=repr)
