@@ -1,20 +1,25 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, searched with block-max indexes.
 
-Examples are labelled texts with ``crc32(doc_id) % 5 <> 0``; at most ``MOST_EXAMPLES`` are taken, by the
-smallest hash of the id. That bound is the model's size; all texts are scored. Terms are the words
-of a text in lower case and their first four and five letters, which ties word forms together.
-Those whose presence goes with the label (chi-squared of at least ``CHI2``, the ``MOST_TERMS``
-strongest) get dimensions of their own, all other words share one, so that the length of a text
-counts. Weights are (1 + ln tf) * idf, vectors have length one.
-
-Examples lie in blocks of ``BLOCK``. For a text, each block's largest weights bound the cosine it can
-reach; blocks are visited from the best bound on until no bound reaches the k-th best cosine, so
-the neighbours are exact. Equal cosines go to the example that stands first. The score is the vote
-of the k nearest, weighted by 1 / (``SOFT`` + 1 - cosine), with ``PRIOR`` votes for the share of label 1
-among the examples. The nearest examples come along as evidence.
+Every word of a text, in lower case, is a dimension. Its weight is (1 + ln tf) * idf * factor, vectors
+have length one. The idf, ln((1 + N) / (1 + n)) + 1, counts all N documents; the factor is
+1 + ``CUE`` * the correlation of the word's presence with label 1 over all documents that teach
+(the part of it that chance explains taken off), so that telling words weigh more and none is lost.
+Documents teach whose id has a label and ``crc32(id) % 5 <> 0``. A word that no example holds adds to
+the length of a text only; it counts as a word of one document with factor one.
+
+Examples are at most ``MOST_EXAMPLES`` teaching documents, by the smallest hash of id and text. That
+bound is the model's size; counts are over all documents, and all texts are scored. Examples lie in
+blocks of ``BLOCK``. The ``DENSE`` words that most examples hold are added up for all examples at once, for
+the others each block's largest weights bound what it can add; blocks are visited from the best bound
+on until no bound reaches the k-th best cosine, so the neighbours are exact. Equal cosines go to
+the example that stands first. The score is the vote of the k nearest, weighted by
+1 / (``SOFT`` + 1 - cosine), with ``PRIOR`` votes for the share of label 1 among all that teach. The nearest
+examples come along as evidence.
 
 Missing and empty texts have no words; they score the plain share. Rows with missing labels do not
-teach; of several labels for an id the largest counts. Without examples every score is 0.
+teach; of several labels for an id the largest counts. Every row of a repeated id teaches with the
+label of its id; rows that agree in id and text are one example, but count each. Ids of any type
+are compared as text. Without examples every score is 0.
 """
 
 from __future__ import annotations
@@ -29,13 +34,15 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from tabeval.llm.common import text_of, written
 
-MOST_EXAMPLES = 20_000
-MOST_TERMS = 4_000
-CHI2 = 20.0
-LEAST_TOXIC = 2
+MOST_EXAMPLES = 4_096
+CUE = 100.0
+CHANCE = 4.0  # chi-squared that chance explains
+DENSE = 128
 BLOCK = 64
 K = 15
 SOFT = 0.02
@@ -45,95 +52,94 @@ EVIDENCE = 3
 _WORDS = re.compile(r"\w+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in (4, 5) if len(word) > n)]
+def words_of(text: str) -> list[str]:
+    return _WORDS(text.lower())
 
 
 def held_out(ident: Column) -> Column:
     return F.crc32(ident.cast("string")) % 5 == 0
 
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and term: the number of texts that hold it, of either label."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            counts[label].update({t for w in set(_WORDS(text.lower())) for t in terms_of(w)})
-        terms = list(counts[0] | counts[1])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()),
-                pa.array([counts[0][t] for t in terms], pa.int64()),
-            ],
-            names=["term", "toxic", "clean"],
-        )
-
-
 class Index:
-    """Vectors of the examples, as postings by term with block maxima. Bounded by the two limits."""
-
-    def __init__(self, terms: list[str], frequency: list[int], examples: list[tuple], total: int):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.other = len(terms)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.idf = np.append(np.log((1 + total) / (1 + np.array(frequency, float))) + 1, 1.0)
-        vectors = [self.vector_of(text) for _, text, _ in examples]
-        lead = [max(zip(w, -t, strict=True), default=(0.0, -self.other)) for t, w in vectors]
-        order = sorted(range(len(examples)), key=lambda i: (lead[i][1], lead[i][0], examples[i][0]))
-        self.ids = np.array([examples[i][0] for i in order], np.int64)
-        self.labels = np.array([examples[i][2] for i in order], float)
-        self.share = float(self.labels.mean()) if len(order) else 0.0
+    """Vectors of the examples, as postings by word with block maxima. Its size follows the examples' words."""
+
+    def __init__(
+        self, words: list[str], weights: np.ndarray, unknown: float, share: float, ids: list, labels: list, bags: list, kind: DataType
+    ):
+        """``words`` by falling number of examples, ``weights`` their idf times factor, ``bags`` word
+        numbers (ascending) and times of each example."""
+        self.words, self.weights, self.unknown, self.share, self.kind = words, weights, unknown, share, kind
+        vectors = []
+        for at, times in bags:
+            weight = (1 + np.log(times)) * weights[at]
+            vectors.append((at, weight / np.sqrt((weight**2).sum()) if len(at) else weight))
+        # Examples with the same telling word lie together, then those that share their most frequent words.
+        lead = [int(a[w.argmax()]) if len(a) and w.max() > 0.3 else -1 for a, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (lead[i], vectors[i][0][:8].tolist(), str(ids[i]), vectors[i][1].tobytes()))
+        self.ids = [ids[i] for i in order]
+        self.labels = np.array([labels[i] for i in order], float)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         by = np.argsort(term, kind="stable")
-        self.place, self.weight = place[by], weight[by]
-        self.starts = np.searchsorted(term[by], np.arange(self.other + 2))
-        self.blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((self.other + 1, self.blocks), np.float32)
-        np.maximum.at(self.most, (term, place // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        self.term, self.place = term[by].astype(np.int32), place[by].astype(np.int32)
+        self.weight = np.concatenate([vectors[i][1] for i in order])[by] if order else np.zeros(0)
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """What follows from the postings: each (word, block) is one stretch of them, ``edges`` tells where."""
+        self.known = {w: i for i, w in enumerate(self.words)}
+        self.blocks = -(-len(self.ids) // BLOCK)
+        cell = self.term.astype(np.int64) * self.blocks + self.place // BLOCK
+        size = np.bincount(cell, minlength=len(self.words) * self.blocks)
+        self.edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        self.most = np.zeros(len(size), np.float32)
+        filled = np.flatnonzero(size)
+        if len(filled):
+            largest = np.maximum.reduceat(self.weight, self.edges[filled]).astype(np.float32)
+            self.most[filled] = np.nextafter(largest, np.float32(2))
+        self.most = self.most.reshape(len(self.words), self.blocks)
+        some = min(DENSE, len(self.words))
+        until = np.searchsorted(self.term, some)
+        self.dense = np.zeros((some, self.blocks * BLOCK))
+        self.dense[self.term[:until], self.place[:until]] = self.weight[:until]
         self.memory: dict = {}
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.cuts = np.array(
-            [s + np.searchsorted(self.place[s:e], edges) for s, e in zip(self.starts[:-1].tolist(), self.starts[1:].tolist())]
-        ).reshape(self.other + 1, self.blocks + 1)
 
     def __getstate__(self):
-        return {**self.__dict__, "words": {}, "memory": {}}
+        return {k: self.__dict__[k] for k in ("words", "weights", "unknown", "share", "kind", "ids", "labels", "term", "place", "weight")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._prepare()
 
     def vector_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers, ascending, and weights of length one; empty without words."""
-        known, seen, tf, rest = self.terms, self.words, {}, 0
-        for word, n in Counter(_WORDS(text.lower())).items():
-            found = seen.get(word)
-            if found is None:
-                found = tuple(known[t] for t in terms_of(word) if t in known)
-                if len(seen) < 300_000:
-                    seen[word] = found
-            for t in found:
-                tf[t] = tf.get(t, 0) + n
-            if not found:
-                rest += n
-        if rest:
-            tf[self.other] = rest
-        at = np.array(sorted(tf), np.int64)
-        weight = (1 + np.log(np.array([tf[t] for t in at.tolist()], float))) * self.idf[at]
-        return at, weight / np.sqrt((weight**2).sum()) if len(at) else weight
-
-    def _cosines(self, at: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the wanted blocks, in order, and their cosines. Each (term, block) is one stretch
-        of the postings."""
-        rows = (wanted[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        begin, end = self.cuts[at[:, None], wanted].ravel(), self.cuts[at[:, None], wanted + 1].ravel()
+        """Numbers of the words that examples hold, ascending, and their weights in the text's vector of length one."""
+        known, at, times, rest = self.known, [], [], []
+        for word, n in Counter(words_of(text)).items():
+            number = known.get(word)
+            if number is None:
+                rest.append(n)
+            else:
+                at.append(number)
+                times.append(n)
+        at, times = np.array(at, np.int64), np.array(times, float)
+        by = np.argsort(at)
+        at = at[by]
+        weight = (1 + np.log(times[by])) * self.weights[at]
+        square = (weight**2).sum() + (((1 + np.log(np.array(rest, float))) * self.unknown) ** 2).sum()
+        return at, weight / np.sqrt(square) if square else weight
+
+    def _add(self, total: np.ndarray, at: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds what the words give to the examples of the wanted blocks, in whole stretches of the postings."""
+        if 2 * len(wanted) < self.blocks:
+            cell = (at[:, None] * self.blocks + wanted).ravel()
+            begin, end, each = self.edges[cell], self.edges[cell + 1], np.repeat(weight, len(wanted))
+            filled = np.flatnonzero(end > begin)
+            begin, end, each = begin[filled], end[filled], each[filled]
+        else:
+            begin, end, each = self.edges[at * self.blocks], self.edges[(at + 1) * self.blocks], weight
         size = end - begin
         from_ = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        gain = self.weight[from_] * np.repeat(np.repeat(weight, len(wanted)), size)
-        slot = self.place[from_] - np.repeat(np.tile((wanted - np.arange(len(wanted))) * BLOCK, len(at)), size)
-        total = np.bincount(slot, gain, minlength=len(rows))
-        inside = rows < len(self.ids)
-        return rows[inside], total[inside]
+        total += np.bincount(self.place[from_], self.weight[from_] * np.repeat(each, size), minlength=len(total))
 
     def nearest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, best first."""
@@ -143,17 +149,31 @@ class Index:
         key = (at.tobytes(), weight.tobytes())
         if key in self.memory:
             return self.memory[key]
-        bound = weight.astype(np.float32) @ self.most[at] * np.float32(1 + 1e-5)
-        by = np.argsort(-bound, kind="stable")
-        first = by[:2]
-        rows, cosine = self._cosines(at, weight, np.sort(first))
-        threshold = np.partition(cosine, -K)[-K] if len(cosine) >= K else 0.0
-        bound[first] = -1
-        more = np.flatnonzero(bound >= threshold)
-        if len(more):
-            others = self._cosines(at, weight, more)
-            rows, cosine = np.concatenate([rows, others[0]]), np.concatenate([cosine, others[1]])
-        cosine = np.round(np.minimum(cosine, 1.0), 12)
+        cut = np.searchsorted(at, len(self.dense))
+        total = weight[:cut] @ self.dense[at[:cut]]
+        at, weight = at[cut:], weight[cut:]
+        bound = total.reshape(self.blocks, BLOCK).max(axis=1) + (weight.astype(np.float32) @ self.most[at]) * (1 + 1e-5) + 1e-9
+        seen, threshold = np.zeros(self.blocks, bool), -1.0
+        for step in (4, 12, self.blocks):
+            bound[seen] = -2
+            wanted = np.flatnonzero(bound >= threshold)
+            if not len(wanted):
+                break
+            wanted = np.sort(wanted[np.argsort(-bound[wanted], kind="stable")[:step]])
+            if 2 * len(wanted) >= self.blocks:
+                # All stretches at once; those of blocks already seen are not added twice.
+                before = total.copy()
+                self._add(total, at, weight, wanted)
+                twice = np.repeat(seen, BLOCK)
+                total[twice] = before[twice]
+                seen[:] = True
+            else:
+                self._add(total, at, weight, wanted)
+                seen[wanted] = True
+            rows = np.flatnonzero(np.repeat(seen, BLOCK)[: len(self.ids)])
+            if len(rows) >= K:
+                threshold = np.partition(total[rows], -K)[-K] - 1e-9
+        cosine = np.round(np.minimum(total[rows], 1.0), 12)
         best = np.lexsort((rows, -cosine))[:K]
         found = rows[best], cosine[best]
         if len(self.memory) >= 20_000:
@@ -161,55 +181,110 @@ class Index:
         self.memory[key] = found
         return found
 
-    def score(self, text: str) -> tuple[float, list[int]]:
+    def score(self, text: str) -> tuple[float, list]:
         rows, cosine = self.nearest(text)
         vote = 1 / (SOFT + 1 - cosine)
         scale = vote.max(initial=0.0) or 1.0
         vote = vote / scale
         value = (float((vote * self.labels[rows]).sum()) + PRIOR * self.share) / (float(vote.sum()) + PRIOR)
-        return value, self.ids[rows[:EVIDENCE]].tolist()
+        return value, [self.ids[i] for i in rows[:EVIDENCE].tolist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
-    """The index of at most ``MOST_EXAMPLES`` labelled examples. Numbers of that bound reach the driver, no more."""
-    taught = labels.filter(F.col(label).isNotNull() & F.col(ident).isNotNull() & ~held_out(F.col(ident)))
-    taught = taught.groupBy(F.col(ident).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    taught = taught.orderBy(F.xxhash64("id"), "id").limit(MOST_EXAMPLES)
-    taught = written(taught, "taught")
-    rows = docs.select(F.col(ident).cast("long").alias("id"), text_of(text).alias("text"))
-    rows = written(rows.join(F.broadcast(taught), "id").dropDuplicates(["id"]), "examples")  # at most MOST_EXAMPLES rows
-    counts = rows.select("text", "label").mapInArrow(_presence, "term string, toxic long, clean long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    cross = a * (n0 - b) - b * (n1 - a)
-    chi2 = (n1 + n0) * cross * cross / (F.lit(max(n1, 1.0) * max(n0, 1.0)) * (a + b) * F.greatest(F.lit(n1 + n0) - a - b, F.lit(1.0)))
-    chosen = counts.withColumn("chi2", chi2).filter((F.col("chi2") >= CHI2) & (F.greatest("a", "b") > LEAST_TOXIC))
-    chosen = sorted((r["term"], r["a"] + r["b"]) for r in chosen.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect())
-    # Texts go to the driver reduced to the chosen terms, in pieces of bounded size.
-    known = {t for t, _ in chosen}
-    reduced = rows.mapInArrow(_reduced(known), "id long, label int, text string")
-    examples = [(r["id"], r["text"], r["label"]) for r in reduced.toLocalIterator()]
-    return Index([t for t, _ in chosen], [n for _, n in chosen], examples, int(n1 + n0))
-
-
-def _reduced(known: set[str]):
-    """Words with chosen terms as they are, all others as one; only counts up to a factor matter."""
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each text and how often it holds them."""
+    for batch in batches:
+        bags = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("own"), batch.column("label"), pa.array([list(b) for b in bags], pa.list_(pa.string())),
+                pa.array([list(b.values()) for b in bags], pa.list_(pa.int32())),
+            ],
+            names=["own", "label", "words", "times"],
+        )
+
+
+def _numbered(shared):
+    """The numbers of the known words that each text holds, as bytes of 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(pickle.loads(shared.value))}
         for batch in batches:
-            texts = []
+            held = []
             for text in batch.column("text").to_pylist():
-                words = _WORDS(text.lower())
-                texts.append(" ".join(w if any(t in known for t in terms_of(w)) else "_" for w in words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array(texts, pa.string())], names=["id", "label", "text"]
-            )
+                numbers = [known[w] for w in set(_WORDS(text.lower())) if w in known]
+                held.append(np.array(numbers, np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "held"])
+
+    return run
+
+
+def _presence(size: int):
+    """Per partition and word: the texts that hold it, and those of either label. Number ``size`` counts all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((3, size + 1), np.int64)
+        for batch in batches:
+            held = batch.column("held").to_pylist()
+            label = batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
+            number = np.frombuffer(b"".join(held), np.int32)
+            each = np.repeat(label, [len(h) // 4 for h in held])
+            for row, (of, whole) in enumerate(((number, label), (number[each == 1], label[label == 1]), (number[each == 0], label[label == 0]))):
+                counts[row] += np.bincount(of, minlength=size + 1)
+                counts[row, size] += len(whole)
+        at = np.flatnonzero(counts[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *counts[:, at])], names=["number", "n", "toxic", "clean"])
 
     return run
 
 
+def _factors(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """One for words that say nothing about the label, up to 1 + ``CUE`` for those that decide it."""
+    toxic, clean, both = toxic.astype(float), clean.astype(float), toxic + clean
+    cross = toxic * (n0 - clean) - clean * (n1 - toxic)
+    chi2 = (n1 + n0) * cross**2 / (max(n1, 1) * max(n0, 1) * np.maximum(both, 1) * np.maximum(n1 + n0 - both, 1))
+    return 1 + CUE * np.sqrt(np.clip((chi2 - CHANCE) / max(n1 + n0, 1), 0, 1))
+
+
+def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
+    """The index of at most ``MOST_EXAMPLES`` labelled examples. The driver gets their words with a few
+    counts each, no more."""
+    key = F.col(ident).cast("string")
+    taught = labels.filter(F.col(label).isNotNull() & F.col(ident).isNotNull() & ~held_out(F.col(ident)))
+    taught = taught.groupBy(key.alias("id")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("label"))
+    rows = docs.select(key.alias("id"), F.col(ident).alias("own"), text_of(text).alias("text"))
+    marked = rows.withColumn("mark", F.xxhash64("id", "text"))
+    chosen = marked.filter(F.col("id").isNotNull() & ~held_out(F.col("id"))).select("id", "mark").join(taught, "id")
+    chosen = written(chosen.dropDuplicates(["id", "mark"]).orderBy("mark", "id").limit(MOST_EXAMPLES), "taught")
+    examples = marked.join(F.broadcast(chosen), ["id", "mark"]).dropDuplicates(["id", "mark"])  # at most MOST_EXAMPLES
+    kind = docs.schema[ident].dataType.simpleString()
+    ids, found, bags, held = [], [], [], Counter()
+    bagged = examples.select("own", "label", "text").mapInArrow(_bags, f"own {kind}, label int, words array<string>, times array<int>")
+    number: dict[str, int] = {}
+    for r in bagged.toLocalIterator():
+        ids.append(r["own"])
+        found.append(r["label"])
+        at = np.array([number.setdefault(w, len(number)) for w in r["words"]], np.int64)
+        held.update(at.tolist())
+        bags.append((at, np.array(r["times"], float)))
+    words = sorted(number, key=lambda w: (-held[number[w]], w))
+    rank = np.empty(len(words), np.int64)
+    rank[[number[w] for w in words]] = np.arange(len(words))
+    for i, (at, times) in enumerate(bags):
+        by = np.argsort(rank[at])
+        bags[i] = rank[at][by], times[by]
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(words))
+    counted = rows.select("id", "text").mapInArrow(_numbered(shared), "id string, held binary").join(taught, "id", "left")
+    counted = counted.select("held", "label").mapInArrow(_presence(len(words)), "number long, n long, toxic long, clean long")
+    counted = counted.groupBy("number").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    counts = np.zeros((3, len(words) + 1), np.int64)
+    for row, name in enumerate(("n", "toxic", "clean")):
+        counts[row, counted.column("number").to_numpy()] = counted.column(name).to_numpy()
+    total, n1, n0 = (int(x) for x in counts[:, -1])
+    n, toxic, clean = counts[:, :-1]
+    weights = (np.log((1 + total) / (1 + n)) + 1) * _factors(toxic, clean, n1, n0)
+    return Index(words, weights, float(np.log((1 + total) / 2) + 1), n1 / (n1 + n0) if ids else 0.0, ids, found, bags, docs.schema[ident].dataType)
+
+
 def _shared(df: DataFrame, index: Index):
     """The index with its code, so that executors need no copy of the package."""
     return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
@@ -217,7 +292,7 @@ def _shared(df: DataFrame, index: Index):
 
 def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (ids of the nearest examples)."""
-    shared = _shared(df, index)
+    shared, evidence = _shared(df, index), pa.list_(to_arrow_type(index.kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pickle.loads(shared.value)
@@ -226,7 +301,7 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("held_out"), pa.array([s for s, _ in each], pa.float64()),
-                    pa.array([int(s >= 0.5) for s, _ in each], pa.int32()), pa.array([e for _, e in each], pa.list_(pa.int64())),
+                    pa.array([int(s >= 0.5) for s, _ in each], pa.int32()), pa.array([e for _, e in each], evidence),
                 ],
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],
             )
@@ -234,7 +309,7 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
     apart = F.coalesce(held_out(F.col(ident)), F.lit(False)).alias("held_out")
     rows = df.select(F.col(ident).alias("id"), apart, text_of(text).alias("text"))
     kind = df.schema[ident].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<{index.kind.simpleString()}>")
 
 
 def drop_toxic(df: DataFrame, index: Index, text: str = "text") -> DataFrame:

@@ -1,9 +1,14 @@
 import itertools
+import math
+import pickle
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tabeval.llm import html, toxicity
 from tabeval.llm.maxflow import source_side
@@ -50,7 +55,6 @@ def test_frame(spark):
 
 def test_all_pages_of_the_tables(spark, small):
     """Against the plain reading of these pages: what stands in the article element."""
-    import re
     from html import unescape
 
     for r in spark.read.parquet(f"{small}/pages.parquet").collect():
@@ -95,22 +99,78 @@ def test_held_out_accuracy(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
     test = [r for r in found if r.held_out]
     assert len(test) > 40 and sum(r.predicted == r.toxic for r in test) / len(test) > 0.97
-    assert set(index.ids.tolist()) <= {r.doc_id for r in found if not r.held_out}
-
-
-def test_neighbours_are_exact(spark):
-    docs, labels = toy(spark, 600)
+    assert set(index.ids) <= {r.doc_id for r in found if not r.held_out}
+
+
+def plain_vectors(docs, labels, index):
+    """TF-IDF vectors of all texts by word, from nothing but the tables and the definition."""
+    rows = [(r.doc_id, Counter(re.findall(r"\w+", (r.text or "").lower()))) for r in docs.collect()]
+    label = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    n1, n0 = sum(label[i] for i, _ in rows if i in label), sum(1 - label[i] for i, _ in rows if i in label)
+    held = Counter(w for i, bag in rows if i in set(index.ids) for w in bag)
+    weight = {}
+    for w in {w for _, bag in rows for w in bag}:
+        if w not in held:
+            weight[w] = math.log((1 + len(rows)) / 2) + 1
+            continue
+        a, b = (sum(1 for i, bag in rows if label.get(i) == x and w in bag) for x in (1, 0))
+        chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * max(n1 + n0 - a - b, 1))
+        factor = 1 + 100 * math.sqrt(max(chi2 - 4, 0) / (n1 + n0))
+        weight[w] = (math.log((1 + len(rows)) / (1 + sum(1 for _, bag in rows if w in bag))) + 1) * factor
+    vectors = {}
+    for i, bag in rows:
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in bag.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {w: x / length for w, x in v.items()}
+    return vectors, label
+
+
+def test_neighbours_are_those_of_plain_tf_idf(spark):
+    docs, labels = toy(spark, 300)
     index = toxicity.fit(docs, labels)
-    for r in docs.limit(150).collect():
-        at, weight = index.vector_of(r.text)
-        total = np.zeros(len(index.ids))
-        for t, w in zip(at, weight):
-            part = slice(index.starts[t], index.starts[t + 1])
-            total[index.place[part]] += w * index.weight[part]
-        total = np.round(np.minimum(total, 1.0), 12)
-        best = np.lexsort((np.arange(len(total)), -total))[: toxicity.K]
-        rows, cosine = index.nearest(r.text)
-        assert rows.tolist() == best.tolist() and np.allclose(cosine, total[best], atol=1e-9)
+    vectors, label = plain_vectors(docs, labels, index)
+    assert len(index.ids) == len(label) and all(label[i] == x for i, x in zip(index.ids, index.labels))
+    for i, text in sorted((r.doc_id, r.text) for r in docs.collect())[:80]:
+        cosines = {j: sum(x * vectors[j].get(w, 0.0) for w, x in vectors[i].items()) for j in index.ids}
+        rows, found = index.nearest(text)
+        assert np.allclose(found, sorted(cosines.values(), reverse=True)[: toxicity.K], atol=1e-9)
+        assert np.allclose(found, [cosines[index.ids[k]] for k in rows], atol=1e-9)
+        vote = [1 / (0.02 + 1 - min(round(c, 12), 1)) for c in found]
+        score = (sum(v * label[index.ids[k]] for v, k in zip(vote, rows)) / max(vote) + index.share) / (sum(vote) / max(vote) + 1)
+        assert abs(index.score(text)[0] - score) < 1e-6
+
+
+def test_pruned_search_finds_what_a_full_one_finds():
+    """Many blocks and words of every frequency, so that all ways through the search are taken."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    bags = [np.unique((3000 * rng.random(rng.integers(1, 60)) ** 3).astype(np.int64)) for _ in range(1500)]
+    bags = [(b, rng.integers(1, 5, len(b)).astype(float)) for b in bags]
+    weights = 1 + 30 * (rng.random(3000) < 0.02) + rng.random(3000)
+    index = toxicity.Index(words, weights, 2.0, 0.1, list(range(1500)), [i % 2 for i in range(1500)], bags, LongType())
+    for of in (index, pickle.loads(pickle.dumps(index))):
+        for at, times in bags[:200]:
+            text = " ".join(w for i, n in zip(at, times) for w in [words[i]] * int(n)) + " unheard"
+            where, weight = of.vector_of(text)
+            total = np.zeros(1500)
+            for t, w in zip(where, weight):
+                part = of.term == t
+                total[of.place[part]] += w * of.weight[part]
+            rows, cosine = of.nearest(text)
+            assert np.allclose(cosine, np.sort(total)[::-1][: toxicity.K], atol=1e-9) and np.allclose(cosine, total[rows], atol=1e-9)
+
+
+def test_ids_as_text_and_repeated_ids(spark):
+    docs, labels = toy(spark, 200)
+    docs = docs.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    labels = labels.selectExpr("concat('d', doc_id) AS doc_id", "toxic")
+    other = docs.limit(20).selectExpr("doc_id", "concat(text, ' again') AS text")
+    index = toxicity.fit(docs.union(docs.limit(30)).union(other), labels)
+    rows = {r.doc_id for r in docs.collect() if zlib.crc32(r.doc_id.encode()) % 5}
+    again = {r.doc_id for r in other.collect()} & rows
+    assert sorted(index.ids) == sorted([*rows, *again])  # equal rows are one example, other texts of an id teach too
+    found = toxicity.scores(docs, index)
+    assert dict(found.dtypes)["evidence"] == "array<string>" and found.count() == 200
 
 
 def test_awkward_rows(spark):
