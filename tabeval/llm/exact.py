@@ -32,8 +32,8 @@ def _rank(length: Column, ident: Column) -> Column:
 def duplicate_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", most_bits: int = bloom.MOST_BITS) -> DataFrame:
     """One row per row: id, id of the row that stays, size of the group, whether it stays, hash.
 
-    Rows that share text length and id are told apart by nothing: in this digest all of them stay.
-    ``deduplicate`` keeps exactly one row of each group.
+    Rows of a repeated id are told apart by their length; those that share length and id too are told
+    apart by nothing, in this digest all of them stay. ``deduplicate`` keeps exactly one row of each group.
     """
     rows = written(
         df.select(
@@ -51,7 +51,7 @@ def duplicate_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", m
     )
     grouped = repeats.join(groups, "text_sha256").select(
         "doc_id", F.col("best.i").alias("keep_id"), "group_size",
-        F.col("doc_id").eqNullSafe(F.col("best.i")).alias("kept"), "text_sha256",
+        _rank(F.col("length"), F.col("doc_id")).eqNullSafe(F.col("best")).alias("kept"), "text_sha256",
     )
     single = probed.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
