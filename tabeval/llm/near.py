@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) ->
     n = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    word = arrays.mixed(arrays.span_hashes(arrays.prefix_hashes(data), starts, ends), 1)
+    word = arrays.mixed(arrays.word_hashes(data, starts, ends), 1)
     count = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
     # The first word of each shingle; a text with fewer words has one shingle of them all.

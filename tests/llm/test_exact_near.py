@@ -44,6 +44,25 @@ def test_deduplicate_keeps_one_row_of_each_group_whole(spark):
     assert len(spaced) == 1  # the longest of the copies
 
 
+def test_rows_of_one_id_with_equal_texts_of_different_length(spark):
+    df = spark.createDataFrame([(1, "a b c  "), (1, "abc"), (2, "abc"), (None, "a  b  c  ")], "doc_id long, text string")
+    found = exact.duplicate_groups(df)
+    assert pairs(found, "doc_id", "keep_id", "group_size", "kept") == sorted(
+        [(1, None, 4, False), (1, None, 4, False), (2, None, 4, False), (None, None, 4, True)], key=repr
+    )
+    found = exact.duplicate_groups(df.filter("doc_id = 1"))
+    assert pairs(found, "doc_id", "group_size", "kept") == [(1, 2, False), (1, 2, True)]
+
+
+def test_words_of_one_rhythm_do_not_collide(spark):
+    """A polynomial hash modulo 2^64 takes these two words of 1,024 letters for one, whatever its base."""
+    rhythm = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[x ^ flip] for x in rhythm) for flip in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    found = near.near_duplicates(df)
+    assert pairs(found, "doc_id", "component_id", "kept") == [(1, 1, True), (2, 2, True), (3, 1, False)]
+
+
 def test_empty_tables(spark):
     df = nothing(spark)
     assert exact.duplicate_groups(df).count() == 0 and exact.deduplicate(df).count() == 0
