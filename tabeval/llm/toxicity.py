@@ -9,10 +9,10 @@ the length of a text only; it counts as a word of one document with factor one.
 
 Examples are at most ``MOST_EXAMPLES`` teaching documents, by the smallest hash of id and text. That
 bound is the model's size; counts are over all documents, and all texts are scored. Examples lie in
-blocks of ``BLOCK``. The ``DENSE`` words that most examples hold are added up for all examples at once, for
-the others each block's largest weights bound what it can add; blocks are visited from the best bound
-on until no bound reaches the k-th best cosine, so the neighbours are exact. Equal cosines go to
-the example that stands first. The score is the vote of the k nearest, weighted by
+blocks of ``BLOCK``. The ``DENSE`` words that most examples hold, and those that less than ``RARE`` hold, are added
+up for all examples at once; for the others each block's largest weights bound what it
+can add, and blocks are visited from the best bound on until no bound reaches the k-th best cosine, so
+the neighbours are exact. Equal cosines go to the example that stands first. The score is the vote of the k nearest, weighted by
 1 / (``SOFT`` + 1 - cosine), with ``PRIOR`` votes for the share of label 1 among all that teach. The nearest
 examples come along as evidence.
 
@@ -43,6 +43,7 @@ MOST_EXAMPLES = 4_096
 CUE = 100.0
 CHANCE = 4.0  # chi-squared that chance explains
 DENSE = 128
+RARE = 8
 BLOCK = 64
 K = 15
 SOFT = 0.02
@@ -86,22 +87,28 @@ class Index:
         self._prepare()
 
     def _prepare(self) -> None:
-        """What follows from the postings: each (word, block) is one stretch of them, ``edges`` tells where."""
+        """What follows from the postings. Those of the most frequent words become whole rows, those of rare words stay
+        as they are; of the words between, each (word, block) is one stretch and ``edges`` tells where."""
         self.known = {w: i for i, w in enumerate(self.words)}
         self.blocks = -(-len(self.ids) // BLOCK)
-        cell = self.term.astype(np.int64) * self.blocks + self.place // BLOCK
-        size = np.bincount(cell, minlength=len(self.words) * self.blocks)
-        self.edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        self.most = np.zeros(len(size), np.float32)
-        filled = np.flatnonzero(size)
-        if len(filled):
-            largest = np.maximum.reduceat(self.weight, self.edges[filled]).astype(np.float32)
-            self.most[filled] = np.nextafter(largest, np.float32(2))
-        self.most = self.most.reshape(len(self.words), self.blocks)
+        self.starts = np.searchsorted(self.term, np.arange(len(self.words) + 1)).astype(np.int32)
+        held = np.diff(self.starts)
         some = min(DENSE, len(self.words))
-        until = np.searchsorted(self.term, some)
+        self.rare = max(some, int(np.searchsorted(-held, -RARE)))  # words stand by falling number of examples
+        until, end = self.starts[some], self.starts[self.rare]
         self.dense = np.zeros((some, self.blocks * BLOCK))
         self.dense[self.term[:until], self.place[:until]] = self.weight[:until]
+        cell = (self.term[until:end] - some) * self.blocks + self.place[until:end] // BLOCK
+        size = np.bincount(cell, minlength=(self.rare - some) * self.blocks).astype(np.int32)
+        self.edges = until + np.concatenate([[0], np.cumsum(size, dtype=np.int32)])
+        self.most = np.zeros(len(size), np.float32)
+        filled = np.flatnonzero(size)
+        if len(filled):
+            largest = np.maximum.reduceat(self.weight, self.edges[filled])
+            last = self.weight[self.edges[filled[-1]] : end].max()  # the last stretch ends before the rare words
+            largest[-1] = last
+            self.most[filled] = np.nextafter(largest.astype(np.float32), np.float32(2))
+        self.most = self.most.reshape(self.rare - some, self.blocks)
         self.memory: dict = {}
 
     def __getstate__(self):
@@ -113,33 +120,22 @@ class Index:
 
     def vector_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words that examples hold, ascending, and their weights in the text's vector of length one."""
-        known, at, times, rest = self.known, [], [], []
-        for word, n in Counter(words_of(text)).items():
-            number = known.get(word)
-            if number is None:
-                rest.append(n)
-            else:
-                at.append(number)
-                times.append(n)
-        at, times = np.array(at, np.int64), np.array(times, float)
+        bag, number = Counter(words_of(text)), self.known.get
+        at = np.array([number(w, -1) for w in bag], np.int64)
+        times = np.fromiter(bag.values(), float, len(bag))
+        rest = times[at < 0]
+        at, times = at[at >= 0], times[at >= 0]
         by = np.argsort(at)
         at = at[by]
         weight = (1 + np.log(times[by])) * self.weights[at]
-        square = (weight**2).sum() + (((1 + np.log(np.array(rest, float))) * self.unknown) ** 2).sum()
+        square = (weight**2).sum() + (((1 + np.log(rest)) * self.unknown) ** 2).sum()
         return at, weight / np.sqrt(square) if square else weight
 
-    def _add(self, total: np.ndarray, at: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> None:
-        """Adds what the words give to the examples of the wanted blocks, in whole stretches of the postings."""
-        if 2 * len(wanted) < self.blocks:
-            cell = (at[:, None] * self.blocks + wanted).ravel()
-            begin, end, each = self.edges[cell], self.edges[cell + 1], np.repeat(weight, len(wanted))
-            filled = np.flatnonzero(end > begin)
-            begin, end, each = begin[filled], end[filled], each[filled]
-        else:
-            begin, end, each = self.edges[at * self.blocks], self.edges[(at + 1) * self.blocks], weight
+    def _added(self, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What stretches of the postings give to each example."""
         size = end - begin
         from_ = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        total += np.bincount(self.place[from_], self.weight[from_] * np.repeat(each, size), minlength=len(total))
+        return np.bincount(self.place[from_], self.weight[from_] * np.repeat(weight, size), minlength=self.blocks * BLOCK)
 
     def nearest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, best first."""
@@ -149,9 +145,9 @@ class Index:
         key = (at.tobytes(), weight.tobytes())
         if key in self.memory:
             return self.memory[key]
-        cut = np.searchsorted(at, len(self.dense))
-        total = weight[:cut] @ self.dense[at[:cut]]
-        at, weight = at[cut:], weight[cut:]
+        cut, last = np.searchsorted(at, [len(self.dense), self.rare])
+        total = weight[:cut] @ self.dense[at[:cut]] + self._added(self.starts[at[last:]], self.starts[at[last:] + 1], weight[last:])
+        word, at, weight = at[cut:last], at[cut:last] - len(self.dense), weight[cut:last]
         bound = total.reshape(self.blocks, BLOCK).max(axis=1) + (weight.astype(np.float32) @ self.most[at]) * (1 + 1e-5) + 1e-9
         seen, threshold = np.zeros(self.blocks, bool), -1.0
         for step in (4, 12, self.blocks):
@@ -159,16 +155,16 @@ class Index:
             wanted = np.flatnonzero(bound >= threshold)
             if not len(wanted):
                 break
-            wanted = np.sort(wanted[np.argsort(-bound[wanted], kind="stable")[:step]])
+            wanted = wanted[np.argsort(-bound[wanted], kind="stable")[:step]]
             if 2 * len(wanted) >= self.blocks:
-                # All stretches at once; those of blocks already seen are not added twice.
-                before = total.copy()
-                self._add(total, at, weight, wanted)
-                twice = np.repeat(seen, BLOCK)
-                total[twice] = before[twice]
+                # All stretches at once; the blocks already seen have theirs.
+                total += np.where(np.repeat(seen, BLOCK), 0.0, self._added(self.starts[word], self.starts[word + 1], weight))
                 seen[:] = True
             else:
-                self._add(total, at, weight, wanted)
+                cell = (at[:, None] * self.blocks + wanted).ravel()
+                begin, end = self.edges[cell], self.edges[cell + 1]
+                filled = np.flatnonzero(end > begin)
+                total += self._added(begin[filled], end[filled], np.repeat(weight, len(wanted))[filled])
                 seen[wanted] = True
             rows = np.flatnonzero(np.repeat(seen, BLOCK)[: len(self.ids)])
             if len(rows) >= K:
@@ -211,8 +207,8 @@ def _numbered(shared):
         for batch in batches:
             held = []
             for text in batch.column("text").to_pylist():
-                numbers = [known[w] for w in set(_WORDS(text.lower())) if w in known]
-                held.append(np.array(numbers, np.int32).tobytes())
+                numbers = np.array([known.get(w, -1) for w in set(words_of(text))], np.int32)
+                held.append(numbers[numbers >= 0].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "held"])
 
     return run
