@@ -49,6 +49,7 @@ K = 15
 SOFT = 0.02
 PRIOR = 1.0
 EVIDENCE = 3
+AT_A_TIME = 256  # texts that a task holds as objects
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -82,7 +83,8 @@ class Index:
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         by = np.argsort(term, kind="stable")
-        self.term, self.place = term[by].astype(np.int32), place[by].astype(np.int32)
+        self.starts = np.searchsorted(term[by], np.arange(len(words) + 1)).astype(np.int32)
+        self.place = place[by].astype(np.int32)
         self.weight = np.concatenate([vectors[i][1] for i in order])[by] if order else np.zeros(0)
         self._prepare()
 
@@ -91,14 +93,13 @@ class Index:
         as they are; of the words between, each (word, block) is one stretch and ``edges`` tells where."""
         self.known = {w: i for i, w in enumerate(self.words)}
         self.blocks = -(-len(self.ids) // BLOCK)
-        self.starts = np.searchsorted(self.term, np.arange(len(self.words) + 1)).astype(np.int32)
         held = np.diff(self.starts)
         some = min(DENSE, len(self.words))
         self.rare = max(some, int(np.searchsorted(-held, -RARE)))  # words stand by falling number of examples
         until, end = self.starts[some], self.starts[self.rare]
         self.dense = np.zeros((some, self.blocks * BLOCK))
-        self.dense[self.term[:until], self.place[:until]] = self.weight[:until]
-        cell = (self.term[until:end] - some) * self.blocks + self.place[until:end] // BLOCK
+        self.dense[np.repeat(np.arange(some), held[:some]), self.place[:until]] = self.weight[:until]
+        cell = np.repeat(np.arange(self.rare - some) * self.blocks, held[some : self.rare]) + self.place[until:end] // BLOCK
         size = np.bincount(cell, minlength=(self.rare - some) * self.blocks).astype(np.int32)
         self.edges = until + np.concatenate([[0], np.cumsum(size, dtype=np.int32)])
         self.most = np.zeros(len(size), np.float32)
@@ -112,7 +113,7 @@ class Index:
         self.memory: dict = {}
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("words", "weights", "unknown", "share", "kind", "ids", "labels", "term", "place", "weight")}
+        return {k: self.__dict__[k] for k in ("words", "weights", "unknown", "share", "kind", "ids", "labels", "starts", "place", "weight")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -186,9 +187,15 @@ class Index:
         return value, [self.ids[i] for i in rows[:EVIDENCE].tolist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_A_TIME):
+            yield batch.slice(first, AT_A_TIME)
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each text and how often it holds them."""
-    for batch in batches:
+    for batch in _slices(batches):
         bags = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -204,7 +211,7 @@ def _numbered(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(pickle.loads(shared.value))}
-        for batch in batches:
+        for batch in _slices(batches):
             held = []
             for text in batch.column("text").to_pylist():
                 numbers = np.array([known.get(w, -1) for w in set(words_of(text))], np.int32)
@@ -292,7 +299,7 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             each = [found.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -314,7 +321,7 @@ def drop_toxic(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield batch.filter(pa.array([found.score(t or "")[0] < 0.5 for t in texts], pa.bool_()))
 
