@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -207,7 +208,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(shared):
-    """The numbers of the known words that each text holds, as bytes of 32-bit numbers."""
+    """The numbers of the known words that each text holds, as compressed steps from one to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(pickle.loads(shared.value))}
@@ -215,7 +216,7 @@ def _numbered(shared):
             held = []
             for text in batch.column("text").to_pylist():
                 numbers = np.array([known.get(w, -1) for w in set(words_of(text))], np.int32)
-                held.append(numbers[numbers >= 0].tobytes())
+                held.append(zlib.compress(np.diff(np.sort(numbers[numbers >= 0]), prepend=np.int32(0)).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "held"])
 
     return run
@@ -226,16 +227,19 @@ def _presence(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((3, size + 1), np.int64)
-        for batch in batches:
-            held = batch.column("held").to_pylist()
+        for batch in _slices(batches):
+            held = [np.cumsum(np.frombuffer(zlib.decompress(h), np.int32)) for h in batch.column("held").to_pylist()]
             label = batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
-            number = np.frombuffer(b"".join(held), np.int32)
-            each = np.repeat(label, [len(h) // 4 for h in held])
-            for row, (of, whole) in enumerate(((number, label), (number[each == 1], label[label == 1]), (number[each == 0], label[label == 0]))):
-                counts[row] += np.bincount(of, minlength=size + 1)
-                counts[row, size] += len(whole)
+            for row, of in enumerate((label >= -1, label == 1, label == 0)):
+                some = [held[i] for i in np.flatnonzero(of).tolist()]
+                if some:
+                    number, n = np.unique(np.concatenate(some), return_counts=True)
+                    counts[row, number] += n
+                    counts[row, size] += len(some)
         at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *counts[:, at])], names=["number", "n", "toxic", "clean"])
+        for first in range(0, len(at), 10_000):
+            some = at[first : first + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some.astype(np.int32), *counts[:, some])], names=["number", "n", "toxic", "clean"])
 
     return run
 
@@ -277,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
         bags[i] = rank[at][by], times[by]
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(words))
     counted = rows.select("id", "text").mapInArrow(_numbered(shared), "id string, held binary").join(taught, "id", "left")
-    counted = counted.select("held", "label").mapInArrow(_presence(len(words)), "number long, n long, toxic long, clean long")
+    counted = counted.select("held", "label").mapInArrow(_presence(len(words)), "number int, n long, toxic long, clean long")
     counted = counted.groupBy("number").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     counts = np.zeros((3, len(words) + 1), np.int64)
     for row, name in enumerate(("n", "toxic", "clean")):
