@@ -10,8 +10,8 @@ from tabeval.session import settled
 BROADCAST_ROWS = 100_000
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with a table of statistics per key.
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """Inner (or left) join with a table of statistics per key.
 
     Spark estimates an aggregate by what it was computed from and would shuffle the large side. So
     the table is settled and counted: it is broadcast up to ``limit`` rows, and beyond that joined
@@ -19,4 +19,4 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], limit: int = BROADC
     """
     table = settled(table)
     small = table.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(table) if small else table, keys)
+    return df.join(F.broadcast(table) if small else table, keys, how)

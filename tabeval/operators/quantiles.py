@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabeval.operators.joins import lookup
 from tabeval.operators.ordered import running
+from tabeval.operators.sketches import quantile_at, rank_error
 from tabeval.session import settled
 
 ACCURACY = 2000
@@ -25,29 +26,36 @@ def _slot(value: Column, cuts: list[Column]) -> Column:
     """Place among the cuts, rising with the value: even between two cuts, odd exactly on one."""
     below, upto = F.lit(0), F.lit(0)
     for c in cuts:
-        below = below + (c < value).cast("int")
-        upto = upto + (c <= value).cast("int")
+        below = below + F.coalesce((c < value).cast("int"), F.lit(0))
+        upto = upto + F.coalesce((c <= value).cast("int"), F.lit(0))
     return below + upto
 
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probabilities: list[float], accuracy: int = ACCURACY,
-    margin: float | None = None,
+    margin: float | None = None, sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ``(keys, p, n, quantile)``; missing values are skipped, a group without values has no row.
 
     ``accuracy`` is that of the sketch, ``margin`` the half width of a bracket as a share of the group.
+    Merged sketches per ``keys`` from ``sketches.py`` (column ``sketch``, kept from earlier scans) save the scan
+    for the brackets; ``margin`` is then their rank error. Sketches that are out of date or missing cost time, not
+    the answer.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / accuracy if margin is None else margin
+    if margin is None:
+        margin = 2.0 / accuracy if sketches is None else 2.0 * rank_error()
     probabilities = [float(p) for p in probabilities]
     places = [min(max(p + s * margin, 0.0), 1.0) for p in probabilities for s in (-1, 1)]
-    sketch = data.groupBy(*keys).agg(F.percentile_approx("_v", places, accuracy).alias("_cuts"))
-    cut = lookup(data, sketch, keys) if keys else data.withColumn("_cuts", settled(sketch).scalar())
+    if sketches is None:
+        sketch = data.groupBy(*keys).agg(F.percentile_approx("_v", places, accuracy).alias("_cuts"))
+    else:
+        sketch = sketches.select(*keys, F.array(*[quantile_at("sketch", p) for p in places]).alias("_cuts"))
+    cut = lookup(data, sketch, keys, how="inner" if sketches is None else "left") if keys else data.withColumn("_cuts", settled(sketch).scalar())
     edges = [F.get("_cuts", F.lit(i)) for i in range(len(places))]
     inside = F.lit(False)
     for low, high in zip(edges[::2], edges[1::2]):
-        inside = inside | F.col("_v").between(low, high)
+        inside = inside | F.coalesce(F.col("_v").between(low, high), F.lit(False))
     slotted = cut.select(*keys, "_v", _slot(F.col("_v"), edges).alias("_slot"), inside.alias("_inside"))
     # Values outside the brackets are only counted; missing here stands for all of them in the slot.
     kept = F.when(F.col("_inside"), F.col("_v"))

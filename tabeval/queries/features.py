@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabeval.functions import json_array, present, standardise, unit_hash
-from tabeval.operators import prepare, split
+from tabeval.operators import prepare, sketches, split
 from tabeval.operators.joins import lookup
+from tabeval.operators.quantiles import exact_quantiles
 from tabeval.queries import frames as fr
 from tabeval.queries.registry import fix, query, r
+from tabeval.session import scratch_path, settled
 
 COLS = fr.FEATURE_COLUMNS
 _COLS = ", ".join(COLS)
@@ -109,6 +111,39 @@ def medians_large(spark, d):
     return fix(found.select("feature", "n", "median"), "median")
 
 
+_PARTS = [0.1, 0.5, 0.99]
+
+
+@query(
+    "c2_sketched_quantiles",
+    f"""WITH {fr.LARGE}, long AS (SELECT feature, value FROM (UNPIVOT large ON {', '.join(fr.LARGE_COLUMNS)} INTO NAME feature VALUE value))
+    SELECT feature, p, count(*)::bigint AS n, {r('quantile_cont(value, p)', 'quantile')}, true AS within
+    FROM long, (SELECT unnest({_PARTS}::double[]) AS p) GROUP BY feature, p""".replace(
+        "quantile_cont(value, p)",
+        "CASE p " + " ".join(f"WHEN {p} THEN quantile_cont(value, {p})" for p in _PARTS) + " END",
+    ),
+)
+def sketched_quantile_parts(spark, d):
+    """Sketches of every quarter's rows, stored, read again and merged. ``within`` tells whether the merged sketch's
+    quantile lies as close in rank as its error says; ``quantile`` is the exact one, bracketed by the same sketch."""
+    rows = fr.table(spark, d, "lineitem").select(F.trunc("l_shipdate", "quarter").alias("quarter"), "*")
+    rows = rows.select("quarter", *[F.col(c).alias(n) for c, n in fr.LARGE_SOURCES.items()])
+    path = scratch_path(spark, "sketches")
+    sketches.sketched(rows, ["quarter"], fr.LARGE_COLUMNS).write.parquet(path)
+    whole = settled(sketches.merged(spark.read.parquet(path), []))
+    told = settled(sketches.sketched_quantiles(whole, [], _PARTS))
+    long = prepare.long_features(rows, [], fr.LARGE_COLUMNS)
+    v, q = F.col("value"), F.col("quantile")
+    ranks = long.join(F.broadcast(told), "feature").filter(v.isNotNull()).groupBy("feature", "p").agg(
+        F.avg((v < q).cast("double")).alias("below"), F.avg((v <= q).cast("double")).alias("upto")
+    )
+    error = sketches.rank_error()
+    close = (F.col("below") <= F.col("p") + error) & (F.col("upto") >= F.col("p") - error)
+    exact = exact_quantiles(long, ["feature"], "value", _PARTS, sketches=whole)
+    found = exact.join(ranks.select("feature", "p", close.alias("within")), ["feature", "p"])
+    return fix(found.select("feature", "p", "n", "quantile", "within"), "quantile")
+
+
 @query("c3_fill_with_medians", f"WITH {fr.CLEAN}{FILLED} SELECT row_id, split, {_rounded()} FROM filled")
 def fill_with_medians(spark, d):
     rows = fr.features(spark, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tabeval.models import registry
 from tabeval.models.adaboost import AdaBoost
+from tabeval.models.boosting import boosting_history
 from tabeval.models.gaussian_nb import GaussianNB
 from tabeval.models.knn import KNearest, hashed_neighbours, nearest_neighbours
 from tabeval.models.rff_svm import FourierSVC
 from tabeval.models.staged import StagedPerceptron, phase_measures
-from tabeval.operators import metrics, prepare, results
+from tabeval.operators import metrics, prepare, results, training_log
 from tabeval.operators.ordered import running
 from tabeval.operators.search import SEARCH_SPACE
 from tabeval.plans import evaluate as ev
@@ -111,6 +113,47 @@ _scores("AdaBoost", lambda t: AdaBoost())
 _scores("Neural Network", lambda t: registry.classic_models(t.count(), WIDTH)["Neural Network"])
 _scores("Basic MLP", lambda t: registry.perceptron(WIDTH, [256, 128, 64]))
 
+_ROUNDS = 20
+
+
+@query(
+    "m3_boosting_history",
+    f"""WITH {fr.VECTORS} SELECT 'Gradient Boosting' AS model, epoch::int AS epoch, split AS phase, count(*)::bigint AS n,
+      true AS loss_agrees, true AS ends_as_model, true AS stop_agrees
+    FROM vectors, (SELECT unnest(range(1, {_ROUNDS + 1})) AS epoch) GROUP BY epoch, split""",
+)
+def boosting_rounds(spark, d):
+    """Losses and areas after every round: the loss against the one Spark's own model tells for each of its rounds, the
+    last round's area against the whole model's, the rule of early stopping against a loop over the losses."""
+    rows = _scaled(spark, d).persist()
+    model = registry.gradient_boosting(_ROUNDS).fit(rows.filter("split = 'train'"))
+    history = settled(boosting_history(model, rows, "Gradient Boosting"))
+    own, ends = [], []
+    for part in ("train", "test"):
+        some = rows.filter(F.col("split") == part)
+        own += [(part, i + 1, v / 2) for i, v in enumerate(model.evaluateEachIteration(some))]
+        whole = metrics.classification_metrics(registry.predictions(model, some, "m", "f"), ["model"]).first()
+        ends.append((part, whole["auc"], 100 * whole["accuracy"]))
+    rows.unpersist()
+    stopped = training_log.early_stopping(history, 3, "test").first()
+    best, at, stop = math.inf, 0, None
+    for part, epoch, loss in own:
+        if part == "test" and stop is None:
+            best, at = (loss, epoch) if loss < best else (best, at)
+            stop = epoch if epoch - at >= 3 else None
+    right = (stopped["stop_epoch"], stopped["best_epoch"]) == (stop, at)
+    last = F.col("epoch") == _ROUNDS
+    as_model = (F.abs(F.col("auc") - F.col("whole_auc")) < 1e-9) & (F.abs(F.col("accuracy_pct") - F.col("whole_accuracy")) < 1e-9)
+    return (
+        history.join(spark.createDataFrame(own, "phase string, epoch int, own double"), ["phase", "epoch"])
+        .join(spark.createDataFrame(ends, "phase string, whole_auc double, whole_accuracy double"), "phase")
+        .select(
+            "model", "epoch", "phase", "n", (F.abs(F.col("loss") - F.col("own")) < 1e-9).alias("loss_agrees"),
+            (~last | as_model).alias("ends_as_model"), F.lit(right).alias("stop_agrees"),
+        )
+    )
+
+
 _NEAR = f"""WITH {fr.VECTORS}, pairs AS (
   SELECT q.row_id AS query, t.row_id AS neighbour, t.label,
     list_sum([(q.x[i] - t.x[i]) * (q.x[i] - t.x[i]) for i in range(1, {WIDTH + 1})]) AS d2

@@ -14,6 +14,7 @@ from tabeval.sources.readers import table
 FEATURE_COLUMNS = ["f_value", "f_hour", "f_day", "f_k", "f_const", "f_dirty"]
 LARGE_COLUMNS = ["f_quantity", "f_price", "f_discount", "f_tax"]
 TRADITIONAL, NEURAL = "Traditional ML", "Deep Learning"
+LARGE_SOURCES = {"l_quantity": "f_quantity", "l_extendedprice": "f_price", "l_discount": "f_discount", "l_tax": "f_tax"}
 WIDTH = 64
 
 

@@ -25,7 +25,10 @@ e AS (SELECT unnest(size) AS size, unnest(range(0, len(size))) AS ke, len(size)
 grid AS (SELECT (((ka * nb + kb) * nc + kc) * ne + ke)::bigint AS grid_id, kind, hour, rate, size FROM a, b, c, e)"""
 
 
-def _grid(spark, d):
+_AXES = ["kind", "hour", "rate", "size"]
+
+
+def _axes(spark, d):
     def axis(name, column, alias):
         return fr.table(spark, d, name).select(column.alias(alias)).distinct().agg(
             F.sort_array(F.collect_set(alias)).alias(alias)
@@ -37,8 +40,11 @@ def _grid(spark, d):
         "rate": axis("lineitem", F.col("l_discount"), "rate"),
         "size": axis("part", F.col("p_size"), "size"),
     }
-    axes = spark.range(1).select(*[p.scalar().alias(n) for n, p in parts.items()])
-    return search.grid(axes, list(parts))
+    return spark.range(1).select(*[parts[n].scalar().alias(n) for n in _AXES])
+
+
+def _grid(spark, d):
+    return search.grid(_axes(spark, d), _AXES)
 
 
 @query("j4_search_grid", f"WITH {GRID} SELECT * FROM grid")
@@ -63,6 +69,30 @@ def renumbered_subset(spark, d):
     return search.choose(_grid(spark, d), "grid_id", 100).select("grid_id", "combination_id")
 
 
+def _drawn_sql(n: int, seed: int = 42) -> str:
+    """The permutation of ``search.draw`` over all places, the numbers of the grid in its order."""
+    steps, last = [], "digits"
+    for turn in range(2 * search.ROUNDS):
+        moved, other, size = ("i", "j", "high") if turn % 2 == 0 else ("j", "i", "low")
+        key = f"('0x' || substr(md5('{seed}-{turn}-' || {other}), 1, 15))::bigint"
+        steps.append(f"t{turn} AS (SELECT * REPLACE (({moved} + {key}) % {size} AS {moved}) FROM {last})")
+        last = f"t{turn}"
+    return f"""size AS (SELECT n, ceil(sqrt(n))::bigint AS high FROM (SELECT count(*)::bigint AS n FROM grid)),
+sides AS (SELECT n, high, ((n + high - 1) // high)::bigint AS low FROM size),
+digits AS (SELECT n, high, low, place, (place // low)::bigint AS i, (place % low)::bigint AS j
+  FROM (SELECT n, high, low, unnest(range(0, high * low)) AS place FROM sides)),
+{", ".join(steps)},
+drawn AS (SELECT i * low + j AS grid_id, (row_number() OVER (ORDER BY place) - 1)::bigint AS combination_id
+  FROM {last} WHERE i * low + j < n)
+SELECT combination_id, grid_id, kind, hour, rate, size FROM drawn JOIN grid USING (grid_id) WHERE combination_id < {n}"""
+
+
+@query("x2_drawn_combinations", f"WITH {GRID}, {_drawn_sql(1000)}")
+def drawn_combinations(spark, d):
+    """A thousand combinations of the same axes by their numbers alone; no other combination is made."""
+    return search.draw(_axes(spark, d), _AXES, 1000)
+
+
 @query("p14_empty_runs", R + "SELECT combination_id, layer_sizes, num_layers, total_params, auc FROM runs WHERE auc > 1")
 def empty_runs(spark, d):
     """No run succeeded: the analysis goes on with an empty table that has all columns."""

@@ -424,3 +424,31 @@ def test_training_rows_without_a_key_have_their_votes(spark):
     df = spark.createDataFrame(rows, "row_id long, label int, x array<double>").withColumn("features", array_to_vector("x"))
     scored = KNearest(k=3).fit(df).transform(spark.createDataFrame([(1, [0.0, 0.1])], "row_id long, x array<double>").withColumn("features", array_to_vector("x")))
     assert scored.first()["score"] == pytest.approx(2 / 3)
+
+
+def test_boosting_history_is_that_of_its_rounds(spark):
+    from tabeval.models.boosting import boosting_history
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + rng.normal(size=400) > 0).astype(int)
+    parts = ["val" if i % 4 == 0 else "train" for i in range(400)]
+    rows = spark.createDataFrame(
+        [(p, int(t), [float(v) for v in a]) for p, t, a in zip(parts, y, x)], "split string, label int, x array<double>"
+    ).select("split", "label", array_to_vector("x").alias("features"))
+    model = registry.gradient_boosting(6).fit(rows.filter("split = 'train'"))
+    history = boosting_history(model, rows, "m").collect()
+    assert {(r["epoch"], r["phase"]) for r in history} == {(e, p) for e in range(1, 7) for p in ("train", "val")}
+    trees = model.trees
+    for part in ("train", "val"):
+        some = rows.filter(F.col("split") == part).collect()
+        margin = np.zeros(len(some))
+        truth = np.array([r["label"] for r in some])
+        for e in range(6):
+            margin += model.treeWeights[e] * np.array([trees[e].predict(r["features"]) for r in some])
+            p = 1 / (1 + np.exp(-2 * margin))
+            told = next(r for r in history if r["epoch"] == e + 1 and r["phase"] == part)
+            assert told["loss"] == pytest.approx(-np.mean(np.where(truth == 1, np.log(p), np.log(1 - p))))
+            assert told["accuracy_pct"] == pytest.approx(100 * np.mean((margin > 0) == truth)) and told["n"] == len(some)
+            gap = margin[truth == 1][:, None] - margin[truth == 0][None, :]
+            assert told["auc"] == pytest.approx(np.mean((gap > 1e-12) + 0.5 * (abs(gap) <= 1e-12)), abs=1e-6)

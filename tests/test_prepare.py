@@ -131,3 +131,42 @@ def test_batches_have_full_size_but_the_last(spark):
     df = spark.range(130).select(F.lit("a").alias("k"), F.col("id").alias("row_id"))
     sizes = {r["batch"]: r["count"] for r in split.shuffled_batches(df, ["k"], "row_id", 32, ranges=5).groupBy("batch").count().collect()}
     assert sizes == {0: 32, 1: 32, 2: 32, 3: 32, 4: 2}
+
+
+def test_merged_sketches_answer_like_one(spark):
+    from tabeval.operators import sketches
+
+    rows = spark.range(60_000).select(
+        (F.col("id") % 7).alias("part"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("k"),
+        F.when(F.col("id") % 11 == 0, NAN).otherwise((F.col("id") * 7919 % 60_013).cast("double")).alias("v"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    parts = sketches.sketched(rows, ["part", "k"], ["v", "none"])
+    assert {r["feature"] for r in parts.collect()} == {"v"}
+    whole = sketches.merged(parts, ["k"])
+    values = {k: np.sort([r["v"] for r in rows.filter((F.col("k") == k) & ~F.isnan("v")).collect()]) for k in ("hot", "cold")}
+    told = sketches.sketched_quantiles(whole, ["k"], [0.0, 0.25, 0.5, 0.999, 1.0]).collect()
+    assert len(told) == 10
+    for r in told:
+        v = values[r["k"]]
+        assert r["n"] == len(v)
+        assert abs(np.searchsorted(v, r["quantile"]) / len(v) - r["p"]) <= sketches.rank_error() + 1 / len(v)
+    for r in sketches.sketched_shares(whole, ["k"], [30_000.0]).collect():
+        v = values[r["k"]]
+        assert abs(np.searchsorted(v, 30_000.0, "right") / len(v) - r["share"]) <= sketches.rank_error()
+
+
+@pytest.mark.parametrize("upto", [20_000, 1_000])
+def test_stored_sketches_bracket_exact_quantiles(spark, upto):
+    """Also where the sketches know a part of the rows only, and not every group."""
+    from tabeval.operators import sketches
+    from tabeval.operators.quantiles import exact_quantiles
+
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") >= 19_000, "new").otherwise("old").alias("k"), (F.col("id") * 31 % 20_011).cast("double").alias("v")
+    )
+    kept = sketches.merged(sketches.sketched(rows.filter((F.col("v") < upto) & (F.col("k") == "old")), ["k"], ["v"]), ["k"])
+    got = {(r["k"], r["p"]): r["quantile"] for r in exact_quantiles(rows, ["k"], "v", [0.1, 0.5], sketches=kept).collect()}
+    for k in ("old", "new"):
+        values = [r["v"] for r in rows.filter(F.col("k") == k).collect()]
+        assert [got[k, p] for p in (0.1, 0.5)] == pytest.approx([np.quantile(values, p) for p in (0.1, 0.5)])

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabeval.operators import results, search, training_log
 from tabeval.schema import METRICS
@@ -144,3 +145,34 @@ def test_whole_search_space(spark):
 def test_epoch_axis(spark):
     df = spark.createDataFrame([(1, 3), (2, 0), (3, None)], "combination_id int, epochs_trained int")
     assert [r["epoch"] for r in training_log.epoch_axis(df).collect()] == [1, 2, 3]
+
+
+def test_drawn_combinations_are_distinct_and_reproducible(spark):
+    axes = spark.range(1).select(*[F.sequence(F.lit(0), F.lit(999)).alias(c) for c in "abcd"])
+    names = list("abcd")
+    drawn = search.draw(axes, names, 500).collect()
+    assert [r["combination_id"] for r in sorted(drawn)] == list(range(500))
+    assert len({r["grid_id"] for r in drawn}) == 500
+    for r in drawn:
+        assert r["grid_id"] == ((r["a"] * 1000 + r["b"]) * 1000 + r["c"]) * 1000 + r["d"]
+    assert sorted(search.draw(axes, names, 500).collect()) == sorted(drawn)
+    assert sorted(search.draw(axes, names, 20).collect()) == sorted(drawn)[:20]
+    assert {r["grid_id"] for r in search.draw(axes, names, 500, seed=7).collect()} != {r["grid_id"] for r in drawn}
+    # Every axis value is about equally likely: the means of 500 uniform draws from 0..999.
+    assert all(abs(sum(r[c] for r in drawn) / 500 - 499.5) < 60 for c in names)
+
+
+@pytest.mark.parametrize("sizes", [(1,), (7,), (3, 5), (13, 1, 2), (2, 0), (11, 11)])
+def test_a_draw_of_all_is_the_grid(spark, sizes):
+    names = [f"a{i}" for i in range(len(sizes))]
+    axes = spark.range(1).select(*[F.slice(F.sequence(F.lit(1), F.lit(20)), 1, n).alias(a) for a, n in zip(names, sizes)])
+    want = {tuple(r) for r in search.grid(axes, names).collect()}
+    got = search.draw(axes, names, 1000).collect()
+    assert {tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    assert sorted(r["combination_id"] for r in got) == list(range(len(want)))
+
+
+def test_a_draw_needs_exact_numbers(spark):
+    axes = spark.range(1).select(*[F.sequence(F.lit(1), F.lit(10_000)).alias(c) for c in "abcde"])
+    with pytest.raises(ValueError):
+        search.draw(axes, list("abcde"), 5)
