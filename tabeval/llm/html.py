@@ -6,7 +6,10 @@ are the terminal capacities. Neighbouring blocks and blocks that share a parent
 smoothness edges that weaken with their distance in the tree. Maximum flow finds the labelling of
 least cost, and the blocks on the content side are the text.
 
-Text in script, style and similar elements, in comments and in the head is never a block. Character
+Text in script, style and similar elements, in comments and in the head is never a block, nor are the labels of
+buttons and the text of object and canvas, which stands in only where those cannot be shown. The head ends with
+its end tag or with the first text or element that cannot stand in it. What a path says is held between -3000 and
+3000, so that no depth of nesting outweighs every edge. Character
 references are decoded; white space (space, tab, line feed, vertical tab, form feed, carriage return) inside
 a block becomes one space. A missing or empty page has an empty text. Unclosed and stray tags are
 taken as they come.
@@ -27,7 +30,8 @@ from tabeval.llm.maxflow import source_side
 
 #: Fixed values of the markup language: elements without content, without shown text, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style noscript template iframe svg canvas object select option textarea button datalist math".split())
+HIDDEN = frozenset("head title script style noscript template iframe svg canvas object select option textarea button datalist annotation annotation-xml".split())
+IN_HEAD = frozenset("title script style noscript template link meta base".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -40,7 +44,7 @@ SCOPES = frozenset("ul ol dl table tbody div section article aside nav header fo
 BIAS = -60
 ELEMENTS = {
     "article": 420, "main": 300, "p": 90, "h1": 60, "h2": 40, "h3": 40, "blockquote": 60, "pre": 60, "figcaption": 30,
-    "nav": -1000, "footer": -900, "aside": -900, "form": -900, "menu": -1000, "dialog": -900, "header": -260, "li": -40, "search": -900,
+    "nav": -1000, "footer": -900, "aside": -900, "form": -900, "menu": -1000, "dialog": -900, "header": -260, "li": 60, "search": -900,
 }
 NAMES = {
     "article": 200, "content": 150, "post": 100, "entry": 100, "story": 150, "main": 120, "body": 40, "text": 40,
@@ -53,6 +57,8 @@ NAMES = {
     "copyright": -900, "legal": -700, "disclaimer": -600, "toolbar": -800, "pagination": -900, "pager": -900, "tags": -500,
     "complementary": -900, "contentinfo": -900, "search": -800, "feedback": -800, "paywall": -900, "gdpr": -900,
 }
+#: Names that say something as a whole word only, not as a part of one: "side-by-side" is no side bar.
+WHOLE = frozenset(["side"])
 LINKED = -450  # times the share of the text that stands in links
 LENGTH = ((25, 60), (60, 60), (160, 80))  # from so many characters on
 SENTENCE = 50  # ends like a sentence
@@ -63,6 +69,16 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _NAME = re.compile(r"[A-Za-z]+")
 
 
+def _said(names: str) -> int:
+    """What the words of a class, id, role or label say: a word that is a known name by that name, else the known
+    names it is put together from, each once."""
+    said = 0
+    for word in names.lower().split():
+        parts = [word] if word in NAMES else set(_NAME.findall(word)) - WHOLE
+        said += sum(NAMES.get(x, 0) for x in parts)
+    return said
+
+
 @dataclass
 class Block:
     text: str
@@ -105,10 +121,17 @@ class _Page(HTMLParser):
             elif self.stack[i][0] in SCOPES:
                 break
 
+    def _leave_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
+            self._leave_head()
             self.parts.append(" ")
             return
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in BLOCKS:
             self._flush()
         if tag == "body":
@@ -120,7 +143,7 @@ class _Page(HTMLParser):
         said = ELEMENTS.get(tag, 0)
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label"))
         if names and tag not in ("body", "html"):
-            said += sum(NAMES.get(x.lower(), 0) for x in _NAME.findall(names))
+            said += _said(names)
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
             said -= 900
         self.count += 1
@@ -146,6 +169,8 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if _SPACE.sub("", data):
+            self._leave_head()
         if not self.hidden:
             self.parts.append(data)
             if self.stack and self.stack[-1][3]:

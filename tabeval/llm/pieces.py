@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays
@@ -380,8 +380,14 @@ class Pieces:
 
 def encode(
     df: DataFrame, ident: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = SEED, rate: float = RATE,
+    apart: bool = False,
 ) -> DataFrame:
-    """Per row: id, ids, n_tokens, and whether decoding the ids gives the text back byte by byte."""
+    """Per row: id, ids, n_tokens, and whether decoding the ids gives the text back byte by byte.
+
+    Skips are drawn by the row's id. With ``apart`` an id may come many times, as a document's pieces and their
+    repeats in a mix: skips are drawn by id, text and number among the rows equal in both, so that repeats
+    differ and a rerun gives the same rows.
+    """
     pieces = Pieces.load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +407,13 @@ def encode(
                     names=["id", "ids", "n_tokens", "lossless"],
                 )
 
-    rows = df.select(F.col(ident).alias("id"), F.xxhash64(F.col(ident)).alias("key"), text_of(text).alias("text"))
+    if apart:
+        rows = df.select(F.col(ident).alias("id"), text_of(text).alias("text")).withColumn("_text", F.md5(F.col("text").cast("binary")))
+        equal = Window.partitionBy("id", "_text").orderBy("_text")
+        key = F.xxhash64("id", "_text", F.row_number().over(equal))
+        rows = rows.select("id", key.alias("key"), "text")
+    else:
+        rows = df.select(F.col(ident).alias("id"), F.xxhash64(F.col(ident)).alias("key"), text_of(text).alias("text"))
     kind = df.schema[ident].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens int, lossless boolean")
 

@@ -35,6 +35,34 @@ def test_pages_without_an_article_element():
     assert html.main_text(page) == ("A long sentence of the main text. " * 5).strip()
 
 
+def test_head_without_end():
+    said = "A sentence of the text stands here for a while."
+    for begin in ("<head><title>T</title>", "<html><head><meta charset=x><style>p{}</style>", "<head>", "<title>T</title>"):
+        assert html.main_text(f"{begin}<article><p>{said}</p></article>") == said
+        assert html.main_text(f"{begin}\n<br>{said}") == html.main_text(f"<body>{said}") == said
+    assert html.main_text("<head><noscript><p>No script here.</p></noscript><title>T</title></head><p>" + said) == said
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<article><p>Mass is <math><mi>E</mi><annotation>E tex</annotation></math> over c squared.</p></article>"
+    assert html.main_text(page) == "Mass is E over c squared."
+
+
+def test_names_are_read_as_whole_words_first():
+    said = "The two pictures are shown here next to each other."
+    assert html.main_text(f'<article><div class="post side-by-side"><p>{said}</p></div></article>') == said
+    assert html.main_text(f'<article><p>{said}</p></article><div class="side"><p>Else.</p></div><div id="left-sidebar">Else</div>') == said
+    assert html._said("site-nav nav-nav") == 2 * html.NAMES["nav"] and html._said("Side") == html.NAMES["side"]
+
+
+def test_lists_go_with_what_stands_around_them():
+    assert html.main_text("<body><h1>Shopping</h1><p>We need these things for the evening.</p><ul><li>Tea<li>Milk</ul>") == (
+        "Shopping\nWe need these things for the evening.\nTea\nMilk"
+    )
+    page = "<body><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><p>We need these things for the evening.</p>"
+    assert html.main_text(page) == "We need these things for the evening."
+
+
 def test_odd_pages():
     for page in (None, "", "   ", "<", "<p", "<!-- open", "</div></p>", "<script>x"):
         assert html.main_text(page) == ""

@@ -107,6 +107,21 @@ def test_frames(spark):
     assert pieces.encode(nothing(spark)).count() == 0
 
 
+def test_repeats_are_segmented_anew(spark):
+    text = " ".join(prose(random.Random(8), 60))
+    rows = [(1, text), (1, text), (1, text + " end"), (2, text), (None, text), (None, text), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pieces.encode(df, apart=True)
+    assert found.filter("not lossless").count() == 0
+    want = sorted(((i, t or "") for i, t in rows), key=repr)
+    assert pairs(pieces.decode(found), "id", "text") == want
+    assert pairs(found, "id", "ids") == pairs(pieces.encode(df.repartition(4), apart=True), "id", "ids")
+    told = [tuple(r.ids) for r in found.collect() if len(r.ids)]
+    assert len(told) == 6 and len(set(told)) == 6
+    assert len({tuple(r.ids) for r in pieces.encode(df.filter("doc_id = 1"), rate=0.0, apart=True).collect()}) == 2
+    assert pieces.encode(nothing(spark), apart=True).count() == 0
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     found = mixing.targets([10, 1000, 0], [3, 1, 2])
