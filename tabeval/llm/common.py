@@ -11,6 +11,7 @@ from tabeval.session import scratch_path
 SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
 
 SMALL_ROWS = 20_000
+HOT_ROWS = 200_000  # rows of one key that may meet in one task
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,3 +37,18 @@ def without(df: DataFrame, gone: DataFrame, keys: list[str], limit: int = SMALL_
     small = gone.limit(limit + 1).count() <= limit
     pairs = [df[k].eqNullSafe(gone[k]) for k in keys]
     return df.join(F.broadcast(gone) if small else gone, pairs, "left_anti")
+
+
+def met(rows: DataFrame, one: DataFrame, key: str, count: str, hot: int = HOT_ROWS, limit: int = SMALL_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has one row a key and says in ``count`` how many rows the key has.
+
+    Keys with more than ``hot`` rows, or more than a ``limit``-th of all, do not go to one task: as there are fewer
+    than ``limit`` of them, they are broadcast and their rows stay where they are. The others meet by a shuffle.
+    """
+    total = one.agg(F.sum(count).alias("n")).first()["n"] or 0
+    many = F.col(count) > max(hot, total // limit)
+    if total <= hot:
+        return rows.join(one.drop(count), key)
+    often = F.broadcast(one.filter(many).drop(count))
+    seldom = rows.join(F.broadcast(one.filter(many).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(seldom.join(one.filter(~many).drop(count), key))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.llm import bloom
-from tabeval.llm.common import SPACE_CHARACTERS, text_of, written
+from tabeval.llm.common import SPACE_CHARACTERS, met, text_of, written
 
 
 def text_key(text: str = "text") -> Column:
@@ -49,7 +49,7 @@ def duplicate_groups(df: DataFrame, ident: str = "doc_id", text: str = "text", m
         ),
         "groups",
     )
-    grouped = repeats.join(groups, "text_sha256").select(
+    grouped = met(repeats, groups.withColumn("n_rows", F.col("group_size")), "text_sha256", "n_rows").select(
         "doc_id", F.col("best.i").alias("keep_id"), "group_size",
         _rank(F.col("length"), F.col("doc_id")).eqNullSafe(F.col("best")).alias("kept"), "text_sha256",
     )

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays, bloom
-from tabeval.llm.common import text_of, without, written
+from tabeval.llm.common import met, text_of, without, written
 from tabeval.llm.components import components
 
 SHINGLE = 5
@@ -392,16 +392,19 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", pe
     rows = written(describe(df, ident, text), "rows")
     first = F.struct(F.isnull("id").alias("m"), F.col("id").alias("i"))
     classes = written(
-        rows.filter("n_shingles > 0").groupBy("class").agg(F.min(first).alias("first"), F.first("signature").alias("signature")),
+        rows.filter("n_shingles > 0").groupBy("class").agg(
+            F.min(first).alias("first"), F.first("signature").alias("signature"), F.count("*").alias("n_rows")
+        ),
         "classes",
     )
     pairs = written(candidates(classes, percent), "pairs")
     member = linked_components(pairs, df.select(text_of(text).alias("text")), percent)
-    named = classes.select(F.col("class").alias("node"), "first").join(member, "node", "left")
+    named = classes.select(F.col("class").alias("node"), "first", "n_rows").join(member, "node", "left")
     named = written(named.withColumn("component", F.coalesce("component", "node")), "members")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    component = written(named.join(least, "component").select(F.col("node").alias("class"), F.col("least.i").alias("component_id")), "components")
-    linked = rows.filter("n_shingles > 0").drop("signature").join(component, "class")
+    found = named.join(least, "component")
+    component = written(found.select(F.col("node").alias("class"), F.col("least.i").alias("component_id"), "n_rows"), "components")
+    linked = met(rows.filter("n_shingles > 0").drop("signature"), component, "class", "n_rows")
     alone = rows.filter("n_shingles = 0").drop("signature").withColumn("component_id", F.col("id"))
     return linked.unionByName(alone).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id",

@@ -3,8 +3,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabeval.llm import bloom, exact, near
+from tabeval.llm.common import met
 from tabeval.llm.components import components
 from tests.llm.tables import awkward, nothing, pairs, prose
 
@@ -99,6 +101,16 @@ def brute_force(rows, percent=85):
     return [(i, len(s), None if least[root(k)][0] else least[root(k)][1]) for k, (i, s) in enumerate(sets)]
 
 
+def test_hot_keys_meet_their_row_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 10}") for i in range(300)] + [(-1, None)], "id long, k string")
+    one = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    want = pairs(rows.join(one.drop("n"), "k"), "k", "id", "least")
+    for hot, limit in ((1000, 20), (50, 20), (5, 20), (0, 1), (0, 10**6)):
+        found = met(rows, one, "k", "n", hot, limit)
+        assert found.columns == ["k", "id", "least"] and pairs(found, "k", "id", "least") == want
+    assert met(rows.limit(0), one.limit(0), "k", "n").count() == 0
+
+
 def test_near_matches_brute_force(spark):
     df = awkward(spark, ["ONE two", "x y z q", "x y z q r s t u v w"])
     rows = [(r.doc_id, r.text) for r in df.collect()]
