@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays
-from tabeval.llm.common import text_of
+from tabeval.llm.common import text_of, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20_240_601
 RATE = 0.1
 REMEMBERED = 300_000
+MARKED = 200_000  # skips met once
 LONGEST_REMEMBERED = 40  # characters
 AT_A_TIME = 8_192  # segments that are encoded together
 
@@ -60,7 +61,8 @@ class _Agendas:
 
     def __init__(self):
         self.first: dict[str, int] = {}  # of a segment, its entry without skips
-        self.next: dict[int, int] = {}  # of entry and merge number, the entry that skips it too; -1 when met once
+        self.next: dict[int, int] = {}  # of entry and merge number, the entry that skips it too
+        self.once: set[int] = set()  # entries and merge numbers met once, forgotten when they are many
         self.ids: list[bytes] = []
         self.origin: list[tuple[str, tuple, int]] = []  # segment, skips, merges before the last skip
         self.crc, self.start, self.count = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -84,10 +86,13 @@ class _Agendas:
         """The entry that skips merge k too; -1 when it is met for the first time, as most are rare."""
         key = entry << 8 | k
         found = self.next.get(key)
-        if found is None:
-            self.next[key] = -1
+        if found is None and key not in self.once:
+            if len(self.once) >= MARKED:
+                self.once.clear()
+            self.once.add(key)
             return -1
-        if found < 0:
+        if found is None:
+            self.once.remove(key)
             segment, skips, before = self.origin[entry]
             skips, trace = (*skips, int(self.merges[self.start[entry] + k])), []
             ids = np.array(pieces.encode_segment(segment, skips=skips, trace=trace), np.int32).tobytes()
@@ -411,7 +416,8 @@ def encode(
         rows = df.select(F.col(ident).alias("id"), text_of(text).alias("text")).withColumn("_text", F.md5(F.col("text").cast("binary")))
         equal = Window.partitionBy("id", "_text").orderBy("_text")
         key = F.xxhash64("id", "_text", F.row_number().over(equal))
-        rows = rows.select("id", key.alias("key"), "text")
+        # Written, so that the sort and the encoder do not need their memory at the same time.
+        rows = written(rows.select("id", key.alias("key"), "text"), "keyed")
     else:
         rows = df.select(F.col(ident).alias("id"), F.xxhash64(F.col(ident)).alias("key"), text_of(text).alias("text"))
     kind = df.schema[ident].dataType.simpleString()

@@ -122,6 +122,16 @@ def test_repeats_are_segmented_anew(spark):
     assert pieces.encode(nothing(spark), apart=True).count() == 0
 
 
+def test_forgetting_changes_no_result(monkeypatch):
+    texts = [" ".join(prose(random.Random(i), 80)) for i in range(12)]
+    want = [x.tolist() for x in pieces.Pieces.load().encode_texts(texts, list(range(12)))]
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    monkeypatch.setattr(pieces, "MARKED", 3)
+    model = pieces.Pieces.load()
+    model.memory.pop("agendas", None)
+    assert [model.encode(t, i).tolist() for i, t in enumerate(texts)] == want
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     found = mixing.targets([10, 1000, 0], [3, 1, 2])
