@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,13 @@ def met(rows: DataFrame, one: DataFrame, key: str, count: str, hot: int = HOT_RO
     often = F.broadcast(one.filter(many).drop(count))
     seldom = rows.join(F.broadcast(one.filter(many).select(key)), key, "left_anti")
     return rows.join(often, key).unionByName(seldom.join(one.filter(~many).drop(count), key))
+
+
+def lean() -> None:
+    """Gives back what earlier tasks of this Python worker have freed; Spark hands workers on from stage to stage,
+    and their allocators keep freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)

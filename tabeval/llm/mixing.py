@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays
-from tabeval.llm.common import text_of, written
+from tabeval.llm.common import lean, text_of, written
 from tabeval.operators.ordered import running
 
 BLOCK = 256
@@ -194,6 +194,7 @@ def _pieces(block: int, text: str, length: str | None):
     """Cuts rows at the edges of blocks; a row's pieces, put together, are its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             rows = batch.column("row")
             names = [f.name for f in rows.type]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays
-from tabeval.llm.common import text_of, written
+from tabeval.llm.common import lean, text_of, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20_240_601
@@ -396,6 +396,7 @@ def encode(
     pieces = Pieces.load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("key").to_pylist()
             for first in range(0, batch.num_rows, 256):
