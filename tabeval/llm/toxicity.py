@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from tabeval.llm.common import text_of, written
+from tabeval.llm.common import lean, text_of, written
 
 MOST_EXAMPLES = 4_096
 CUE = 100.0
@@ -211,6 +211,7 @@ def _numbered(shared):
     """The numbers of the known words that each text holds, as compressed steps from one to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known = {w: i for i, w in enumerate(pickle.loads(shared.value))}
         for batch in _slices(batches):
             held = []
@@ -226,6 +227,7 @@ def _presence(size: int):
     """Per partition and word: the texts that hold it, and those of either label. Number ``size`` counts all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         counts = np.zeros((3, size + 1), np.int64)
         for batch in _slices(batches):
             held = [np.cumsum(np.frombuffer(zlib.decompress(h), np.int32)) for h in batch.column("held").to_pylist()]
@@ -302,6 +304,7 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
     shared, evidence = _shared(df, index), pa.list_(to_arrow_type(index.kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         found = pickle.loads(shared.value)
         for batch in _slices(batches):
             each = [found.score(t) for t in batch.column("text").to_pylist()]
@@ -324,6 +327,7 @@ def drop_toxic(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
     shared = _shared(df, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         found = pickle.loads(shared.value)
         for batch in _slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
