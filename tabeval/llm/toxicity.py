@@ -219,6 +219,8 @@ def _numbered(shared):
                 numbers = np.array([known.get(w, -1) for w in set(words_of(text))], np.int32)
                 held.append(zlib.compress(np.diff(np.sort(numbers[numbers >= 0]), prepend=np.int32(0)).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "held"])
+        del known
+        lean()
 
     return run
 
@@ -296,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
 
 def _shared(df: DataFrame, index: Index):
     """The index with its code, so that executors need no copy of the package."""
-    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+    return df.sparkSession.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(index), 1))
 
 
 def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,7 +307,7 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        found = pickle.loads(shared.value)
+        found = pickle.loads(zlib.decompress(shared.value))
         for batch in _slices(batches):
             each = [found.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -315,6 +317,8 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
                 ],
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],
             )
+        del found
+        lean()  # the worker waits for its next task without the index
 
     apart = F.coalesce(held_out(F.col(ident)), F.lit(False)).alias("held_out")
     rows = df.select(F.col(ident).alias("id"), apart, text_of(text).alias("text"))
@@ -328,9 +332,11 @@ def drop_toxic(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        found = pickle.loads(shared.value)
+        found = pickle.loads(zlib.decompress(shared.value))
         for batch in _slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield batch.filter(pa.array([found.score(t or "")[0] < 0.5 for t in texts], pa.bool_()))
+        del found
+        lean()
 
     return df.mapInArrow(run, df.schema)
