@@ -452,3 +452,16 @@ def test_boosting_history_is_that_of_its_rounds(spark):
             assert told["accuracy_pct"] == pytest.approx(100 * np.mean((margin > 0) == truth)) and told["n"] == len(some)
             gap = margin[truth == 1][:, None] - margin[truth == 0][None, :]
             assert told["auc"] == pytest.approx(np.mean((gap > 1e-12) + 0.5 * (abs(gap) <= 1e-12)), abs=1e-6)
+
+
+def test_crowded_buckets_are_searched_in_blocks(spark):
+    """Two buckets a table hold all rows: each side is cut into blocks, copies count once, distances are exact."""
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    df = table(spark, x, [0] * len(x))
+    df = df.unionByName(df.filter("row_id < 100"))
+    queries = df.filter("row_id % 4 = 0")
+    rows = hashed_neighbours(df, queries, 5, bucket=1e6, tables=12, block=64).collect()
+    exact = nearest_neighbours(df.distinct(), queries.distinct(), 5).collect()
+    assert len({(r["query"], r["neighbour"]) for r in rows}) == len(rows) == 500
+    assert all(abs(r["d2"] - ((x[r["query"]] - x[r["neighbour"]]) ** 2).sum()) < 1e-9 for r in rows)
+    assert len({(r["query"], r["neighbour"]) for r in rows} & {(r["query"], r["neighbour"]) for r in exact}) >= 490
