@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, NaiveBayes
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from tabeval.models import registry
 from tabeval.models.adaboost import AdaBoost
 from tabeval.models.base import rows_for_tasks
 from tabeval.models.batch import batch_score, linear_model
+from tabeval.models.forest import Forest
 from tabeval.models.gaussian_nb import GaussianNB
 from tabeval.models.knn import KNearest, bucket_width, hashed_neighbours, nearest_neighbours
 from tabeval.models.rff_svm import FourierSVC, _mapped, calibration
@@ -465,3 +466,33 @@ def test_crowded_buckets_are_searched_in_blocks(spark):
     assert len({(r["query"], r["neighbour"]) for r in rows}) == len(rows) == 500
     assert all(abs(r["d2"] - ((x[r["query"]] - x[r["neighbour"]]) ** 2).sum()) < 1e-9 for r in rows)
     assert len({(r["query"], r["neighbour"]) for r in rows} & {(r["query"], r["neighbour"]) for r in exact}) >= 490
+
+
+def test_forest_does_not_depend_on_where_subtrees_begin(spark):
+    """All features and all rows: one tree split by sums over the blocks down to 30 rows is the tree of one group."""
+    x, y = ring(300)
+    df = table(spark, x, y)
+    whole, cut = (Forest(trees=1, subset=2, bootstrap=False, local=n).fit(df) for n in (1_000, 30))
+    assert len(whole.state["tops"][0]["node"]) == 1 < len(cut.state["tops"][0]["node"])
+    assert 0.99 < sum(cut.importances.values()) < 1.01 and auc(cut, df) == 1.0
+    asked = table(spark, *ring(200, seed=1))
+    a, b = ({r["row_id"]: r["score"] for r in m.transform(asked).collect()} for m in (whole, cut))
+    assert len(a) == 200 and a == pytest.approx(b)
+    assert whole.importances == pytest.approx(cut.importances)
+
+
+def test_forest_agrees_with_sparks_and_loads(spark):
+    x, y = ring(600)
+    df, asked = table(spark, x, y), table(spark, *ring(300, seed=1))
+    model = Forest(trees=20, local=200).fit(df)
+    own = RandomForestClassifier(numTrees=20, maxDepth=30, maxBins=128, featureSubsetStrategy="sqrt", seed=1).fit(df)
+    assert auc(model, df) > 0.99 and auc(model, asked) > auc(own, asked) - 0.03
+    path = scratch_path(spark, "forest")
+    PipelineModel([model]).write().overwrite().save(path)
+    before, after = ({r["row_id"]: r["score"] for r in m.transform(asked).collect()} for m in (model, PipelineModel.load(path)))
+    assert before == after and len(before) == 300
+
+
+def test_forest_refuses_other_labels(spark):
+    with pytest.raises(ValueError):
+        Forest(trees=1).fit(table(spark, [[1.0], [2.0]], [0, 2]))
