@@ -205,7 +205,10 @@ def _analysis_sql():
 @query("g4_search_analysis", _analysis_sql())
 def search_analysis(spark, d):
     """All tables of the analysis and its three files, read back: rows and the sum of a measure of each."""
-    runs = fr.runs(spark, d)
+    # A dozen tables read the runs, each a few columns: they are derived once and kept by column.
+    path = scratch_path(spark, "runs")
+    writers.write_parquet(fr.runs(spark, d), path)
+    runs = spark.read.parquet(path)
     tables = analysis.analyse_runs(runs)
     measures = {part: column for part, _, column, _ in _TABLES} | {"accuracy_histogram": "low"}
     folder = scratch_path(spark, "analysis")

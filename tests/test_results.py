@@ -176,3 +176,10 @@ def test_a_draw_needs_exact_numbers(spark):
     axes = spark.range(1).select(*[F.sequence(F.lit(1), F.lit(10_000)).alias(c) for c in "abcde"])
     with pytest.raises(ValueError):
         search.draw(axes, list("abcde"), 5)
+
+
+def test_the_analysis_derives_its_runs_once(spark, small):
+    """No table of the analysis goes back to the orders that the runs are derived from."""
+    from __spark_entry__ import queries
+
+    assert not [f for f in queries()["g4_search_analysis"](spark, small).inputFiles() if "orders" in f]
