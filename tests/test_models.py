@@ -5,17 +5,19 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
-from tabeval.models import registry
+from tabeval.models import registry, rff_svm
 from tabeval.models.adaboost import AdaBoost
 from tabeval.models.base import rows_for_tasks
 from tabeval.models.batch import batch_score, linear_model
 from tabeval.models.forest import Forest
 from tabeval.models.gaussian_nb import GaussianNB
 from tabeval.models.knn import KNearest, bucket_width, hashed_neighbours, nearest_neighbours
+from tabeval.models.passes import ROWS, descent, pack, passes, side_by_side
 from tabeval.models.rff_svm import FourierSVC, _mapped, calibration
 from tabeval.models.staged import StagedPerceptron, phase_measures
 from tabeval.operators import metrics
@@ -386,6 +388,66 @@ def test_kernel_features_come_near_the_kernel():
     assert np.abs(z @ z.T - kernel).max() < 0.05
 
 
+def test_descent_finds_the_least_of_a_kinked_value():
+    """The sum of absolute gaps to three points and a small square: the median of each column, within the square's pull."""
+    points = np.array([[0.0, 5.0], [1.0, -2.0], [4.0, 3.0]])
+
+    def ask(asked):
+        return [None if x is None else (np.abs(x - points).sum() + 5e-4 * (x @ x), np.sign(x - points).sum(0) + 1e-3 * x) for x in asked]
+
+    a, b = side_by_side([descent(np.full(2, 9.0), 60, 1e-9), descent(np.zeros(2), 60, 1e-9)], ask)
+    assert np.abs(a - [1.0, 3.0]).max() < 0.02 and np.abs(b - [1.0, 3.0]).max() < 0.02
+
+
+@pytest.mark.parametrize("work", [1, 1_000_000])
+def test_packed_rows_are_summed_by_group(spark, work):
+    """In one task or in several, every row is in a block of its group, and a fit may ask for sums again and again."""
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(9_000, 3)), rng.integers(0, 2, 9_000)
+    blocks = pack(table(spark, x, y), 3, work, F.col("row_id") % 3).persist()
+    assert blocks.agg(F.max("n")).first()[0] <= ROWS and (blocks.rdd.getNumPartitions() > 1) == (work > 1)
+
+    def one(part, a, b):
+        out = np.zeros((3, 4))
+        out[part] = len(b), *(a * b[:, None]).sum(0)
+        return out
+
+    got = passes(blocks.rdd, lambda total: total(one) + total(one))
+    want = [[3_000, *(x[i::3] * y[i::3, None]).sum(0)] for i in range(3)]
+    assert np.allclose(got, 2 * np.array(want))
+    blocks.unpersist()
+    with pytest.raises(Exception, match="finite"):
+        pack(table(spark, [[float("nan")]], [1]), 1, 1, F.lit(0)).count()
+
+
+def test_kernel_machine_stores_no_features(spark):
+    """What the machine keeps is not larger than its rows; its weights are near the least penalised hinge loss."""
+    x, y = ring(300)
+    df = table(spark, x, y).coalesce(1)
+    sizes, kept = [], rff_svm.pack
+
+    def packed(*args):
+        blocks = kept(*args)
+        sizes.append(blocks.agg(F.sum(F.length("x") + F.length("y"))).first()[0])
+        return blocks
+
+    rff_svm.pack = packed
+    try:
+        model = FourierSVC(size=64).fit(df)
+    finally:
+        rff_svm.pack = kept
+    assert sizes == [300 * 3 * 8]
+    v = model.values
+    z = _mapped(pd.Series(list(x)), 2, 64, v["gamma"], 42)
+    rows = [(float(b), DenseVector(a)) for a, b in zip(z, y)]
+    exact = LinearSVC(maxIter=100, regParam=1 / 300, standardization=False).fit(spark.createDataFrame(rows, ["label", "features"]).coalesce(1))
+
+    def value(w, b):
+        return np.maximum(1 - (2 * y - 1) * (z @ w + b), 0).mean() + w @ w / 600
+
+    assert value(np.array(v["weights"]), v["intercept"]) < 1.02 * value(exact.coefficients.toArray(), exact.intercept) + 1e-3
+
+
 def test_rows_for_tasks(spark):
     rows = spark.range(1000).repartition(8)
     assert rows_for_tasks(rows, 1).rdd.getNumPartitions() == 1
