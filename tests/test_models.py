@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
-from tabeval.models import registry, rff_svm
+from tabeval.models import perceptron, registry, rff_svm
 from tabeval.models.adaboost import AdaBoost
 from tabeval.models.base import rows_for_tasks
 from tabeval.models.batch import batch_score, linear_model
@@ -284,6 +284,49 @@ def test_staged_training_goes_on_from_the_weights(spark):
     assert got.epochs_trained == 2 and got.stop_epoch is None and {p for _, p, *_ in got.history} == {"train"}
 
 
+def test_perceptron_is_sparks(spark):
+    """First weights, gradient steps and the order of weights are those of Spark ML's own fit; the gradient is that of
+    the loss; what it tells of the rows is what the model tells."""
+    df = halves(spark).filter("split = 'train'").coalesce(1)
+    for layers in ([2, 2], [2, 4, 3, 2]):
+        own = MultilayerPerceptronClassifier(layers=layers, maxIter=4, tol=0.0, solver="gd", stepSize=0.5, seed=3).fit(df)
+        got = perceptron.Perceptron(layers, 4, 0.0, "gd", 0.5, 3).fit(df)
+        assert np.allclose(got.weights, own.weights, atol=1e-5)
+        x, y = (np.array(v, float) for v in zip(*((r["features"].toArray(), r["label"]) for r in df.collect())))
+        w = np.array(own.weights)
+        n, loss, *slope = perceptron.slopes(x, y, w, layers, np.float64)
+        assert np.allclose(perceptron.slopes(x, y, w, layers)[2:], slope, rtol=1e-3, atol=1e-4)
+        for i in range(len(w)):
+            step = 1e-6 * (np.arange(len(w)) == i)
+            ahead, behind = (perceptron.slopes(x, y, w + s, layers, np.float64)[1] for s in (step, -step))
+            assert abs((ahead - behind) / 2e-6 - slope[i]) < 1e-4
+        told = phase_measures(own, df, "label", "split")["train"]
+        rows, losses, right = perceptron.measures(x, y, w, layers)
+        assert n == rows == len(y) and np.allclose([losses / rows, 100 * right / rows], told, atol=1e-12) and abs(loss - losses) < 1e-9
+    fitted = perceptron.Perceptron([2, 8, 2], 300).fit(df)
+    whole = MultilayerPerceptronClassifier(layers=[2, 8, 2], maxIter=300, seed=42).fit(df)
+    ours, theirs = (phase_measures(m, df, "label", "split")["train"][0] for m in (fitted, whole))
+    assert ours < theirs + 0.02 and auc(fitted, df) > 0.95
+    with pytest.raises(ValueError):
+        perceptron.Perceptron([2, 2]).fit(df.limit(0))
+
+
+@pytest.mark.parametrize("matrix", [200_000_000, 5_000])
+def test_networks_do_not_scan_rows_by_spark_ml(spark, monkeypatch, matrix):
+    """In one task or several, Spark ML's slow trainer never gets more than the one row that makes a model."""
+    seen, fit, hidden = [], MultilayerPerceptronClassifier._fit, [4]
+    monkeypatch.setattr("tabeval.models.passes.MATRIX", matrix)
+
+    def counted(self, df):
+        seen.append(df.count())
+        return fit(self, df)
+
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit", counted)
+    got = StagedPerceptron(hidden, epochs=2, steps=2).train(halves(spark, 400))
+    registry.perceptron(2, hidden, 3).fit(halves(spark).filter("split = 'train'"))
+    assert set(seen) == {1} and got.epochs_trained == 2 and len(got.history) == 4
+
+
 def test_staged_training_stops_and_keeps_the_best(spark):
     """Labels without a rule: the validation loss rises, the stop and the best epoch follow the history, and the saved
     model is the best epoch's."""
