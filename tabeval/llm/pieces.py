@@ -10,7 +10,7 @@ No piece reaches across the end of a word, so a text falls into segments (spaces
 them) that are encoded by themselves. What is remembered, up to ``REMEMBERED`` entries, is a segment's
 agenda after given skips: its merges in order and the ids they lead to. An occurrence asks its own
 hashes along the merges; the first skip leads to the next entry, and what is not remembered runs by
-itself. So the memory changes no result.
+itself, as do a segment met for the first time and a skip met seldom. So the memory changes no result.
 
 A missing text is empty and has no tokens. Equal (seed, key, text) give equal tokens on every run.
 """
@@ -20,8 +20,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20_240_601
 RATE = 0.1
 REMEMBERED = 300_000
-MARKED = 200_000  # skips met once
+MARKED = 200_000  # skips met a few times, and segments met once
+WORTH = 8  # occurrences of a skip that are worth an entry
 LONGEST_REMEMBERED = 40  # characters
 AT_A_TIME = 8_192  # segments that are encoded together
 
@@ -49,6 +52,10 @@ def _bases(crc: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     return base ^ (draws + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _crc(segment: str) -> int:
+    return zlib.crc32(segment.encode("utf-8", "surrogatepass"))
+
+
 def _skipped(base: np.ndarray, merge: np.ndarray, bound: np.uint64) -> np.ndarray:
     h = (base ^ merge) * np.uint64(0x94D049BB133111EB)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,7 +69,8 @@ class _Agendas:
     def __init__(self):
         self.first: dict[str, int] = {}  # of a segment, its entry without skips
         self.next: dict[int, int] = {}  # of entry and merge number, the entry that skips it too
-        self.once: set[int] = set()  # entries and merge numbers met once, forgotten when they are many
+        self.few: dict[int, int] = {}  # how often an entry and merge number were met, forgotten when they are many
+        self.met: set[str] = set()  # segments met once, forgotten likewise
         self.ids: list[bytes] = []
         self.origin: list[tuple[str, tuple, int]] = []  # segment, skips, merges before the last skip
         self.crc, self.start, self.count = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -75,24 +83,24 @@ class _Agendas:
         while self.used + len(merges) > len(self.merges):
             self.merges = np.concatenate([self.merges, np.zeros_like(self.merges)])
         self.merges[self.used : self.used + len(merges)] = merges
-        self.crc[entry] = zlib.crc32(segment.encode("utf-8", "surrogatepass"))
+        self.crc[entry] = _crc(segment)
         self.start[entry], self.count[entry] = self.used, len(merges)
         self.used += len(merges)
         self.ids.append(ids)
         self.origin.append((segment, skips, before))
         return entry
 
-    def _after(self, pieces: Pieces, entry: int, k: int) -> int:
-        """The entry that skips merge k too; -1 when it is met for the first time, as most are rare."""
+    def _after(self, pieces: Pieces, entry: int, k: int, times: int) -> int:
+        """The entry that skips merge k too; -1 until it was met often enough, as most are rare."""
         key = entry << 8 | k
         found = self.next.get(key)
-        if found is None and key not in self.once:
-            if len(self.once) >= MARKED:
-                self.once.clear()
-            self.once.add(key)
-            return -1
         if found is None:
-            self.once.remove(key)
+            times += self.few.pop(key, 0)
+            if times < WORTH:
+                if len(self.few) >= MARKED:
+                    self.few.clear()
+                self.few[key] = times
+                return -1
             segment, skips, before = self.origin[entry]
             skips, trace = (*skips, int(self.merges[self.start[entry] + k])), []
             ids = np.array(pieces.encode_segment(segment, skips=skips, trace=trace), np.int32).tobytes()
@@ -101,15 +109,27 @@ class _Agendas:
 
     def encode(self, pieces: Pieces, segments: list[str], draws: np.ndarray, seed: int, rate: float) -> list[bytes]:
         """``encode_segment`` for each segment with its draw."""
-        fresh = [s for s in dict.fromkeys(segments) if s not in self.first and len(s) <= LONGEST_REMEMBERED]
+        first, met = self.first, self.met
+        fresh = []
+        for s, n in Counter(segments).items():
+            if s not in first and len(s) <= LONGEST_REMEMBERED:
+                if n > 1 or s in met:
+                    met.discard(s)
+                    fresh.append(s)
+                else:
+                    if len(met) >= MARKED:
+                        met.clear()
+                    met.add(s)
         traces: list[list[int]] = [[] for _ in fresh]
-        for s, ids, trace in zip(fresh, pieces.encode_segments(fresh, [0] * len(fresh), seed, 0.0, traces), traces):
-            self.first[s] = self._enter(s, (), 0, ids, trace)
-        look = self.first.get
-        entry = np.array([look(s, -1) for s in segments], np.int64)
+        for s, ids, trace in zip(fresh, pieces.encode_segments(fresh, np.zeros(len(fresh), np.uint64), seed, 0.0, traces), traces):
+            first[s] = self._enter(s, (), 0, ids, trace)
+        entry = np.fromiter(map(first.get, segments, repeat(-1)), np.int64, len(segments))
         bound = np.uint64(int(rate * (1 << 32)))
         live = np.flatnonzero(entry >= 0) if bound else np.zeros(0, np.int64)
-        base = _bases(self.crc[entry], draws, seed)
+        crc = self.crc[entry]
+        for i in np.flatnonzero(entry < 0).tolist():
+            crc[i] = _crc(segments[i])
+        base = _bases(crc, draws, seed)
         while len(live):
             at = entry[live]
             count = self.count[at]
@@ -119,14 +139,16 @@ class _Agendas:
             hit = np.flatnonzero(_skipped(base[live][of], self.merges[self.start[at][of] + k], bound))
             some, first = np.unique(of[hit], return_index=True)
             # Many occurrences skip the same merge of the same entry.
-            ways, back = np.unique(at[some] << 8 | k[hit[first]], return_inverse=True)
+            ways, back, times = np.unique(at[some] << 8 | k[hit[first]], return_inverse=True, return_counts=True)
             live = live[some]
-            entry[live] = np.array([self._after(pieces, w >> 8, w & 255) for w in ways.tolist()], np.int64)[back]
+            entry[live] = np.array([self._after(pieces, w >> 8, w & 255, n) for w, n in zip(ways.tolist(), times.tolist())], np.int64)[back]
             live = live[entry[live] >= 0]
-        out = [self.ids[e] if e >= 0 else b"" for e in entry.tolist()]
-        alone = np.flatnonzero(entry < 0).tolist()
-        if alone:
-            for i, ids in zip(alone, pieces.encode_segments([segments[i] for i in alone], [int(draws[i]) for i in alone], seed, rate)):
+        known = self.ids
+        out = [known[e] if e >= 0 else b"" for e in entry.tolist()]
+        alone = np.flatnonzero(entry < 0)
+        if len(alone):
+            places = alone.tolist()
+            for i, ids in zip(places, pieces.encode_segments([segments[i] for i in places], draws[alone], seed, rate, base=base[alone])):
                 out[i] = ids
         return out
 
@@ -184,7 +206,7 @@ class Pieces:
         n, rank = len(symbols), self.ranks.get
         follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
         bound = int(rate * (1 << 32))
-        base = (zlib.crc32(segment.encode("utf-8", "surrogatepass")) << 20 ^ seed * 0x9E3779B97F4A7C15 ^ (variant + 1) * 0xBF58476D1CE4E5B9) & _MASK
+        base = (_crc(segment) << 20 ^ seed * 0x9E3779B97F4A7C15 ^ (variant + 1) * 0xBF58476D1CE4E5B9) & _MASK
         # A candidate is one number: rank, place, length of the merged piece.
         agenda = []
         for i in range(n - 1):
@@ -233,8 +255,9 @@ class Pieces:
             i = follow[i]
         return out
 
-    def _merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The merges as sorted pairs of piece numbers with rank and result, and the pieces of one character."""
+    def _merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
+        """The merges as sorted pairs of piece numbers with rank and result, the pieces of one character, and the
+        characters that only longer pieces have."""
         if "merges" not in self.memory:
             found = sorted(
                 (self.ids[p[:i]] << 32 | self.ids[p[i:]], rank, self.ids[p])
@@ -245,50 +268,75 @@ class Pieces:
             pair, rank, to = (np.array(x, np.int64) for x in zip(*found))
             single = sorted((ord(p), i) for p, i in self.ids.items() if len(p) == 1)
             code, number = (np.array(x, np.int64) for x in zip(*single))
-            self.memory["merges"] = pair, rank, to, code, number
+            self.memory["merges"] = pair, rank, to, code, number, "".join(set("".join(self.ids)) - set(self.ids))
         return self.memory["merges"]
 
+    def _spelled(self, ids: bytes) -> bytes:
+        """The ids with the bytes of the characters that have no piece, which stand as -2 - character."""
+        out = []
+        for x in np.frombuffer(ids, np.int32).tolist():
+            if x >= 0:
+                out.append(x)
+            else:
+                out.extend(self.byte_ids[b] for b in chr(-2 - x).encode("utf-8", "surrogatepass"))
+        return np.array(out, np.int32).tobytes()
+
     def encode_segments(
-        self, segments: list[str], variants: list[int], seed: int, rate: float, traces: list[list] | None = None
+        self, segments: list[str], variants: np.ndarray | list[int], seed: int, rate: float, traces: list[list] | None = None,
+        base: np.ndarray | None = None,
     ) -> list[bytes]:
         """``encode_segment`` for many segments at once, as bytes of 32-bit ids: every round takes the
         next candidate of each segment's agenda. Segments with odd characters are encoded singly.
-        ``traces`` has a list for each segment's merges."""
-        code, number = self._merges()[3:]
+        ``traces`` has a list for each segment's merges; ``base`` is what follows from segments, variants and seed."""
+        code, number, inner = self._merges()[3:]
         out: list[bytes | None] = [None] * len(segments)
-        plain = []
-        for i, s in enumerate(segments):
-            if len(s) <= LONGEST_REMEMBERED and MARK not in s:
-                plain.append(i)
-        plain.sort(key=lambda i: len(segments[i]))
+        length = np.fromiter(map(len, segments), np.int64, len(segments))
+        plain = np.flatnonzero(length <= LONGEST_REMEMBERED)
+        together = "".join(segments)
+        strange = [c for c in MARK + inner if c in together]
+        if strange:
+            plain = np.array([i for i in plain.tolist() if not any(c in segments[i] for c in strange)], np.int64)
+        plain = plain[np.argsort(length[plain], kind="stable")]
+        variants = np.array(variants, np.uint64)
         for first in range(0, len(plain), AT_A_TIME):
-            some = plain[first : first + AT_A_TIME]
+            at_ = plain[first : first + AT_A_TIME]
+            some = at_.tolist()
             chars = np.frombuffer("".join([segments[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             chars[chars == 32] = ord(MARK)
             at = np.minimum(np.searchsorted(code, chars), len(code) - 1)
-            ids = np.where(code[at] == chars, number[at], -1)
-            size = np.array([len(segments[i]) for i in some])
-            odd = np.bincount(np.repeat(np.arange(len(some)), size), ids < 0, minlength=len(some)) > 0
+            ids = np.where(code[at] == chars, number[at], -2 - chars)
+            size = length[at_]
+            odd = np.flatnonzero(np.bincount(np.repeat(np.arange(len(some)), size), ids < 0, minlength=len(some)) > 0)
             merged = None if traces is None else []
-            for i, ids_of in zip(some, self._rounds([segments[i] for i in some], [variants[i] for i in some], ids, size, seed, rate, merged)):
-                out[i] = ids_of
+            if not rate:
+                bases = np.zeros(len(some), np.uint64)
+            elif base is None:
+                bases = _bases(np.array([_crc(segments[i]) for i in some], np.uint64), variants[at_], seed)
+            else:
+                bases = base[at_]
+            found, ends = self._rounds(ids, size, bases, rate, merged)
+            begin = 0
+            for i, end in zip(some, ends.tolist()):
+                out[i] = found[begin:end]
+                begin = end
+            for k in odd.tolist():
+                out[some[k]] = self._spelled(out[some[k]])
             if merged:
                 row, merge = (np.concatenate(x) for x in zip(*merged))
                 by = np.argsort(row, kind="stable")
-                for k, c in zip(row[by].tolist(), merge[by].tolist()):
-                    traces[some[k]].append(c)
-            for k in np.flatnonzero(odd).tolist():
-                out[some[k]] = None
-                if traces is not None:
-                    traces[some[k]].clear()
+                merge, begin = merge[by].tolist(), 0
+                for i, end in zip(some, np.cumsum(np.bincount(row, minlength=len(some))).tolist()):
+                    traces[i].extend(merge[begin:end])
+                    begin = end
         for i, o in enumerate(out):
             if o is None:
-                out[i] = np.array(self.encode_segment(segments[i], seed, variants[i], rate, trace=None if traces is None else traces[i]), np.int32).tobytes()
+                out[i] = np.array(
+                    self.encode_segment(segments[i], seed, int(variants[i]), rate, trace=None if traces is None else traces[i]), np.int32
+                ).tobytes()
         return out
 
-    def _rounds(
-        self, segments: list[str], variants: list[int], ids: np.ndarray, size: np.ndarray, seed: int, rate: float, merged: list | None = None
-    ) -> Iterator[bytes]:
+    def _rounds(self, ids: np.ndarray, size: np.ndarray, base: np.ndarray, rate: float, merged: list | None = None) -> tuple[bytes, np.ndarray]:
+        """The ids of all segments in a row, and where in these bytes each ends."""
         pair, rank_of, result_of = self._merges()[:3]
         n, width = len(size), int(size.max()) + 1  # the last column stands for no neighbour
         none = np.int64(1 << 40)
@@ -311,8 +359,6 @@ class Pieces:
         result = np.zeros((n, width), np.int64)
         if width > 2:
             rank[:, :-2], result[:, :-2] = look(symbol[:, :-2], symbol[:, 1:-1])
-        crc = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in segments], np.uint64)
-        base = _bases(crc, np.array(variants, np.uint64), seed)
         bound = np.uint64(int(rate * (1 << 32)))
         symbol_, follow_, before_, long_, rank_, result_ = (x.reshape(-1) for x in (symbol, follow, before, long, rank, result))
         live = np.arange(n)
@@ -342,13 +388,8 @@ class Pieces:
             rank_[here], result_[here] = look(symbol_[here], symbol_[after])
             ahead = start + before_[here]
             rank_[ahead], result_[ahead] = look(symbol_[ahead], symbol_[here])
-        kept = symbol[:, :-1] >= 0
-        found = symbol[:, :-1][kept].astype(np.int32).tobytes()
-        ends = np.cumsum(kept.sum(axis=1)) * 4
-        begin = 0
-        for end in ends.tolist():
-            yield found[begin:end]
-            begin = end
+        kept = symbol[:, :-1] != -1
+        return symbol[:, :-1][kept].astype(np.int32).tobytes(), np.cumsum(kept.sum(axis=1)) * 4
 
     def encode_texts(self, texts: list[str], keys: list[int], seed: int = SEED, rate: float = RATE) -> list[np.ndarray]:
         """Ids of whole texts. A text's key and the place of each segment are the segment's draw."""

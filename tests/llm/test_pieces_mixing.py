@@ -132,6 +132,21 @@ def test_forgetting_changes_no_result(monkeypatch):
     assert [model.encode(t, i).tolist() for i, t in enumerate(texts)] == want
 
 
+def test_seldom_met_is_not_remembered(model, monkeypatch):
+    """What comes once needs no entry, nor one by one encoding for a character without a piece; results stay the same."""
+    agendas = pieces._Agendas()
+    words = [f" word{i}a日\x00🙂" for i in range(300)]
+    draws = np.random.default_rng(2).integers(0, 1 << 63, 300).astype(np.uint64)
+    want = [model.encode_segment(w, 5, int(d), 0.2) for w, d in zip(words, draws)]
+    with monkeypatch.context() as m:
+        m.setattr(pieces.Pieces, "encode_segment", None)
+        assert [np.frombuffer(b, np.int32).tolist() for b in agendas.encode(model, words, draws, 5, 0.2)] == want
+    assert not agendas.first and not agendas.ids and len(agendas.met) == 300
+    again = agendas.encode(model, words, draws, 5, 0.2)
+    assert [np.frombuffer(b, np.int32).tolist() for b in again] == want
+    assert len(agendas.first) == 300 and not agendas.met and not agendas.next
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     found = mixing.targets([10, 1000, 0], [3, 1, 2])
