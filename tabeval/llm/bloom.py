@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabeval.llm.common import leanly
+
 CELLS_PER_KEY = 16
 PROBES = 4
 SEGMENT = 1 << 15  # cells
@@ -74,9 +76,9 @@ def _merged(keys: DataFrame, key: str, most_bits: int, place: int):
     """The filter as a broadcast array of bits: those hit at least once (0) or twice (1)."""
     spark = keys.sparkSession
     bits = filter_bits(keys.count(), most_bits)
-    parts = keys.select(key).mapInArrow(_count(bits, key), "segment long, flags binary")
+    parts = keys.select(key).mapInArrow(leanly(_count(bits, key)), "segment long, flags binary")
     merged = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment")
-    merged = merged.mapInArrow(_merge, "segment long, flags binary")
+    merged = merged.mapInArrow(leanly(_merge), "segment long, flags binary")
     flags = np.zeros((bits // SEGMENT, SEGMENT // 8), np.uint8)
     for row in merged.collect():  # at most most_bits / 4 bytes
         flags[row["segment"]] = np.frombuffer(zlib.decompress(row["flags"]), np.uint8).reshape(2, -1)[place]
@@ -111,4 +113,4 @@ def with_maybe(df: DataFrame, key: str, bitmap, name: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, name])
 
     schema = df.select("*", F.lit(True).alias(name)).schema
-    return df.mapInArrow(probe, schema)
+    return df.mapInArrow(leanly(probe), schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +67,15 @@ def lean() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim is not None:
         trim(0)
+
+
+def leanly(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, in a worker that begins without what earlier tasks have freed and waits for its next
+    task without what this one had. Spark takes workers in turn, so those that wait count as much as those at work."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from run(batches)
+        lean()
+
+    return whole

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabeval.llm import arrays
-from tabeval.llm.common import lean, text_of, written
+from tabeval.llm.common import leanly, text_of, written
 from tabeval.operators.ordered import running
 
 BLOCK = 256
@@ -88,11 +89,19 @@ def plan_of(rows: DataFrame, block: int = BLOCK, weights=WEIGHTS, share: float =
     return Plan([r["source"] for r in found], [r["size"] for r in found], block, weights, share, most)
 
 
+def table_of(spark: SparkSession, plan: Plan, kind: T.DataType) -> DataFrame:
+    """(_s, number, source_size, target): a row per source."""
+    known = [(s, i, n, t) for i, (s, n, t) in enumerate(zip(plan.sources, plan.sizes, plan.targets))]
+    if isinstance(kind, T.StringType):
+        # As an Arrow table: tuples pass through Python workers of their own, which then wait beside the others.
+        types = {"_s": pa.string(), "number": pa.int32(), "source_size": pa.int64(), "target": pa.float64()}
+        known = pa.table([pa.array([r[i] for r in known], t) for i, t in enumerate(types.values())], names=list(types))
+    return spark.createDataFrame(known, f"_s {kind.simpleString()}, number int, source_size long, target double")
+
+
 def packed(rows: DataFrame, plan: Plan, order: list[str]) -> DataFrame:
     """Adds number, source_size and target of the source, and ``offset``: the words of the source before the row."""
-    kind = rows.schema["source"].dataType.simpleString()
-    known = [(s, i, n, t) for i, (s, n, t) in enumerate(zip(plan.sources, plan.sizes, plan.targets))]
-    table = rows.sparkSession.createDataFrame(known, f"_s {kind}, number int, source_size long, target double")
+    table = table_of(rows.sparkSession, plan, rows.schema["source"].dataType)
     found = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_s"])).drop("_s")
     found = found.withColumn("number", F.coalesce("number", F.lit(-1)))
     return running(found, ["number"], order, {"offset": ("sum", F.col("size"))}, before=True)
@@ -123,7 +132,7 @@ def slots(spark, plan: Plan, seed: int = SEED, shard: int = SHARD) -> DataFrame:
                 )
 
     shards = -(-total // shard)
-    drawn = written(spark.range(shards).mapInArrow(draw, "shard long, number int, count long").filter("count > 0"), "drawn")
+    drawn = written(spark.range(shards).mapInArrow(leanly(draw), "shard long, number int, count long").filter("count > 0"), "drawn")
     sums = {r["number"]: r["n"] for r in drawn.groupBy("number").agg(F.sum("count").alias("n")).collect()}
     have = np.array([sums.get(i, 0) for i in range(len(quota))], np.int64)
     over, under = np.maximum(have - quota, 0), np.maximum(quota - have, 0)
@@ -155,7 +164,7 @@ def slots(spark, plan: Plan, seed: int = SEED, shard: int = SHARD) -> DataFrame:
     starts = running(drawn, ["number"], ["shard"], {"start": ("sum", F.col("count"))}, before=True)
     starts = starts.select("shard", "number", "count", F.col("start").cast("long").alias("start"))
     # Written, since Spark would take the slots for as few as the rows they are made from and broadcast them.
-    return written(starts.mapInArrow(fill, schema), "slots")
+    return written(starts.mapInArrow(leanly(fill), schema), "slots")
 
 
 def sized(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -194,7 +203,6 @@ def _pieces(block: int, text: str, length: str | None):
     """Cuts rows at the edges of blocks; a row's pieces, put together, are its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         for batch in batches:
             rows = batch.column("row")
             names = [f.name for f in rows.type]
@@ -242,5 +250,5 @@ def mixed_documents(
     plan = plan_of(rows.select("source", "size"), block)
     placed = packed(rows, plan, ["id", "key"]).select("row", "number", F.col("offset").cast("long").alias("offset"))
     kind = rows.schema["row"].dataType.simpleString()
-    pieces = placed.mapInArrow(_pieces(block, text, length), f"row {kind}, number int, block long")
+    pieces = placed.mapInArrow(leanly(_pieces(block, text, length)), f"row {kind}, number int, block long")
     return slots(df.sparkSession, plan, seed, shard).join(pieces, ["number", "block"]).select("row.*")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays, bloom
-from tabeval.llm.common import met, text_of, without, written
+from tabeval.llm.common import leanly, met, text_of, without, written
 from tabeval.llm.components import components
 
 SHINGLE = 5
@@ -237,16 +237,16 @@ def describe(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFr
     """Per row: id, size of its shingle set, class key, signature (missing for the empty set)."""
     rows = df.select(F.col(ident).alias("id"), text_of(text).alias("text"))
     kind = df.schema[ident].dataType.simpleString()
-    return rows.mapInArrow(_describe, f"id {kind}, n_shingles long, class string, signature binary")
+    return rows.mapInArrow(leanly(_describe), f"id {kind}, n_shingles long, class string, signature binary")
 
 
 def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (a, b) of class keys that are neighbours in a tree, and (a, missing) for each class
     of a crowded region."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.select("class", "signature").mapInArrow(_tree_rows, "region long, path binary, class string, bits binary")
+    rows = classes.select("class", "signature").mapInArrow(leanly(_tree_rows), "region long, path binary, class string, bits binary")
     ordered = rows.repartition(n, "region").sortWithinPartitions("region", "path", "class")
-    return ordered.mapInArrow(_pairs(most_different(percent)), "a string, b string").distinct()
+    return ordered.mapInArrow(leanly(_pairs(most_different(percent))), "a string, b string").distinct()
 
 
 def _sets_of(bitmap):
@@ -273,7 +273,7 @@ def sets_of(names: DataFrame, representatives: DataFrame) -> DataFrame:
     """(class, shingles) of the named classes. ``representatives`` (text) has at least one text of each
     class; a bounded Bloom filter keeps most texts that nothing names from being shuffled."""
     bitmap = bloom.member_filter(names, "class")
-    found = representatives.mapInArrow(_sets_of(bitmap), "class string, shingles array<bigint>")
+    found = representatives.mapInArrow(leanly(_sets_of(bitmap)), "class string, shingles array<bigint>")
     return written(found.groupBy("class").agg(F.first("shingles").alias("shingles")).join(names, "class", "left_semi"), "sets")
 
 
@@ -332,12 +332,12 @@ def prefix_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ``sets`` holds class, component, shingles. Of each shingle, the classes outside its most frequent
     component are copied to the parts over which all its classes are dealt."""
-    found = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = sets.select("shingles").mapInArrow(leanly(_bucket_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << RARITY_BITS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     rarity = sets.sparkSession.sparkContext.broadcast(counts)
     posts = written(
-        sets.mapInArrow(_rarest(rarity, percent), "shingle long, place long, size long, class string, component string"), "posts"
+        sets.mapInArrow(leanly(_rarest(rarity, percent)), "shingle long, place long, size long, class string, component string"), "posts"
     )
     per = posts.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     mixed = per.groupBy("shingle").agg(

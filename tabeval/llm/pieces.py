@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.llm import arrays
-from tabeval.llm.common import lean, text_of, written
+from tabeval.llm.common import leanly, text_of, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20_240_601
@@ -437,7 +437,6 @@ def encode(
     pieces = Pieces.load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("key").to_pylist()
             for first in range(0, batch.num_rows, 256):
@@ -463,7 +462,7 @@ def encode(
     else:
         rows = df.select(F.col(ident).alias("id"), F.xxhash64(F.col(ident)).alias("key"), text_of(text).alias("text"))
     kind = df.schema[ident].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens int, lossless boolean")
+    return rows.mapInArrow(leanly(run), f"id {kind}, ids array<int>, n_tokens int, lossless boolean")
 
 
 def decode(df: DataFrame, ident: str = "id", ids: str = "ids", model: str = MODEL) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from tabeval.llm.common import lean, text_of, written
+from tabeval.llm.common import leanly, text_of, written
 
 MOST_EXAMPLES = 4_096
 CUE = 100.0
@@ -250,7 +250,6 @@ def _numbered(shared):
     """The numbers of the known words that each text holds, as compressed steps from one to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         known = {w: i for i, w in enumerate(pickle.loads(shared.value))}
         for batch in _slices(batches):
             held = []
@@ -259,8 +258,6 @@ def _numbered(shared):
                 numbers = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
                 held.append(zlib.compress(np.diff(np.sort(numbers[numbers >= 0]), prepend=np.int32(0)).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "held"])
-        del known
-        lean()
 
     return run
 
@@ -269,7 +266,6 @@ def _presence(size: int):
     """Per partition and word: the texts that hold it, and those of either label. Number ``size`` counts all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         counts = np.zeros((3, size + 1), np.int64)
         for batch in _slices(batches):
             held = [np.cumsum(np.frombuffer(zlib.decompress(h), np.int32)) for h in batch.column("held").to_pylist()]
@@ -296,6 +292,15 @@ def _factors(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarr
     return 1 + CUE * np.sqrt(np.clip((chi2 - CHANCE) / max(n1 + n0, 1), 0, 1))
 
 
+def _counted(rows: DataFrame, taught: DataFrame, words: list[str]) -> DataFrame:
+    """Per word number: the texts that hold it, and those of either label."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(words))
+    # Merged even where the labels are few: a broadcast would put both Python steps in one stage, and two workers on each core.
+    held = rows.mapInArrow(leanly(_numbered(shared)), "id string, held binary").join(taught.hint("merge"), "id", "left")
+    found = held.select("held", "label").mapInArrow(leanly(_presence(len(words))), "number int, n long, toxic long, clean long")
+    return found.groupBy("number").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
     """The index of at most ``MOST_EXAMPLES`` labelled examples. The driver gets their words with a few
     counts each, no more."""
@@ -309,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     examples = marked.join(F.broadcast(chosen), ["id", "mark"]).dropDuplicates(["id", "mark"])  # at most MOST_EXAMPLES
     kind = docs.schema[ident].dataType.simpleString()
     ids, found, bags, held = [], [], [], Counter()
-    bagged = examples.select("own", "label", "text").mapInArrow(_bags, f"own {kind}, label int, words array<string>, times array<int>")
+    bagged = examples.select("own", "label", "text").mapInArrow(leanly(_bags), f"own {kind}, label int, words array<string>, times array<int>")
     number: dict[str, int] = {}
     for r in bagged.toLocalIterator():
         ids.append(r["own"])
@@ -323,10 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     for i, (at, times) in enumerate(bags):
         by = np.argsort(rank[at])
         bags[i] = rank[at][by], times[by]
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(words))
-    counted = rows.select("id", "text").mapInArrow(_numbered(shared), "id string, held binary").join(taught, "id", "left")
-    counted = counted.select("held", "label").mapInArrow(_presence(len(words)), "number int, n long, toxic long, clean long")
-    counted = counted.groupBy("number").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    counted = _counted(rows.select("id", "text"), taught, words).toArrow()
     counts = np.zeros((3, len(words) + 1), np.int64)
     for row, name in enumerate(("n", "toxic", "clean")):
         counts[row, counted.column("number").to_numpy()] = counted.column(name).to_numpy()
@@ -346,7 +348,6 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
     shared, evidence = _shared(df, index), pa.list_(to_arrow_type(index.kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         found = pickle.loads(zlib.decompress(shared.value))
         for batch in _slices(batches):
             each = found.scores_of(batch.column("text").to_pylist())
@@ -357,13 +358,11 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
                 ],
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],
             )
-        del found
-        lean()  # the worker waits for its next task without the index
 
     apart = F.coalesce(held_out(F.col(ident)), F.lit(False)).alias("held_out")
     rows = df.select(F.col(ident).alias("id"), apart, text_of(text).alias("text"))
     kind = df.schema[ident].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<{index.kind.simpleString()}>")
+    return rows.mapInArrow(leanly(run), f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<{index.kind.simpleString()}>")
 
 
 def drop_toxic(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
@@ -371,12 +370,9 @@ def drop_toxic(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
     shared = _shared(df, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         found = pickle.loads(zlib.decompress(shared.value))
         for batch in _slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield batch.filter(pa.array([s < 0.5 for s, _ in found.scores_of([t or "" for t in texts])], pa.bool_()))
-        del found
-        lean()
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(leanly(run), df.schema)

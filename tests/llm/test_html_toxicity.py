@@ -240,3 +240,14 @@ def test_without_examples(spark):
     assert {r.score for r in toxicity.scores(docs, index).collect()} == {0.0}
     nulls = labels.select("doc_id", F.lit(None).cast("int").alias("toxic"))
     assert toxicity.fit(docs, nulls).share == 0.0
+
+
+def test_counting_runs_one_python_step_in_a_stage(spark):
+    """Few labels are not broadcast between the two steps, which would then hold two workers on each core."""
+    rows = spark.createDataFrame([(str(i), f"word{i % 2} all") for i in range(6)] + [("9", "all"), (None, "")], "id string, text string")
+    taught = spark.createDataFrame([(str(i), i % 2) for i in range(6)], "id string, label int")
+    found = toxicity._counted(rows, taught, ["all", "word0", "word1"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    first, last = (m.start() for m in re.finditer("MapInArrow", plan.partition("Initial Plan")[0]))
+    assert "Exchange" in plan[first:last] and "BroadcastHashJoin" not in plan
+    assert pairs(found, "number", "n", "toxic", "clean") == [(0, 7, 3, 3), (1, 3, 0, 3), (2, 3, 3, 0), (3, 8, 3, 3)]

@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tabeval.llm import mixing, pieces
+from tabeval.llm import common, mixing, pieces
 from tests.llm.tables import awkward, nothing, pairs, prose
 
 ODD = ["", " ", "  lead and trail  ", "a▁b  c", "▁", "▁▁ x", "x\n\n  y\t z\r", "日本語 🙂 text", "ab" * 3000, "\x00\x01  ", "aé▁é a"]
@@ -213,3 +213,36 @@ def test_mixing_awkward_rows(spark):
     whole = mixing.mixed_documents(df, block=8).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n"))
     want = {r.doc_id: r.n for r in one.groupBy("doc_id").agg(F.sum("taken").alias("n")).collect() if r.n}
     assert {r.doc_id: r.n for r in whole.collect()} == want
+
+
+def test_sources_reach_the_rows_without_python(spark):
+    """The table of sources is no list of tuples: Spark would start Python workers for it, beside those of the operators."""
+    rows = mixing.sized(documents(spark).checkpoint(), "doc_id", "text", "source")
+    table = mixing.table_of(spark, mixing.plan_of(rows, 16), rows.schema["source"].dataType)
+    assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.dtypes == [("_s", "string"), ("number", "int"), ("source_size", "bigint"), ("target", "double")]
+    numbers = awkward(spark).select("doc_id", "text", (F.col("doc_id") % 3).alias("source"))
+    found = mixing.taken(numbers, block=8)
+    assert found.count() == numbers.count() and pairs(found, "target") == pairs(mixing.taken(numbers.withColumn("source", F.col("source").cast("string")), block=8), "target")
+
+
+def test_workers_keep_nothing_between_tasks(monkeypatch):
+    """Memory is given back before the first and after the last batch, when what the task held is gone."""
+    seen, alive = [], []
+
+    class Held:
+        def __init__(self):
+            alive.append(1)
+
+        def __del__(self):
+            alive.pop()
+
+    def run(batches):
+        held = Held()
+        for b in batches:
+            seen.append(b)
+            yield b + 1 if held else None
+
+    monkeypatch.setattr(common, "lean", lambda: seen.append(f"lean {len(alive)}"))
+    assert list(common.leanly(run)(iter([1, 2]))) == [2, 3]
+    assert seen == ["lean 0", 1, 2, "lean 0"]
