@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from tabeval.llm.common import leanly, text_of, written
+from tabeval.llm.common import lean, leanly, text_of, written
 
 MOST_EXAMPLES = 4_096
 CUE = 100.0
@@ -349,6 +349,7 @@ def scores(df: DataFrame, index: Index, ident: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pickle.loads(zlib.decompress(shared.value))
+        lean()  # what unpacking took
         for batch in _slices(batches):
             each = found.scores_of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -371,6 +372,7 @@ def drop_toxic(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pickle.loads(zlib.decompress(shared.value))
+        lean()  # what unpacking took
         for batch in _slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield batch.filter(pa.array([s < 0.5 for s, _ in found.scores_of([t or "" for t in texts])], pa.bool_()))
