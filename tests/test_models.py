@@ -65,6 +65,55 @@ def test_neighbours_match_brute_force(spark, pivots, block, kind):
         assert found[i] == list(np.lexsort((np.arange(len(x)), d2))[:5])
 
 
+@pytest.mark.parametrize("kind", ["clusters", "ties", "hot", "names"])
+def test_boxes_match_brute_force(spark, kind, monkeypatch):
+    """More rows than a block in few dimensions: not all pairs are looked at, and none that counts is missed."""
+    from tabeval.models import knn
+
+    monkeypatch.setattr(knn, "CELL", 16)
+    rng = np.random.default_rng(8)
+    x = {
+        "clusters": np.concatenate([rng.normal(c, 0.2, size=(200, 3)) for c in (0, 5, 20)]),
+        "ties": rng.integers(0, 4, size=(600, 3)).astype(float),
+        "hot": np.concatenate([np.zeros((400, 2)), rng.normal(size=(200, 2))]),
+        "names": rng.normal(size=(600, 5)),
+    }[kind]
+    q = np.concatenate([x[::19] + 0.01, x[::50], rng.normal(size=(20, x.shape[1])) * 10])
+    df, asked = table(spark, x, [0] * len(x)), table(spark, q, [0] * len(q))
+    if kind == "names":
+        df = df.withColumn("row_id", F.format_string("n%04d", "row_id"))
+        asked = asked.withColumn("row_id", F.format_string("q%04d", "row_id"))
+    looked = spark.sparkContext.accumulator(0)
+    block_pair = knn.boxes.block_pair
+
+    def counted(k):
+        def best(t, v):
+            looked.add(len(t) * len(v))
+            return block_pair(k)(t, v)
+
+        return best
+
+    monkeypatch.setattr(knn.boxes, "block_pair", counted)
+    found = {}
+    for r in nearest_neighbours(df, asked, 5, block=100).orderBy("query", "rank").collect():
+        found.setdefault(int(str(r["query"]).lstrip("q")), []).append((int(str(r["neighbour"]).lstrip("n")), r["d2"], r["rank"]))
+    assert len(found) == len(q)
+    for i, v in enumerate(q):
+        d2 = ((x - v) ** 2).sum(axis=1)
+        assert found[i] == [(j, d2[j], n + 1) for n, j in enumerate(np.lexsort((np.arange(len(x)), d2))[:5])]
+    if kind == "clusters":
+        assert 0 < looked.value < len(x) * len(q) / 2
+
+
+def test_rows_without_an_id_are_asked_about_in_boxes(spark):
+    x = np.random.default_rng(3).normal(size=(300, 2))
+    df = table(spark, x, [0] * len(x))
+    asked = df.filter("row_id = 7").withColumn("row_id", F.lit(None).cast("bigint"))
+    d2 = ((x - x[7]) ** 2).sum(axis=1)
+    got = nearest_neighbours(df, asked, 3, block=50).orderBy("rank").collect()
+    assert [(r["query"], r["neighbour"]) for r in got] == [(None, int(j)) for j in np.argsort(d2)[:3]]
+
+
 def test_fewer_rows_than_neighbours(spark):
     got = nearest_neighbours(table(spark, [[0.0], [1.0]], [0, 1]), table(spark, [[0.2]], [0]), 5, pivots=2).collect()
     assert sorted((r["rank"], r["neighbour"]) for r in got) == [(1, 0), (2, 1)]
