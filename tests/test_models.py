@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
@@ -647,6 +647,36 @@ def test_forest_agrees_with_sparks_and_loads(spark):
     assert before == after and len(before) == 300
 
 
+def test_single_tree_learns_its_rows_and_is_not_held_by_the_driver(spark):
+    """Every node may split by every feature; the nodes are rows of a table, which the driver does not hold."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 6))
+    df = table(spark, x, (x[:, 3] + 0.5 * rng.normal(size=500) > 0).astype(int))
+    model = registry.decision_tree(64).fit(df)
+    assert auc(model, df) > 0.99
+    own = DecisionTreeClassifier(maxDepth=1, maxBins=64).fit(df)
+    root = np.frombuffer(model.subtrees.first()["feature"], np.int16)[0]
+    assert root == np.argmax(own.featureImportances.toArray()) == 3
+    assert [len(top["node"]) for top in model.state["tops"]] == [1] and model.subtrees.count() == 1
+
+
+def test_boosting_packs_rows_into_blocks(spark):
+    """A round reads a row for some thousand rows, not one for each."""
+    from tabeval.models.adaboost import _coded, _weighed
+
+    x = np.random.default_rng(2).integers(0, 4, size=(700, 2)).astype(float)
+    y = (np.arange(700) % 3 == 0).astype(int)
+    rows = table(spark, x, y).coalesce(1).select(F.col("label").cast("double"), "x")
+    blocks = rows.mapInArrow(_coded([[0.0, 1.0, 2.0]] * 2), "n int, labels binary, codes binary")
+    assert blocks.count() == 1 and blocks.first()["n"] == 700
+    sums = np.zeros((2, 8))
+    for r in blocks.mapInArrow(_weighed([], 0.5, 2, 4), "cell int, w0 double, w1 double").collect():
+        sums[:, r["cell"]] = r["w0"], r["w1"]
+    for k in (0, 1):
+        for i in (0, 1):
+            assert list(sums[k, 4 * i : 4 * i + 4]) == [0.5 * ((x[:, i] == c) & (y == k)).sum() for c in range(4)]
+
+
 def test_forest_refuses_other_labels(spark):
     with pytest.raises(ValueError):
         Forest(trees=1).fit(table(spark, [[1.0], [2.0]], [0, 2]))
