@@ -480,6 +480,17 @@ def test_kernel_features_come_near_the_kernel():
     assert np.abs(z @ z.T - kernel).max() < 0.05
 
 
+def test_features_of_a_pass_are_those_of_the_model():
+    """Few rows at a time, so that what is made of them stays in a core's cache; as exact as single precision allows."""
+    x = np.concatenate([np.random.default_rng(6).normal(size=(500, 5)) * 3, np.zeros((1, 5))])
+    basis = rff_svm._basis(5, 256, 0.3, 1)
+    made = [(z.copy(), sign) for z, sign in rff_svm._chunks(x, np.arange(501) % 2.0, basis.astype(np.float32))]
+    assert max(z.nbytes for z, _ in made) <= 128 * 256 * 4
+    wanted = _mapped(pd.Series(list(x)), 5, 256, 0.3, 1)
+    assert np.abs(np.concatenate([z for z, _ in made]) - wanted).max() < 5e-6 * 128**-0.5 * np.abs(x @ basis).max()
+    assert list(np.concatenate([sign for _, sign in made])[:3]) == [-1.0, 1.0, -1.0]
+
+
 def test_descent_finds_the_least_of_a_kinked_value():
     """The sum of absolute gaps to three points and a small square: the median of each column, within the square's pull."""
     points = np.array([[0.0, 5.0], [1.0, -2.0], [4.0, 3.0]])
